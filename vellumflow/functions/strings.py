@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 #: Whitespace for delimiter placement: ordinary white space and the no-break space.
 SPACE = r"[\s\u00A0]"
+#: Characters that join into emoji sequences.
+EMOJI = "\u2600-\u27bf\ufe0f\\x{1F000}-\\x{1FAFF}"
 
 
 def normal_name(name: Column) -> Column:
@@ -30,7 +32,8 @@ def hoisted(text: Column) -> tuple[Column, Column, Column]:
 def visible(text: Column) -> Column:
     """Without soft hyphens and zero-width characters; joiners inside emoji sequences stay."""
     out = F.regexp_replace(text, "[\u00ad\u200b\u200c]", "")
-    return F.regexp_replace(out, "(?<![\u2600-\u27bf\ufe0f\\x{1F000}-\\x{1FAFF}])\u200d|\u200d(?![\u2600-\u27bf\\x{1F000}-\\x{1FAFF}])", "")
+    # An emoji with its joiner is kept whole; Java cannot look behind at characters outside the basic plane.
+    return F.regexp_replace(out, f"([{EMOJI}]\u200d(?=[{EMOJI}]))|\u200d", "$1")
 
 
 def ascii_punctuation(text: Column) -> Column:
