@@ -52,6 +52,10 @@ CASES = {
     "nonsense": (b"just text", None),
     "no main": (archive({"[Content_Types].xml": TYPES, "_rels/.rels": rels()}), None),
     "twice": (archive([("[Content_Types].xml", TYPES), ("_rels/.rels", rels(("rId1", "officeDocument", "word/document.xml"))), ("word/document.xml", document(para(run("first")))), ("WORD/document.xml", document(para(run("second")))), ("../evil", "x")]), "first\n"),
+    "theme": (package(document(para(run("mono", "<w:rFonts w:asciiTheme='minorHAnsi'/>"), run(" plain", "<w:rFonts w:asciiTheme='majorHAnsi'/>"))), links=[("rIdT", "theme", "theme/theme1.xml")], extra={"word/theme/theme1.xml": f'<a:theme {W}><a:majorFont><a:latin typeface="Arial"/></a:majorFont><a:minorFont><a:latin typeface="Menlo"/></a:minorFont></a:theme>'}), "`mono` plain\n"),
+    "text box": (package(document(para(run("out"), "<w:r><w:pict><w:txbxContent>" + para(run("boxed")) + "</w:txbxContent></w:pict></w:r>"), para(run("after")))), "out\n\nboxed\n\nafter\n"),
+    "math": (package(document(para(run("x="), "<m:oMath><m:f><m:num><m:r><m:t>a</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f><m:sSup><m:e><m:r><m:t>c</m:t></m:r></m:e><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSup></m:oMath>"))), "x=a/bc^2\n"),
+    "nested": (package(document("<w:tbl><w:tblGrid><w:gridCol/></w:tblGrid><w:tr><w:tc>" + para(run("outer")) + table([cell("in1"), cell("in2")]) + para() + "</w:tc></w:tr></w:tbl>")), "| outer<br>in1<br>in2 |\n| --- |\n"),
     "empty": (package(document()), ""),
 }
 
@@ -103,3 +107,10 @@ def test_options(spark):
     files = spark.createDataFrame([("o", bytearray(package(document(para(run("u", "<w:u w:val='single'/>"), run("h", "<w:highlight w:val='yellow'/>"), "<w:r><w:br/></w:r>", run("“q” – x…"))))))], "path string, content binary")
     got = convert_files(files, Options(underline="u", highlight="mark", hard_break="spaces", ascii_punct=True)).documents.first()["markdown"]
     assert got == '<u>u</u><mark>h</mark>  \n"q" -- x...\n'
+
+
+def test_image_size_and_blank_header(spark):
+    body = document(para(f"<w:r>{BLIP.replace('<wp:docPr', '<wp:extent cx=@952500@ cy=@1@/><wp:docPr'.replace('@', chr(34)))}</w:r>"), table([cell("a"), cell("b")]))
+    files = spark.createDataFrame([("o", bytearray(package(body, links=[("rIdI", "image", "media/pic.png")], extra={"word/media/pic.png": PNG})))], "path string, content binary")
+    got = convert_files(files, Options(image_size=True, header_row="empty")).documents.first()["markdown"]
+    assert got == '<img src="media/image1.png" alt="a [nice] view" width="100">\n\n|  |  |\n| --- | --- |\n| a | b |\n'

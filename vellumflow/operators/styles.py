@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions import strings
@@ -55,6 +55,23 @@ def run_properties(nodes: DataFrame, owner: str) -> DataFrame:
     return at.select("doc_id", "part", F.col("near")[owner].alias("owner"), F.col("name").alias("prop"), attr("w:val").alias("value"), strings.on_off(attr("w:val"), F.lit(True)).alias("on"), "attrs")
 
 
+def font_name(attrs: Column) -> Column:
+    """The font that run properties name, or a reference to the theme's, which comes first."""
+    return F.coalesce(F.concat(F.lit("theme:"), attrs["w:asciiTheme"]), attrs["w:ascii"])
+
+
+def theme_fonts(nodes: DataFrame) -> DataFrame:
+    """``doc_id, major_font, minor_font`` of the theme part."""
+    latin = nodes.where((F.col("ns") == "a") & (F.col("name") == "latin"))
+    inside = lambda name: F.max(F.when(F.col("near")[name].isNotNull(), attr("typeface")))
+    return latin.groupBy("doc_id").agg(inside("majorFont").alias("major_font"), inside("minorFont").alias("minor_font"))
+
+
+def themed(font: Column) -> Column:
+    """References to the theme as its fonts."""
+    return F.when(F.startswith(font, F.lit("theme:major")), F.coalesce("major_font", F.lit(""))).when(F.startswith(font, F.lit("theme:minor")), F.coalesce("minor_font", F.lit(""))).otherwise(font)
+
+
 def styles(nodes: DataFrame) -> DataFrame:
     """``doc_id, style_id, type, name_norm, based_on, is_default`` and the style's own properties as maps."""
     own = nodes.where((F.col("ns") == "w") & (F.col("name") == "style")).select("doc_id", "part", F.col("seq").alias("owner"), attr("w:styleId").alias("style_id"), F.coalesce(attr("w:type"), F.lit("paragraph")).alias("type"), F.coalesce(strings.on_off(attr("w:default"), attr("w:default").isNotNull()), F.lit(False)).alias("is_default"))
@@ -63,7 +80,7 @@ def styles(nodes: DataFrame) -> DataFrame:
     props = run_properties(nodes, "style").groupBy("doc_id", "part", "owner").agg(
         F.map_from_entries(F.collect_set(F.when(F.col("prop").isin(TOGGLES), F.struct("prop", "on")))).alias("toggles"),
         F.map_from_entries(F.collect_set(F.when(~F.col("prop").isin([*TOGGLES, "rFonts"]), F.struct("prop", F.coalesce("value", F.lit("true")))))).alias("props"),
-        F.max(F.when(F.col("prop") == "rFonts", F.col("attrs")["w:ascii"])).alias("font"),
+        F.max(F.when(F.col("prop") == "rFonts", font_name(F.col("attrs")))).alias("font"),
     )
     para = child.where(F.col("near")["pPr"].isNotNull() & F.col("near")["rPr"].isNull()).groupBy("doc_id", "part", F.col("near")["style"].alias("owner")).agg(
         F.max(F.when(F.col("name") == "outlineLvl", attr("w:val"))).alias("outline"),
@@ -93,7 +110,7 @@ def resolve_styles(style_rows: DataFrame) -> DataFrame:
 def doc_defaults(nodes: DataFrame) -> DataFrame:
     """``doc_id, default_toggles, default_font``."""
     inside = nodes.where((F.col("ns") == "w") & F.col("near")["rPrDefault"].isNotNull() & F.col("near")["rPr"].isNotNull())
-    return inside.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.when(F.col("name").isin(TOGGLES), F.struct("name", strings.on_off(attr("w:val"), F.lit(True)))))).alias("default_toggles"), F.max(F.when(F.col("name") == "rFonts", attr("w:ascii"))).alias("default_font"))
+    return inside.groupBy("doc_id").agg(F.map_from_entries(F.collect_set(F.when(F.col("name").isin(TOGGLES), F.struct("name", strings.on_off(attr("w:val"), F.lit(True)))))).alias("default_toggles"), F.max(F.when(F.col("name") == "rFonts", font_name(F.col("attrs")))).alias("default_font"))
 
 
 def numbering(nodes: DataFrame, style_numbers: DataFrame) -> DataFrame:

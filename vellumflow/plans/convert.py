@@ -40,6 +40,8 @@ class Options:
     ascii_punct: bool = False
     autolink: bool = False
     media_dir: str = "media"
+    image_size: bool = False
+    header_row: str = "first"
     caps: docx.Caps = field(default_factory=docx.Caps)
 
 
@@ -153,6 +155,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     style_nodes = by_part("styles")
     resolved = staged(styles.resolve_styles(styles.styles(style_nodes)), "resolved")
     defaults = styles.doc_defaults(style_nodes)
+    themes = styles.theme_fonts(by_part("theme"))
     nums = staged(styles.numbering(by_part("numbering"), resolved.select("doc_id", "style_id", "num_id")), "nums")
 
     # -- content ---------------------------------------------------------
@@ -192,10 +195,10 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
 
     # -- runs ------------------------------------------------------------
     run_rows = styles.run_properties(in_story.where(near("p").isNotNull() & near("pPr").isNull()), "r")
-    direct = run_rows.groupBy("doc_id", "part", F.col("owner").alias("run")).agg(F.map_from_entries(F.collect_set(F.when(F.col("prop").isin(styles.TOGGLES), F.struct("prop", "on")))).alias("d_toggles"), F.map_from_entries(F.collect_set(F.when(~F.col("prop").isin([*styles.TOGGLES, "rFonts"]), F.struct("prop", F.coalesce("value", F.lit("true")))))).alias("d_props"), F.max(F.when(F.col("prop") == "rFonts", F.col("attrs")["w:ascii"])).alias("d_font"))
+    direct = run_rows.groupBy("doc_id", "part", F.col("owner").alias("run")).agg(F.map_from_entries(F.collect_set(F.when(F.col("prop").isin(styles.TOGGLES), F.struct("prop", "on")))).alias("d_toggles"), F.map_from_entries(F.collect_set(F.when(~F.col("prop").isin([*styles.TOGGLES, "rFonts"]), F.struct("prop", F.coalesce("value", F.lit("true")))))).alias("d_props"), F.max(F.when(F.col("prop") == "rFonts", styles.font_name(F.col("attrs")))).alias("d_font"))
     said = said.join(direct, ["doc_id", "part", "run"], "left").withColumn("r_style", F.col("d_props")["rStyle"])
     char = resolved.select("doc_id", F.col("style_id").alias("r_style"), F.col("trues").alias("r_trues"), F.col("props").alias("r_props"), F.col("font").alias("r_font"), F.transform("chain", lambda x: x["name"]).alias("r_names"))
-    said = said.join(char, ["doc_id", "r_style"], "left").join(defaults, "doc_id", "left")
+    said = said.join(char, ["doc_id", "r_style"], "left").join(defaults, "doc_id", "left").join(themes, "doc_id", "left")
 
     def toggled(name: str) -> Column:
         of = lambda c: F.coalesce(F.size(F.filter(c, lambda x: x == name)), F.lit(0))
@@ -206,7 +209,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
 
     prop = lambda name: F.coalesce(F.col("d_props")[name], F.col("r_props")[name], F.col("p_props")[name])
     plain_on = lambda name: F.coalesce(F.lower(prop(name)).isin("1", "true", "on"), F.lit(False))
-    font = F.lower(F.coalesce("d_font", "r_font", "p_font", "default_font", F.lit("")))
+    font = F.lower(styles.themed(F.coalesce("d_font", "r_font", "p_font", "default_font", F.lit(""))))
     code = F.coalesce(F.arrays_overlap("r_names", F.array(*map(F.lit, styles.CODE_SPAN_STYLES))), F.lit(False)) | font.isin(styles.MONOSPACE)
     linkish = F.coalesce(F.arrays_overlap("r_names", F.array(*map(F.lit, styles.LINK_STYLES))), F.lit(False))
     fmt = runs.fmt_bits(bold=toggled("b") & ~code, italic=toggled("i") & ~code, strike=toggled("strike") | plain_on("dstrike"), code=code, sup=prop("vertAlign") == "superscript", sub=prop("vertAlign") == "subscript", underline=(F.coalesce(prop("u"), F.lit("none")) != "none") & ~linkish, highlight=F.coalesce(prop("highlight"), F.lit("none")) != "none")
@@ -229,7 +232,8 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     # -- notes, images ---------------------------------------------------
     note_refs = shown.where("kind = 'note'").join(story.where("story = 'body'").select("doc_id", "part"), ["doc_id", "part"], "left_semi")
     numbers = staged(structure.renumber(note_refs.withColumn("rank", F.when(F.col("note_story") == "footnotes", 0).otherwise(1)), ["doc_id"], ["note_story", "note_id"], ["seq"], "rank").withColumnRenamed("number", "note_no"), "numbers")
-    names = content.where((F.col("ns") == "wp") & (F.col("name") == "docPr")).groupBy("doc_id", "part", near("drawing").alias("drawing")).agg(F.max(F.coalesce(F.nullif(attr("descr"), F.lit("")), F.nullif(attr("title"), F.lit("")), attr("name"))).alias("descr"))
+    described = F.when(F.col("name") == "docPr", F.coalesce(F.nullif(attr("descr"), F.lit("")), F.nullif(attr("title"), F.lit("")), attr("name")))
+    names = content.where((F.col("ns") == "wp") & F.col("name").isin("docPr", "extent")).groupBy("doc_id", "part", near("drawing").alias("drawing")).agg(F.max(described).alias("descr"), F.max(F.when(F.col("name") == "extent", attr("cx").try_cast("long"))).alias("cx"))
     pictures = package.resolve_rels(shown.where("kind = 'image'").select("doc_id", F.col("part").alias("source_part"), "seq", "rel_id"), rels).withColumnRenamed("source_part", "part")
     pictures = pictures.join(types.select("doc_id", F.col("part_key").alias("target_part"), "content_type"), ["doc_id", "target_part"], "left").withColumn("ext", package.extension_of(F.col("content_type"), F.col("target_part")))
     files_out = staged(structure.media_names(pictures.where("target_part is not null"), ["doc_id"], "target_part", ["part", "seq"]), "files-out")
@@ -237,6 +241,9 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     shown = shown.join(numbers, ["doc_id", "note_story", "note_id"], "left").join(names, ["doc_id", "part", "drawing"], "left").join(sources, ["doc_id", "part", "seq"], "left")
     alt = escape.alt_text(F.coalesce("descr", "title", F.lit("")))
     picture = F.concat(F.lit("!["), alt, F.lit("]("), escape.destination(F.col("src")), F.lit(")")) if options.images else alt
+    if options.images and options.image_size:
+        sized = F.concat(F.lit('<img src="'), F.replace(escape.destination(F.col("src")), F.lit('"'), F.lit("%22")), F.lit('" alt="'), F.replace(escape.html(F.coalesce("descr", "title", F.lit(""))), F.lit('"'), F.lit("&quot;")), F.lit('" width="'), F.floor(F.col("cx") / 9525).cast("string"), F.lit('">'))
+        picture = F.coalesce(sized, picture)
     raw = F.when(F.col("kind") == "note", F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]"))).when(F.col("kind") == "image", picture)
     spans = shown.select(*PARA, "seq", F.when(F.col("kind") == "text", F.lit("text")).otherwise(F.concat("kind", F.col("seq").cast("string"))).alias("kind"), F.coalesce(raw, F.col("text")).alias("text"), "fmt", "link", "dest").where("text is not null")
 
@@ -271,7 +278,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     paras = staged(paras.join(inline, PARA, "left").join(plain, PARA, "left").withColumn("inline", F.coalesce("inline", F.lit(""))), "inline")
 
     # -- tables ----------------------------------------------------------
-    cells = table_blocks(content, paras)
+    cells = table_blocks(content, paras, options.header_row)
 
     # -- blocks ----------------------------------------------------------
     is_rule = (F.trim("inline") == "") & F.col("ruled") | F.coalesce(F.col("plain"), F.lit("")).rlike(r"^\s*(-{3,}|\*{3,}|_{3,})\s*$")
@@ -304,10 +311,11 @@ def list_items(listed: DataFrame) -> DataFrame:
     return lists.indents(marked, ["doc_id", "part", "abstract_id"], order).select(*PARA, "marker", "width", "indent", "restarted")
 
 
-def table_blocks(content: DataFrame, paras: DataFrame) -> DataFrame:
+def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first") -> DataFrame:
     """One Markdown block per outermost table: ``doc_id, part, p`` (the table's place), ``note``, ``md``.
 
-    Nested tables are flattened into the text of the outer cell.
+    Nested tables are flattened into the text of the outer cell.  With
+    ``header_row`` "empty" a blank header comes before all rows.
     """
     w = F.col("ns") == "w"
     tables_ = content.where(w & (F.col("name") == "tbl")).select("doc_id", "part", F.col("seq").alias("tbl"), near("tbl").alias("outer"), near("tc").alias("outer_tc"), F.coalesce(near("footnote"), near("endnote")).alias("note"))
@@ -331,6 +339,9 @@ def table_blocks(content: DataFrame, paras: DataFrame) -> DataFrame:
     flagged = content.where(w & (F.col("name") == "tblHeader")).select("doc_id", "part", near("tr").alias("tr")).distinct().withColumn("is_header", F.lit(True))
     rows = cell.select(*keys, "tr", "row").distinct().join(flagged, ["doc_id", "part", "tr"], "left")
     headers = tables.header_rows(rows, keys).where("header")
+    if header_row == "empty":
+        blank = padded.select(*keys, F.lit(0).alias("row"), "grid_col", F.lit("").alias("text")).distinct()
+        padded, headers = padded.select(*keys, "row", "grid_col", "text").unionByName(blank), blank.select(*keys, "row").distinct()
     first_jc = cell.where("row = 1").select(*keys, "grid_col", "jc")
     aligns = padded.select(*keys, "grid_col").distinct().join(first_jc, [*keys, "grid_col"], "left")
     made = tables.pipe_tables(padded, keys, headers, aligns)
