@@ -57,9 +57,16 @@ def staged(df: DataFrame, label: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/vellumflow-{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
+    gone_at_exit(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> None:
+    """Remove a staged folder when the driver's JVM ends; results may be read until then."""
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
@@ -71,3 +78,13 @@ def source_file(name: str) -> str:
     import public_tokenizers
 
     return public_tokenizers.path(name)
+
+
+def held(df: DataFrame, **columns: Column) -> DataFrame:
+    """``df`` with columns that later steps read as they are.
+
+    Filters and projections are not pushed through a generator, so an expression
+    that is costly, or that lambdas refer to for every element, is computed once
+    for each row and never copied into its readers.
+    """
+    return df.select("*", F.inline(F.array(F.struct(*[c.alias(name) for name, c in columns.items()]))))

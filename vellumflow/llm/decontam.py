@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, staged
+from .common import ascii_lower, held, staged
 
 NGRAM = 13
 #: Windows that may travel with the tasks (about 100 bytes each).
@@ -78,7 +78,7 @@ def _by_set(docs: DataFrame, windows: list) -> DataFrame:
     hits = f"array_sort(concat({', '.join(parts)}))"
     # One literal map: window text to its items.
     table = F.expr("str_to_map('" + "\x01".join(f"{g}\x02" + "\x03".join(sorted(i.replace("\\", "\\\\").replace("'", "\\'") for i in ids)) for g, ids in sorted(items.items())) + "', '\x01', '\x02')")
-    found = docs.withColumn("hits", F.expr(hits).cast(_HITS))
+    found = held(docs, hits=F.expr(hits).cast(_HITS))
     named = F.flatten(F.transform("hits", lambda h: F.split(F.element_at(table, F.array_join(F.slice("words", h["pos"] + 1, h["len"]), " ")), "\x03")))
     return found.withColumn("items", F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(named))).otherwise(F.array().cast("array<string>")))
 
@@ -106,8 +106,8 @@ def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_set: int = M
     """Adds to every row: words, n_words, hits (window starts and lengths), items, n_hit, contaminated."""
     windows = windows_of(benchmark, n)
     first = windows.limit(max_set + 1).collect()  # bounded by max_set
-    held = docs.withColumn("words", words_of(F.col("text").cast("string"))).withColumn("n_words", F.size("words"))
-    found = _by_set(held, first) if len(first) <= max_set else _by_join(held, windows)
+    split = held(docs, words=words_of(F.col("text").cast("string"))).withColumn("n_words", F.size("words"))
+    found = _by_set(split, first) if len(first) <= max_set else _by_join(split, windows)
     return found.withColumn("n_hit", _covered(F.col("hits"))).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit").cast("long") * ONE_IN >= F.col("n_words")))
 
 
@@ -124,11 +124,22 @@ def report(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> Dat
     )
 
 
+def _bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once, even where ``use`` refers to it for every element of an array."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def without_hits(text: Column, hits: Column) -> Column:
     """The text without the words inside any hit and the gap before each."""
     gaps, words = F.split(text, _RAW_WORD, -1), F.regexp_extract_all(text, F.lit(f"({_RAW_WORD})"), F.lit(1))
-    kept = F.transform(words, lambda w, i: F.when(F.exists(hits, lambda h: (h["pos"] <= i) & (i < h["pos"] + h["len"])), F.lit("")).otherwise(F.concat(F.get(gaps, i), w)))
-    return F.concat(F.array_join(kept, ""), F.get(gaps, F.size(words)))
+
+    def cut(b: Column) -> Column:
+        def piece(w: Column, i: Column) -> Column:
+            return F.when(F.exists(b["hits"], lambda h: (h["pos"] <= i) & (i < h["pos"] + h["len"])), F.lit("")).otherwise(F.concat(F.get(b["gaps"], i), w))
+
+        return F.concat(F.array_join(F.transform(b["words"], piece), ""), F.get(b["gaps"], F.size(b["words"])))
+
+    return _bound(F.struct(gaps.alias("gaps"), words.alias("words"), hits.alias("hits")), cut)
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, max_set: int = MAX_SET) -> DataFrame:
