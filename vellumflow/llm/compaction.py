@@ -113,7 +113,9 @@ class ShardStore:
     def _run(self, name: str) -> Run | None:
         fs, at = self._fs, self._path("data", name)
         files = [s for s in fs.listStatus(at) if s.getPath().getName().endswith(".parquet")] if fs.exists(at) else []
-        return Run(f"data/{name}", sum(s.getLen() for s in files), len(files)) if files else None
+        if not files or self.spark.read.parquet(str(at)).isEmpty():
+            return None
+        return Run(f"data/{name}", sum(s.getLen() for s in files), len(files))
 
     def append(self, arrivals: DataFrame, by: str | None = None) -> Manifest:
         """Write rows as new runs, one for each value of the column ``by`` (then not stored), and commit each as an arrival."""
