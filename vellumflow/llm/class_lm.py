@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from .common import prepare, staged
 
 HEAD_UNITS, ENDING_UNITS = 512, 512
-HEAD_WORDS = 150_000
+HEAD_WORDS = 100_000
 CLASSES = 48
 SWEEPS = 8
 #: Additive smoothing of emissions, and the weight of class frequencies in transitions.
@@ -61,7 +61,7 @@ class _Units(dict):
 
     def __missing__(self, word: bytes) -> int:
         found = ending_unit(word)
-        if len(self) < 300_000:
+        if len(self) < 60_000:
             self[word] = found
         return found
 
@@ -80,7 +80,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         for b in batches:
             held[END] += b.num_rows
             held.update(chain.from_iterable(map(words_of, b.column("text").to_pylist())))
-            if len(held) > 600_000:
+            if len(held) > 150_000:
                 yield flush()
         if held:
             yield flush()
