@@ -56,6 +56,7 @@ CASES = {
     "text box": (package(document(para(run("out"), "<w:r><w:pict><w:txbxContent>" + para(run("boxed")) + "</w:txbxContent></w:pict></w:r>"), para(run("after")))), "out\n\nboxed\n\nafter\n"),
     "math": (package(document(para(run("x="), "<m:oMath><m:f><m:num><m:r><m:t>a</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f><m:sSup><m:e><m:r><m:t>c</m:t></m:r></m:e><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSup></m:oMath>"))), "x=a/bc^2\n"),
     "nested": (package(document("<w:tbl><w:tblGrid><w:gridCol/></w:tblGrid><w:tr><w:tc>" + para(run("outer")) + table([cell("in1"), cell("in2")]) + para() + "</w:tc></w:tr></w:tbl>")), "| outer<br>in1<br>in2 |\n| --- |\n"),
+    "picture field": (package(document(para(FIELD.format("begin"), INSTR.format(' INCLUDEPICTURE "https://x.y/p.png" '), FIELD.format("separate"), run("stale"), FIELD.format("end"), run(" seen")))), "![](https://x.y/p.png) seen\n"),
     "empty": (package(document()), ""),
 }
 
@@ -109,8 +110,10 @@ def test_options(spark):
     assert got == '<u>u</u><mark>h</mark>  \n"q" -- x...\n'
 
 
-def test_image_size_and_blank_header(spark):
-    body = document(para(f"<w:r>{BLIP.replace('<wp:docPr', '<wp:extent cx=@952500@ cy=@1@/><wp:docPr'.replace('@', chr(34)))}</w:r>"), table([cell("a"), cell("b")]))
-    files = spark.createDataFrame([("o", bytearray(package(body, links=[("rIdI", "image", "media/pic.png")], extra={"word/media/pic.png": PNG})))], "path string, content binary")
-    got = convert_files(files, Options(image_size=True, header_row="empty")).documents.first()["markdown"]
-    assert got == '<img src="media/image1.png" alt="a [nice] view" width="100">\n\n|  |  |\n| --- | --- |\n| a | b |\n'
+def test_further_options(spark):
+    remark = f'<w:comments {W}><w:comment w:id="3" w:author="Ann">' + para(run("why -- this")) + "</w:comment></w:comments>"
+    merged = table([cell("wide", "<w:gridSpan w:val='2'/>")], [cell("top", "<w:vMerge w:val='restart'/>"), cell("x&amp;y")], [cell("", "<w:vMerge/>"), cell("z")])
+    body = document(para(f"<w:r>{BLIP.replace('<wp:docPr', '<wp:extent cx=@952500@ cy=@1@/><wp:docPr'.replace('@', chr(34)))}</w:r>"), table([cell("a"), cell("b")]), para(run("said"), '<w:r><w:commentReference w:id="3"/></w:r>'), merged)
+    files = spark.createDataFrame([("o", bytearray(package(body, links=[("rIdI", "image", "media/pic.png"), ("rIdC", "comments", "comments.xml")], extra={"word/media/pic.png": PNG, "word/comments.xml": remark})))], "path string, content binary")
+    got = convert_files(files, Options(image_size=True, header_row="empty", comments="html", tables="html-on-merge")).documents.first()["markdown"]
+    assert got == '<img src="media/image1.png" alt="a [nice] view" width="100">\n\n|  |  |\n| --- | --- |\n| a | b |\n\nsaid<!-- Ann: why - - this -->\n\n<table>\n<tr><th colspan="2">wide</th></tr>\n<tr><td rowspan="2">top</td><td>x&amp;y</td></tr>\n<tr><td>z</td></tr>\n</table>\n'

@@ -64,3 +64,14 @@ def pipe_tables(cells: DataFrame, table_keys: list[str], headers: DataFrame | No
     ordered = F.array_sort(F.collect_list(F.struct((F.col("row") != F.col("header_row")).alias("body"), "row", "line")))
     joined = lines.join(first.select(*table_keys, "header_row"), table_keys).groupBy(*table_keys).agg(F.transform(ordered, lambda x: x["line"]).alias("lines"))
     return joined.join(rule, table_keys).select(*table_keys, F.array_join(F.concat(F.slice("lines", F.lit(1), F.lit(1)), F.array("rule"), F.slice("lines", F.lit(2), F.greatest(F.size("lines") - 1, F.lit(0)))), "\n").alias("markdown"))
+
+
+def html_tables(cells: DataFrame, table_keys: list[str]) -> DataFrame:
+    """One HTML table per key with column and row spans; ``cells`` has row, grid_col, span, restart and html."""
+    spanned = row_spans(cells, [*table_keys, "grid_col"], ["row"]).where("restart")
+    attribute = lambda name, c: F.when(F.col(c) > 1, F.concat(F.lit(f' {name}="'), F.col(c).cast("string"), F.lit('"'))).otherwise(F.lit(""))
+    tag = F.when(F.col("row") == 1, F.lit("th")).otherwise(F.lit("td"))
+    one = F.concat(F.lit("<"), tag, attribute("colspan", "span"), attribute("rowspan", "rowspan"), F.lit(">"), "html", F.lit("</"), tag, F.lit(">"))
+    rows = spanned.withColumn("one", one).groupBy(*table_keys, "row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("grid_col", "one"))), lambda x: x["one"]), "").alias("inner"))
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("row", "inner"))), lambda x: F.concat(F.lit("<tr>"), x["inner"], F.lit("</tr>"))), "\n")
+    return rows.groupBy(*table_keys).agg(F.concat(F.lit("<table>\n"), joined, F.lit("\n</table>")).alias("markdown"))

@@ -42,6 +42,8 @@ class Options:
     media_dir: str = "media"
     image_size: bool = False
     header_row: str = "first"
+    tables: str = "gfm"
+    comments: str = "drop"
     caps: docx.Caps = field(default_factory=docx.Caps)
 
 
@@ -134,9 +136,17 @@ def tokens(nodes: DataFrame) -> DataFrame:
     )
     note = F.when(w & (name == "footnoteReference"), F.lit("footnotes")).when(w & (name == "endnoteReference"), F.lit("endnotes"))
     embed = F.when((F.col("ns") == "a") & (name == "blip"), F.coalesce(attr("r:embed"), attr("r:link"))).when((F.col("ns") == "v") & (name == "imagedata"), attr("r:id"))
-    kind = F.when(text.isNotNull(), F.lit("text")).when(note.isNotNull(), F.lit("note")).when(embed.isNotNull(), F.lit("image"))
+    kind = F.when(text.isNotNull(), F.lit("text")).when(note.isNotNull(), F.lit("note")).when(embed.isNotNull(), F.lit("image")).when(w & (name == "commentReference"), F.lit("comment"))
     rows = nodes.where(near("p").isNotNull()).withColumn("kind", kind).where(F.col("kind").isNotNull() & near("rt").isNull())
-    return rows.select("doc_id", "part", "seq", near("p").alias("p"), near("r").alias("run"), "kind", text.alias("text"), note.alias("note_story"), F.when(note.isNotNull(), attr("w:id")).alias("note_id"), embed.alias("rel_id"), F.coalesce(F.when(name == "imagedata", attr("o:title")), F.lit(None)).alias("title"), near("hyperlink").alias("hyperlink"), near("fldSimple").alias("simple"), near("drawing").alias("drawing"))
+    return rows.select("doc_id", "part", "seq", near("p").alias("p"), near("r").alias("run"), "kind", text.alias("text"), note.alias("note_story"), F.when(note.isNotNull() | (name == "commentReference"), attr("w:id")).alias("note_id"), embed.alias("rel_id"), F.coalesce(F.when(name == "imagedata", attr("o:title")), F.lit(None)).alias("title"), near("hyperlink").alias("hyperlink"), near("fldSimple").alias("simple"), near("drawing").alias("drawing"))
+
+
+def comment_texts(nodes: DataFrame) -> DataFrame:
+    """``doc_id, note_id, remark``: each comment as an HTML comment (double hyphens would end it)."""
+    about = nodes.where((F.col("ns") == "w") & (F.col("name") == "comment")).select("doc_id", F.col("seq").alias("c"), attr("w:id").alias("note_id"), F.coalesce(attr("w:author"), F.lit("")).alias("author"))
+    said = nodes.where((F.col("ns") == "w") & (F.col("name") == "t") & near("comment").isNotNull()).groupBy("doc_id", near("comment").alias("c")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("said"))
+    inner = F.replace(F.concat("author", F.lit(": "), F.coalesce("said", F.lit(""))), F.lit("--"), F.lit("- -"))
+    return about.join(said, ["doc_id", "c"], "left").select("doc_id", "note_id", F.concat(F.lit("<!-- "), inner, F.lit(" -->")).alias("remark"))
 
 
 def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
@@ -174,6 +184,8 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     if options.toc == "skip":
         silent = silent.unionByName(frames.where(strings.field_keyword(F.col("instr")) == "TOC").select("doc_id", "part", "b", F.col("last").alias("to")))
         silent = silent.unionByName(content.where((F.col("name") == "fldSimple") & (strings.field_keyword(attr("w:instr")) == "TOC")).select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to")))
+    included = frames.where((strings.field_keyword(F.col("instr")) == "INCLUDEPICTURE") & (strings.field_argument(F.col("instr")) != "")).select("doc_id", "part", "b", F.col("last").alias("to"), strings.field_argument(F.col("instr")).alias("url"))
+    silent = silent.unionByName(included.select("doc_id", "part", "b", "to"))
     said = outside(tokens(content), silent, "b", "to")
 
     # -- paragraphs ------------------------------------------------------
@@ -238,15 +250,23 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     pictures = pictures.join(types.select("doc_id", F.col("part_key").alias("target_part"), "content_type"), ["doc_id", "target_part"], "left").withColumn("ext", package.extension_of(F.col("content_type"), F.col("target_part")))
     files_out = staged(structure.media_names(pictures.where("target_part is not null"), ["doc_id"], "target_part", ["part", "seq"]), "files-out")
     sources = pictures.join(files_out.select("doc_id", "target_part", "out_name"), ["doc_id", "target_part"], "left").select("doc_id", "part", "seq", F.when(F.col("external"), F.col("target")).otherwise(F.concat(F.lit(f"{options.media_dir}/"), "out_name")).alias("src"))
+    said_about = comment_texts(by_part("comments")) if options.comments == "html" else None
     shown = shown.join(numbers, ["doc_id", "note_story", "note_id"], "left").join(names, ["doc_id", "part", "drawing"], "left").join(sources, ["doc_id", "part", "seq"], "left")
     alt = escape.alt_text(F.coalesce("descr", "title", F.lit("")))
     picture = F.concat(F.lit("!["), alt, F.lit("]("), escape.destination(F.col("src")), F.lit(")")) if options.images else alt
     if options.images and options.image_size:
         sized = F.concat(F.lit('<img src="'), F.replace(escape.destination(F.col("src")), F.lit('"'), F.lit("%22")), F.lit('" alt="'), F.replace(escape.html(F.coalesce("descr", "title", F.lit(""))), F.lit('"'), F.lit("&quot;")), F.lit('" width="'), F.floor(F.col("cx") / 9525).cast("string"), F.lit('">'))
         picture = F.coalesce(sized, picture)
-    raw = F.when(F.col("kind") == "note", F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]"))).when(F.col("kind") == "image", picture)
+    if said_about is None:
+        shown = shown.where("kind <> 'comment'").withColumn("remark", F.lit(None).cast("string"))
+    else:
+        shown = shown.join(said_about.withColumn("kind", F.lit("comment")), ["doc_id", "kind", "note_id"], "left")
+    raw = F.when(F.col("kind") == "comment", F.col("remark")).when(F.col("kind") == "note", F.concat(F.lit("[^"), F.col("note_no").cast("string"), F.lit("]"))).when(F.col("kind") == "image", picture)
     spans = shown.select(*PARA, "seq", F.when(F.col("kind") == "text", F.lit("text")).otherwise(F.concat("kind", F.col("seq").cast("string"))).alias("kind"), F.coalesce(raw, F.col("text")).alias("text"), "fmt", "link", "dest").where("text is not null")
 
+    where = content.where("name = 'fldChar'").select("doc_id", "part", F.col("seq").alias("b"), near("p").alias("p"))
+    spans = spans.unionByName(included.join(where, ["doc_id", "part", "b"]).select(*PARA, F.col("b").alias("seq"), F.concat(F.lit("image"), "b").alias("kind"), F.concat(F.lit("![]("), escape.destination("url"), F.lit(")")).alias("text"), F.lit(0).alias("fmt"), F.lit(None).cast("int").alias("link"), F.lit(None).cast("string").alias("dest")))
+
     # -- bookmarks and slugs ---------------------------------------------
     spans = staged(runs.coalesce_runs(spans, PARA, "seq", ["kind", "fmt", "link", "dest"]).drop("island"), "spans")
     plain = spans.where("kind = 'text'").groupBy(*PARA).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), "").alias("plain"), F.bool_and(runs.has(F.col("fmt"), "code")).alias("all_code"))
@@ -278,7 +298,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     paras = staged(paras.join(inline, PARA, "left").join(plain, PARA, "left").withColumn("inline", F.coalesce("inline", F.lit(""))), "inline")
 
     # -- tables ----------------------------------------------------------
-    cells = table_blocks(content, paras, options.header_row)
+    cells = table_blocks(content, paras, options.header_row, options.tables)
 
     # -- blocks ----------------------------------------------------------
     is_rule = (F.trim("inline") == "") & F.col("ruled") | F.coalesce(F.col("plain"), F.lit("")).rlike(r"^\s*(-{3,}|\*{3,}|_{3,})\s*$")
@@ -311,17 +331,18 @@ def list_items(listed: DataFrame) -> DataFrame:
     return lists.indents(marked, ["doc_id", "part", "abstract_id"], order).select(*PARA, "marker", "width", "indent", "restarted")
 
 
-def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first") -> DataFrame:
+def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first", form: str = "gfm") -> DataFrame:
     """One Markdown block per outermost table: ``doc_id, part, p`` (the table's place), ``note``, ``md``.
 
     Nested tables are flattened into the text of the outer cell.  With
-    ``header_row`` "empty" a blank header comes before all rows.
+    ``header_row`` "empty" a blank header comes before all rows.  With ``form``
+    "html-on-merge" tables with merged cells or inner tables become HTML.
     """
     w = F.col("ns") == "w"
     tables_ = content.where(w & (F.col("name") == "tbl")).select("doc_id", "part", F.col("seq").alias("tbl"), near("tbl").alias("outer"), near("tc").alias("outer_tc"), F.coalesce(near("footnote"), near("endnote")).alias("note"))
-    homes = paras.where("tbl is not null").select("doc_id", "part", "p", "tbl", "tc", "inline", "jc")
+    homes = paras.where("tbl is not null").select("doc_id", "part", "p", "tbl", "tc", "inline", "plain", "jc")
     for _ in range(3):  # nesting that is deeper stays with its third table
-        homes = homes.join(tables_.select("doc_id", "part", "tbl", "outer", "outer_tc"), ["doc_id", "part", "tbl"], "left").select("doc_id", "part", "p", F.coalesce("outer", "tbl").alias("tbl"), F.when(F.col("outer").isNotNull(), F.col("outer_tc")).otherwise(F.col("tc")).alias("tc"), "inline", "jc")
+        homes = homes.join(tables_.select("doc_id", "part", "tbl", "outer", "outer_tc"), ["doc_id", "part", "tbl"], "left").select("doc_id", "part", "p", F.coalesce("outer", "tbl").alias("tbl"), F.when(F.col("outer").isNotNull(), F.col("outer_tc")).otherwise(F.col("tc")).alias("tc"), "inline", "plain", "jc")
     top = tables_.where("outer is null")
     grid = content.where(w & (F.col("name") == "gridCol")).groupBy("doc_id", "part", near("tbl").alias("tbl")).agg(F.count("*").cast("int").alias("n_grid"))
     cell = content.where(w & (F.col("name") == "tc")).select("doc_id", "part", F.col("seq").alias("tc"), near("tr").alias("tr"), near("tbl").alias("tbl")).join(top.select("doc_id", "part", "tbl", "note"), ["doc_id", "part", "tbl"])
@@ -329,7 +350,7 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
     cell = cell.join(props, ["doc_id", "part", "tc"], "left").withColumn("span", F.coalesce("span", F.lit(1)))
     row_no = F.dense_rank().over(W.Window.partitionBy("doc_id", "part", "tbl").orderBy("tr"))
     cell = tables.grid_positions(cell.withColumn("row", row_no), ["doc_id", "part", "tbl", "row"], ["tc"])
-    texts = homes.where(F.trim("inline") != "").groupBy("doc_id", "part", "tc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.trim("inline").alias("t")))), lambda x: x["t"]), "\n").alias("joined"))
+    texts = homes.where(F.trim("inline") != "").groupBy("doc_id", "part", "tc").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.trim("inline").alias("t")))), lambda x: x["t"]), "\n").alias("joined"), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("p", F.trim(F.coalesce("plain", F.lit(""))).alias("t")))), lambda x: x["t"]), "\n").alias("bare"))
     jc = homes.groupBy("doc_id", "part", "tc").agg(F.min_by("jc", "p").alias("jc"))
     keys = ["doc_id", "part", "tbl"]
     cell = cell.join(texts, ["doc_id", "part", "tc"], "left").join(jc, ["doc_id", "part", "tc"], "left").join(grid, keys, "left")
@@ -345,6 +366,11 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
     first_jc = cell.where("row = 1").select(*keys, "grid_col", "jc")
     aligns = padded.select(*keys, "grid_col").distinct().join(first_jc, [*keys, "grid_col"], "left")
     made = tables.pipe_tables(padded, keys, headers, aligns)
+    if form == "html-on-merge":
+        holders = tables_.where("outer is not null").select("doc_id", "part", F.col("outer").alias("tbl"))
+        merged = cell.where((F.col("span") > 1) | F.col("v_merge").isNotNull()).select(*keys).unionByName(holders).distinct()
+        rich = tables.html_tables(cell.join(merged, keys, "left_semi").withColumns({"restart": F.coalesce(F.col("v_merge"), F.lit("restart")) == "restart", "html": F.replace(escape.html(F.coalesce("bare", F.lit(""))), F.lit("\n"), F.lit("<br>"))}), keys)
+        made = made.join(rich.withColumnRenamed("markdown", "_html"), keys, "left").select(*keys, F.coalesce("_html", "markdown").alias("markdown"))
     return made.join(top.select(*keys, "note"), keys).select("doc_id", "part", F.col("tbl").alias("p"), "note", F.col("markdown").alias("md"))
 
 

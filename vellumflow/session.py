@@ -31,7 +31,13 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write once to the shared folder and read back: later steps neither recompute nor replan what came before."""
+    """Write once to the shared folder and read back: later steps neither recompute nor replan what came before.
+
+    The folder goes when the driver's JVM ends.
+    """
     path = f"{shared_dir(df.sparkSession)}/vellumflow-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    context = df.sparkSession.sparkContext
+    at = context._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(at)
     return df.sparkSession.read.schema(df.schema).parquet(path)
