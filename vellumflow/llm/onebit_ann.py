@@ -93,18 +93,19 @@ def _packed(codes: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(np.pad(codes, ((0, 0), (0, width - codes.shape[1])))).view(np.uint64)
 
 
-def exact_scores(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    """Row-wise inner products, summed component by component in order."""
-    total = np.zeros(len(left))
-    for d in range(left.shape[1]):
-        total += left[:, d] * right[:, d]
+def exact_scores(query: np.ndarray, columns: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Inner products of a query with some rows of a table that is given by columns, summed component by component in order."""
+    total = np.zeros(len(rows))
+    for x, column in zip(query.tolist(), columns, strict=True):
+        total += x * column[rows]
     return total
 
 
 def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: np.ndarray, length: np.ndarray, own: np.ndarray, centre: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The k best rows of the block for every query: positions of queries and rows, and exact scores."""
+    """The k best rows of the block for every query: positions of queries and rows, and exact scores.  ``vectors`` has a row for each component."""
     dim = queries.shape[1]
     words = _packed(codes)
+    columns = [np.ascontiguousarray(words[:, k]) for k in range(words.shape[1])]
     spread = np.sqrt(np.maximum(1 - own**2, 0)) / own / np.sqrt(max(dim - 1, 1))
     rotated = queries @ rotation(dim).T
     low, high = rotated.min(axis=1), rotated.max(axis=1)
@@ -122,8 +123,8 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
     for i in range(len(queries)):
         dots = np.zeros(len(words), np.int64)
         for j, plane in enumerate(planes):
-            hits = np.bitwise_count(words & plane[i]) if words.shape[1] > 1 else np.bitwise_count(words[:, 0] & plane[i, 0])[:, None]
-            dots += hits.sum(axis=1, dtype=np.int64) << j
+            for at, word in enumerate(columns):
+                dots += np.left_shift(np.bitwise_count(word & plane[i, at]), j, dtype=np.int64)
         # <code, q> with code signs +-1/sqrt(dim) and q = low + step * level
         signed = (step[i] * (2 * dots - sums[i]) + low[i] * (2 * ones - dim)) / np.sqrt(dim)
         estimate = length * (signed / own) + shift[i]
@@ -133,13 +134,13 @@ def search_block(queries: np.ndarray, query_ids: np.ndarray, vectors: np.ndarray
             estimate[order[p]] = -np.inf
         if len(estimate) > 2 * k:
             first = np.argpartition(-estimate, 2 * k - 1)[: 2 * k]
-            best = exact_scores(np.broadcast_to(queries[i], (len(first), dim)), vectors[first])
+            best = exact_scores(queries[i], vectors, first)
             best[estimate[first] == -np.inf] = -np.inf
             floor = np.partition(best, len(best) - k)[len(best) - k]
             rerank = np.flatnonzero(estimate + bound >= floor)
         else:
             rerank = np.flatnonzero(estimate > -np.inf)
-        score = exact_scores(np.broadcast_to(queries[i], (len(rerank), dim)), vectors[rerank])
+        score = exact_scores(queries[i], vectors, rerank)
         top = np.lexsort((ids[rerank], -score))[:k]
         out_q.append(np.full(len(top), i))
         out_r.append(rerank[top])
@@ -163,7 +164,7 @@ def nearest(rows: DataFrame, every: int, k: int = 20) -> DataFrame:
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
         dim = int(rows["dim"].iloc[0])
         codes = np.frombuffer(b"".join(rows["code"]), np.uint8).reshape(len(rows), -1)
-        vectors = np.asfortranarray(np.stack(rows["vector"].to_numpy()).astype(np.float64))
+        vectors = np.ascontiguousarray(np.stack(rows["vector"].to_numpy()).astype(np.float64).T)
         wanted = np.stack(asked["vector"].to_numpy()).astype(np.float64)
         ids, query_ids = rows["vec_id"].to_numpy(np.int64), asked["vec_id"].to_numpy(np.int64)
         q, r, s = search_block(wanted, query_ids, vectors, ids, codes, rows["length"].to_numpy(), rows["own"].to_numpy(), shared.value[dim], k)
