@@ -120,25 +120,24 @@ def fit(sample: DataFrame) -> bytes:
 
 class Labeller:
     def __init__(self, model: bytes):
-        self.langs, self.weights, self.masks = pickle.loads(model)
+        self.langs, self.weights, masks = pickle.loads(model)
+        #: Scripts that leave out some language, and the languages that they leave out.
+        self.excluded = {k: ~m for k, m in masks.items() if m.any() and not m.all()}
         self.words: dict[str, int] = {}
         self.scores = np.zeros((0, len(self.langs)), np.float32)
         self.letters = np.zeros(0, np.int64)
 
     def learn(self, new: list[str]) -> None:
-        if len(self.words) + len(new) > WORD_LIMIT:
-            self.words.clear()
-            self.scores, self.letters = self.scores[:0], self.letters[:0]
         letters = np.fromiter((sum(map(str.isalpha, w)) if not w.isalpha() else len(w) for w in new), np.int64, len(new))
         grams, begin = ngram_hashes(new)
         scores = np.zeros((len(new), len(self.langs)), np.float32)
         for kind in grams:
             for j in range(len(self.langs)):
                 scores[:, j] += np.add.reduceat(self.weights[kind, j], begin)
-        for i, w in enumerate(new):
-            mask = self.masks.get("latin" if w.isascii() else script_of(w))
-            if mask is not None and mask.any() and not mask.all():
-                scores[i, ~mask] -= 50.0
+        for i, w in enumerate(new if self.excluded else ()):
+            out = self.excluded.get("latin" if w.isascii() else script_of(w))
+            if out is not None:
+                scores[i, out] -= 50.0
         scores -= scores.max(axis=1, keepdims=True)
         scores[letters == 0] = 0.0
         base = len(self.words)
@@ -147,25 +146,41 @@ class Labeller:
 
     def label(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
         """Per text: the label of each word by Viterbi, and each word's letters."""
-        split = [(t or "").lower().split() for t in texts]
-        for part in _chunks(split, WORD_LIMIT // 2):
-            yield from self._label(part)
-
-    def _label(self, split: list[list[str]]) -> list[tuple[np.ndarray, np.ndarray]]:
-        known = self.words
-        new = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in known))
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        mixed: list[int] = []
+        waiting: list[np.ndarray] = []
+        for part in _chunks([(t or "").lower().split() for t in texts], WORD_LIMIT // 2):
+            sizes = [len(w) for w in part]
+            flat, end = self._known(part), 0
+            for n in sizes:
+                at = flat[end : end + n]
+                end += n
+                scores = self.scores[at]
+                single = single_label(scores, SWITCH_PENALTY)
+                found.append((np.full(n, single or 0, np.int16), self.letters[at]))
+                if single is None:
+                    mixed.append(len(found) - 1)
+                    waiting.append(scores)
+        # All texts that switch go through Viterbi side by side, longest first.
+        order = sorted(range(len(mixed)), key=lambda k: -len(waiting[k]))
+        if order:
+            sizes = np.array([len(waiting[k]) for k in order])
+            begin = np.cumsum(sizes) - sizes
+            labels = viterbi(np.concatenate([waiting[k] for k in order]), np.arange(int(sizes.sum())), begin, sizes, SWITCH_PENALTY)
+            for k, a, n in zip(order, begin.tolist(), sizes.tolist(), strict=True):
+                found[mixed[k]] = (labels[a : a + n], found[mixed[k]][1])
+        return found
+
+    def _known(self, split: list[list[str]]) -> np.ndarray:
+        """Rows of the score table for all words, scoring new ones first."""
+        new = list(dict.fromkeys(w for w in chain.from_iterable(split) if w not in self.words))
         if new:
-            if len(known) + len(new) > WORD_LIMIT:
+            if len(self.words) + len(new) > WORD_LIMIT:
                 new = list(dict.fromkeys(chain.from_iterable(split)))
-                known.clear()
+                self.words.clear()
                 self.scores, self.letters = self.scores[:0], self.letters[:0]
             self.learn(new)
-        sizes = [len(w) for w in split]
-        flat = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        order = sorted(range(len(split)), key=lambda i: -sizes[i])
-        begin = np.cumsum([0, *sizes])
-        labels = viterbi(self.scores, flat, begin[:-1][order], np.array(sizes)[order], SWITCH_PENALTY)
-        return [(labels[begin[i] : begin[i + 1]], self.letters[flat[begin[i] : begin[i + 1]]]) for i in range(len(split))]
+        return np.fromiter(map(self.words.__getitem__, chain.from_iterable(split)), np.int64, sum(map(len, split)))
 
 
 def _chunks(split: list[list[str]], most: int) -> Iterator[list[list[str]]]:
@@ -181,6 +196,22 @@ def _chunks(split: list[list[str]], most: int) -> Iterator[list[list[str]]]:
         yield part
 
 
+def single_label(scores: np.ndarray, penalty: float) -> int | None:
+    """The label of a text whose best path never switches, if that is certain.
+
+    A path with s segments in other labels switches at least s times.  If no
+    stretch in any other label gains more than one switch costs, staying in the
+    label of the largest sum is best.
+    """
+    if not len(scores):
+        return 0
+    total = scores.sum(axis=0, dtype=np.float64)
+    k = int(total.argmax())
+    gain = np.zeros((len(scores) + 1, scores.shape[1]))
+    np.cumsum(scores - scores[:, k : k + 1], axis=0, out=gain[1:])
+    return k if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty else None
+
+
 def viterbi(scores: np.ndarray, words: np.ndarray, begin: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
     """Best label sequences of many texts in lockstep, longest first; a switch costs ``penalty``."""
     out = np.zeros(len(words), np.int16)
@@ -236,7 +267,7 @@ def spans_of(text: str, labels: np.ndarray, langs: list[str]) -> list[tuple[int,
 
 def identify(docs: DataFrame, model: bytes, with_spans: bool = False) -> DataFrame:
     """doc_id, lang_pred, score for every row; with ``with_spans`` also the labelled spans."""
-    spark = prepare(docs.sparkSession, 500)
+    spark = prepare(docs.sparkSession, 1000)
     shared = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -266,7 +297,7 @@ def identify(docs: DataFrame, model: bytes, with_spans: bool = False) -> DataFra
 
 def keep_identified(docs: DataFrame, model: bytes, min_share: float) -> DataFrame:
     """Rows of ``docs`` whose main language holds at least ``min_share`` of the letters; same columns."""
-    shared = prepare(docs.sparkSession, 500).sparkContext.broadcast(model)
+    shared = prepare(docs.sparkSession, 1000).sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         labeller = _labeller(shared.value)
