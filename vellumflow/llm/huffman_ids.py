@@ -75,8 +75,9 @@ def id_counts(ids: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, np.int64)
         for b in batches:
-            for n, blob in zip(b.column("n_tokens").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                got = np.bincount(unpack(blob, n), minlength=len(total))
+            sizes, blobs = b.column("n_tokens").to_pylist(), b.column("ids").to_pylist()
+            for i, j in runs_of(sizes, PART_IDS):
+                got = np.bincount(unpack(b"".join(blobs[i:j]), sum(sizes[i:j])), minlength=len(total))
                 got[: len(total)] += total
                 total = got
         seen = np.flatnonzero(total)
@@ -138,23 +139,44 @@ def decode_table(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return symbol, size
 
 
-def encode_blocks(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray) -> tuple[bytes, np.ndarray]:
-    """Bits of one document's ids; each block of ``BLOCK`` ids starts at a byte.  Also each block's bytes."""
+def encode_blocks(ids: np.ndarray, codes: np.ndarray, lengths: np.ndarray, documents: np.ndarray | None = None) -> tuple[bytes, np.ndarray]:
+    """Bits of consecutive documents' ids; each block of at most ``BLOCK`` ids starts at a byte.  Also each block's bytes.
+
+    ``documents`` holds the number of ids of each document (one, by default).
+    """
+    documents = np.array([len(ids)]) if documents is None else documents
     size = lengths[ids].astype(np.int64)
-    first = np.arange(0, len(ids), BLOCK)
+    first = block_starts(documents)
     block_bytes = (np.add.reduceat(size, first) + 7) // 8
-    begin = np.concatenate([[0], np.cumsum(block_bytes)[:-1]]) * 8
-    ends = np.cumsum(size)
-    at = ends - size
+    begin = (np.cumsum(block_bytes) - block_bytes) * 8
+    at = np.cumsum(size) - size
     at += np.repeat(begin - at[first], np.diff(np.append(first, len(ids))))
-    # A code of up to 18 bits at any bit of a byte lies within four bytes.
-    word = codes[ids] << (32 - size - (at & 7)).astype(np.uint64)
-    out = np.zeros(int(block_bytes.sum()) + 4, np.float64)
-    where = at >> 3
-    for k in range(4):
-        # Bits of different codes never overlap, so sums are unions; a byte sums to 255 at most.
-        out += np.bincount(where + k, weights=((word >> np.uint64(24 - 8 * k)) & np.uint64(255)).astype(np.float64), minlength=len(out))
-    return out[:-4].astype(np.uint8).tobytes(), block_bytes
+    # A code lies within two neighbouring 32-bit words; bits of different codes never overlap, so sums are unions.
+    wide = codes[ids] << (64 - size - (at & 31)).astype(np.uint64)
+    where, total = at >> 5, int(block_bytes.sum())
+    words = -(-total // 4) + 1
+    out = np.bincount(where, weights=(wide >> np.uint64(32)).astype(np.float64), minlength=words + 1)
+    out += np.bincount(where + 1, weights=(wide & np.uint64(0xFFFFFFFF)).astype(np.float64), minlength=words + 1)
+    return out.astype(">u4").tobytes()[:total], block_bytes
+
+
+def block_starts(documents: np.ndarray) -> np.ndarray:
+    """Positions of the first ids of all blocks of consecutive documents."""
+    per = -(-documents // BLOCK)
+    inner = np.arange(int(per.sum())) - np.repeat(np.cumsum(per) - per, per)
+    return np.repeat(np.cumsum(documents) - documents, per) + inner * BLOCK
+
+
+def runs_of(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:
+    """Index ranges of consecutive sizes that sum to about ``most``; a larger one stands alone."""
+    begin, held = 0, 0
+    for k, n in enumerate(sizes):
+        if k > begin and held + n > most:
+            yield begin, k
+            begin, held = k, 0
+        held += n
+    if begin < len(sizes):
+        yield begin, len(sizes)
 
 
 def decode_blocks(payload: bytes, bits: np.ndarray, sizes: np.ndarray, symbol: np.ndarray, length: np.ndarray) -> np.ndarray:
@@ -186,13 +208,17 @@ def write_shards(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
         size = np.frombuffer(packed.value, np.uint8)
         codes = canonical_codes(size)
         for b in batches:
-            blobs, blocks = [], []
-            for n, blob in zip(b.column("n_tokens").to_pylist(), b.column("ids").to_pylist(), strict=True):
-                bits, each = encode_blocks(unpack(blob, n), codes, size)
-                blobs.append(bits)
-                blocks.append(each.tolist())
+            bits, blocks = [], []
+            sizes, blobs = b.column("n_tokens").to_pylist(), b.column("ids").to_pylist()
+            for i, j in runs_of(sizes, PART_IDS):
+                n = np.asarray(sizes[i:j], np.int64)
+                payload, each = encode_blocks(unpack(b"".join(blobs[i:j]), int(n.sum())), codes, size, n)
+                block_ends, byte_ends = np.cumsum(-(-n // BLOCK)).tolist(), np.append(0, np.cumsum(each))
+                for first, last in zip([0, *block_ends], block_ends, strict=False):
+                    bits.append(payload[byte_ends[first] : byte_ends[last]])
+                    blocks.append(each[first:last].tolist())
             keep = ["shard", "doc_id", "order_hash", "n_tokens"]
-            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(blocks, pa.list_(pa.int64())), pa.array(blobs, pa.binary())], [*keep, "blocks", "bits"])
+            yield pa.RecordBatch.from_arrays([*(b.column(x) for x in keep), pa.array(blocks, pa.list_(pa.int64())), pa.array(bits, pa.binary())], [*keep, "blocks", "bits"])
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shard, part, held, ids_held = None, 0, [], 0
@@ -247,9 +273,12 @@ def shard_of(doc_id, bounds: list[int]):
 
     if len(bounds) <= 64:
         return search(0, len(bounds))
-    # Many ranges: count the bounds that are not above the id; the array is one literal.
-    array = F.split(F.lit(",".join(map(str, bounds))), ",").cast("array<long>")
-    return F.coalesce(F.size(F.filter(array, lambda b: b <= doc_id)), F.lit(0)).cast("long")
+    # Many ranges: count the bounds that are not above the id, first among every 128th, then among the 128 after it.
+    literal = lambda xs: F.split(F.lit(",".join(map(str, xs))), ",").cast("array<long>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b <= doc_id))
+    coarse = below(literal(bounds[::128]))
+    fine = below(F.slice(literal(bounds), F.greatest(coarse - 1, F.lit(0)) * 128 + 1, F.lit(128)))
+    return F.when(doc_id.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * 128 + fine).cast("long")
 
 
 def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
