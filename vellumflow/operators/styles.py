@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from vellumflow.functions import strings
+from vellumflow.session import staged
 
 from .package import attr
 
@@ -24,14 +25,19 @@ MONOSPACE = ["consolas", "courier", "courier new", "cascadia code", "cascadia mo
 def chains(parents: DataFrame, keys: list[str], node: str, parent: str, depth: int = MAX_DEPTH) -> DataFrame:
     """Every node with each of its ancestors: keys, node, ``ancestor``, ``depth`` (0 is itself).
 
-    Bounded rounds of equi-joins; a cycle ends at the cap, and the nearest of
-    repeated ancestors counts; unknown parents end a chain.
+    One equi-join a round, each staged in the shared folder, until no chain goes
+    on or the cap is reached; a cycle ends where it would repeat, and unknown
+    parents end a chain.
     """
-    level = parents.select(*keys, F.col(node).alias("node"), F.col(node).alias("ancestor"), F.lit(0).alias("depth"), F.col(parent).alias("_next"), F.array(F.col(node)).alias("_seen"))
+    own = staged(parents.select(*keys, F.col(node).alias("node"), F.col(parent).alias("up")), "parents")
+    step = own.select(*keys, F.col("node").alias("_next"), F.col("up").alias("_above"))
+    level = own.select(*keys, "node", F.col("node").alias("ancestor"), F.lit(0).alias("depth"), F.col("up").alias("_next"), F.array("node").alias("_seen"))
     out = level.drop("_next", "_seen")
-    step = parents.select(*keys, F.col(node).alias("_next"), F.col(parent).alias("_above"))
     for k in range(1, depth):
-        level = level.where(F.col("_next").isNotNull() & ~F.array_contains("_seen", F.col("_next"))).join(step, [*keys, "_next"]).select(*keys, "node", F.col("_next").alias("ancestor"), F.lit(k).alias("depth"), F.col("_above").alias("_next"), F.concat("_seen", F.array("_next")).alias("_seen"))
+        onward = level.where(F.col("_next").isNotNull() & ~F.array_contains("_seen", F.col("_next"))).join(step, [*keys, "_next"])
+        level = staged(onward.select(*keys, "node", F.col("_next").alias("ancestor"), F.lit(k).alias("depth"), F.col("_above").alias("_next"), F.concat("_seen", F.array("_next")).alias("_seen")), "chain")
+        if level.isEmpty():
+            break
         out = out.unionByName(level.drop("_next", "_seen"))
     return out
 
@@ -94,6 +100,7 @@ def styles(nodes: DataFrame) -> DataFrame:
 
 def resolve_styles(style_rows: DataFrame) -> DataFrame:
     """Per style: toggles set true along its chain (a list of names, repeats kept), nearest other properties, names in the chain."""
+    style_rows = staged(style_rows, "styles")
     closure = chains(style_rows, ["doc_id"], "style_id", "based_on")
     above = closure.join(style_rows.withColumnRenamed("style_id", "ancestor"), ["doc_id", "ancestor"])
     near = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.col("depth"))).alias(c)
