@@ -99,7 +99,7 @@ def head_words(counts: DataFrame, most: int = HEAD_WORDS) -> list[tuple[bytes, i
         total, lowest = total + k, at
     if lowest is None:
         return []
-    rows = counts.where(level >= F.lit(lowest)).toPandas()
+    rows = counts.where(level >= F.lit(lowest)).toArrow().to_pandas()
     return sorted(zip(map(bytes, rows["word"]), rows["n"].tolist(), strict=True), key=lambda x: (-x[1], x[0]))
 
 
@@ -122,7 +122,7 @@ def bigram_counts(texts: DataFrame, head: dict[bytes, int]) -> np.ndarray:
             part = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()
+    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     out = np.zeros(UNITS * UNITS, np.int64)
     out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
     return out.reshape(UNITS, UNITS)
@@ -199,7 +199,7 @@ def fit(texts: DataFrame) -> tuple[bytes, DataFrame, dict[str, int]]:
             mass += np.bincount(u, weights=b.column("n").to_numpy(zero_copy_only=False), minlength=UNITS).astype(np.int64)
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(words), pa.array(mass)], ["unit", "words", "mass"])
 
-    rows = counts.mapInArrow(by_unit, "unit long, words long, mass long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("mass").alias("mass")).toPandas()
+    rows = counts.mapInArrow(by_unit, "unit long, words long, mass long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("mass").alias("mass")).toArrow().to_pandas()
     words, mass = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
     np.add.at(words, cls[rows["unit"].to_numpy(int)], rows["words"].to_numpy(float))
     np.add.at(mass, cls[rows["unit"].to_numpy(int)], rows["mass"].to_numpy(float))
