@@ -170,7 +170,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
 
     # -- content ---------------------------------------------------------
     story = staged(story, "story")
-    in_story = nodes.join(F.broadcast(story.select("doc_id", "part")), ["doc_id", "part"], "left_semi")
+    in_story = nodes.join(story.select("doc_id", "part"), ["doc_id", "part"], "left_semi")
     content = live(in_story)
     separators = in_story.where(F.col("name").isin("footnote", "endnote") & attr("w:type").isNotNull() & (attr("w:type") != "normal")).select("doc_id", "part", "seq", "end_seq")
     content = outside(content, separators.withColumnRenamed("seq", "b"), "b", "end_seq")
@@ -376,7 +376,7 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
 
 def finish(blocks: DataFrame, story: DataFrame, numbers: DataFrame, content: DataFrame, parts: DataFrame, every: DataFrame, mains: DataFrame, files_out: DataFrame, files: DataFrame) -> Converted:
     """Group code and quotes, part lists, append notes, and give every input its status."""
-    blocks = blocks.join(F.broadcast(story), ["doc_id", "part"])
+    blocks = blocks.join(story, ["doc_id", "part"])
     flow = ["doc_id", "part", "note"]
     grouped = runs.islands(blocks.withColumn("group", F.when(F.col("kind").isin("code", "quote"), F.col("kind")).otherwise(F.col("p").cast("string"))), flow, ["p"], ["group"])
     first = lambda c: F.min_by(c, F.col("p")).alias(c)
