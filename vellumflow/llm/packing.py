@@ -40,7 +40,7 @@ from .huffman_ids import encode_documents, unpack
 
 WINDOW = 2048
 #: Rows that one task sorts for a running sum; a bound on memory, not on data.
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 2_000
 
 
 def queue_ends(counts: DataFrame) -> DataFrame:
@@ -72,8 +72,8 @@ def plan_stream(counts: DataFrame, window: int = WINDOW, targets: DataFrame | No
         share = counts.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("share"))
     else:
         share = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("share").cast("double").alias("share"))
-    total = share.agg(F.sum("share").alias("total"))
-    quantum = share.join(F.broadcast(total)).select("source", (F.col("share") / F.col("total") * window).alias("quantum"))
+    total = share.agg(F.sum("share").alias("total")).first()["total"] or 1.0
+    quantum = share.select("source", (F.col("share") / F.lit(total) * window).alias("quantum"))
     rounds = ends.join(quantum, "source", "left").withColumn("round", F.ceil(F.col("queue_end") / F.coalesce("quantum", F.lit(1.0)))).drop("quantum")
     mean = counts.agg(F.avg("n_tokens").alias("m")).first()["m"] or 1.0
     return stream_starts(rounds, max(1, int(BUCKET_ROWS * mean / window))).select("row_id", "stream_start")
