@@ -24,5 +24,3 @@ def spark():
     yield session
     session.stop()
 
-
-SMALL = "/root/testdata/sf0.001"
