@@ -104,7 +104,7 @@ def fit(sample: DataFrame) -> bytes:
 
     found = sample.mapInArrow(count, "lang string, script string, bucket long, n long").groupBy("lang", "script", "bucket").agg(F.sum("n").alias("n"))
     kept = found.where("bucket < 0").groupBy("lang").agg(F.sum("n").alias("letters")).orderBy(F.desc("letters"), "lang").limit(MAX_LANGS)
-    rows = found.join(F.broadcast(kept.select("lang")), "lang").toPandas()
+    rows = found.join(F.broadcast(kept.select("lang")), "lang").toArrow().to_pandas()
     langs = sorted(rows["lang"].unique().tolist())
     index = {x: i for i, x in enumerate(langs)}
     n = np.full((BUCKETS, max(len(langs), 1)), 0.05)
