@@ -317,7 +317,7 @@ def running_offsets(totals: DataFrame, group: int = 256) -> DataFrame:
 def huffman_round_trip(docs: DataFrame, end_id: int = 0, vocabulary: str = DEFAULT_BPE) -> DataFrame:
     """Encode, count, code, write, read back; one row per document from the files."""
     ids = staged(encode_documents(docs, end_id, vocabulary), "ids")
-    found = id_counts(ids).toPandas()
+    found = id_counts(ids).toArrow().to_pandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
     lengths = code_lengths(counts)
