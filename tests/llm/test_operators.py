@@ -145,6 +145,17 @@ def test_decontamination(spark, docs, texts, max_set):
     assert got == decontam_brute([*texts.items(), *extra], bench)
 
 
+@pytest.mark.parametrize("max_set", [20_000, 0])
+def test_decontamination_of_words_beyond_ascii(spark, max_set):
+    """No-break spaces, soft hyphens and C1 controls are parts of words, whichever way windows travel."""
+    bench = [(i, f"prix{c}net du jour") for i, c in enumerate("\u00a0\u00ad\u0085\u009f\u200b\u2028\u3000\ue000\U000e0001é’")]
+    bench.append((100, " ".join(f"w{i}" if i != 20 else "a\u00a0b\u00adc" for i in range(40))))
+    rows = [(i, f"Le {t}, enfin. " + "mot " * 10) for i, t in bench]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string"), max_set).collect()}
+    assert got == decontam_brute(rows, bench)
+    assert all(v[2] == 1 for v in got.values())
+
+
 def test_decontamination_cleans(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(1, "Small text"), (None, "world, this")], "item_id long, text string")
     long = spark.createDataFrame([(9, "word " * 100 + "Small, (text)! end.", "en", "a", 1, "x", 1, 2.0)], edge_docs.schema)

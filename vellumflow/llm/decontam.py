@@ -72,8 +72,10 @@ def _by_set(docs: DataFrame, windows: list) -> DataFrame:
         pairs = sorted({f"{w[0]} {w[-1]}" for w in (g.split(" ") for g in grams)})
         literal = ", ".join(f"'{p}'" for p in pairs)
         hashes = docs.sparkSession.sql(f"SELECT transform(array({literal}), p -> xxhash64(p)) AS h").first()["h"]
+        # As they are: Python's escapes of no-break spaces and the like are not SQL's.
+        texts = ", ".join(f"'{g}'" for g in sorted(grams))
         anchored = f"xxhash64(concat_ws(' ', get(words, i), get(words, i + {size - 1}))) IN ({', '.join(f'{h}L' for h in hashes)})"
-        verified = f"array_join(slice(words, i + 1, {size}), ' ') IN ({', '.join(repr(g) for g in sorted(grams))})"
+        verified = f"array_join(slice(words, i + 1, {size}), ' ') IN ({texts})"
         parts.append(f"transform(filter(IF(n_words >= {size}, sequence(0, n_words - {size}), array()), i -> {anchored} AND {verified}), i -> named_struct('pos', i, 'len', {size}))")
     hits = f"array_sort(concat({', '.join(parts)}))"
     # One literal map: window text to its items.
