@@ -65,6 +65,28 @@ def test_viterbi_is_best():
         assert one is None or math.isclose(scores[:, one].sum(), best.max(), abs_tol=1e-3)
 
 
+def test_single_label_minds_paths_without_it():
+    """The label of the largest sum is second best everywhere, and the best path never uses it."""
+    scores = np.array([[0, -35, -5], [0, -35, -5], [-35, 0, -5], [-35, 0, -5]], np.float32)  # A, B, C
+    assert lang_id.single_label(scores, 12.0) is None
+    assert lang_id.viterbi(scores, np.arange(4), np.array([0]), np.array([4]), 12.0).tolist() == [0, 0, 1, 1]
+    assert lang_id.single_label(scores[:2], 12.0) == 0
+    rng = np.random.default_rng(1)
+    taken = 0
+    for _ in range(2000):  # a third label close to two that alternate
+        n = int(rng.integers(2, 12))
+        scores = rng.normal(0, 3, (n, 3)).astype(np.float32)
+        scores[: n // 2, 1] -= 8
+        scores[n // 2 :, 0] -= 8
+        one = lang_id.single_label(scores, 12.0)
+        if one is not None:
+            taken += 1
+            labels = lang_id.viterbi(scores, np.arange(n), np.array([0]), np.array([n]), 12.0)
+            best = scores[np.arange(n), labels].sum() - 12.0 * (np.diff(labels) != 0).sum()
+            assert math.isclose(scores[:, one].sum(), best, abs_tol=1e-3)
+    assert taken > 100
+
+
 # -- 2: class language model ----------------------------------------------------
 def lm_brute(texts, train_ids):
     words = lambda t: (t or "").encode().lower().split() + [b" "]

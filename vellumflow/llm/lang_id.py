@@ -199,9 +199,11 @@ def _chunks(split: list[list[str]], most: int) -> Iterator[list[list[str]]]:
 def single_label(scores: np.ndarray, penalty: float) -> int | None:
     """The label of a text whose best path never switches, if that is certain.
 
-    A path with s segments in other labels switches at least s times.  If no
-    stretch in any other label gains more than one switch costs, staying in the
-    label of the largest sum is best.
+    A path that uses label k of the largest sum switches at least once for every
+    segment in another label, so it loses if no stretch gains more than one
+    switch costs.  A path of s segments that never uses k switches s - 1 times
+    only: it loses too if its first and last segment, a prefix and a suffix of
+    the text, together gain no more than one switch costs.
     """
     if not len(scores):
         return 0
@@ -209,7 +211,9 @@ def single_label(scores: np.ndarray, penalty: float) -> int | None:
     k = int(total.argmax())
     gain = np.zeros((len(scores) + 1, scores.shape[1]))
     np.cumsum(scores - scores[:, k : k + 1], axis=0, out=gain[1:])
-    return k if (gain - np.minimum.accumulate(gain, axis=0)).max() <= penalty else None
+    stretch = (gain - np.minimum.accumulate(gain, axis=0)).max()
+    ends = gain.max() + (gain[-1] - gain).max()
+    return k if stretch <= penalty and ends <= penalty else None
 
 
 def viterbi(scores: np.ndarray, words: np.ndarray, begin: np.ndarray, sizes: np.ndarray, penalty: float) -> np.ndarray:
