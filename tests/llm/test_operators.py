@@ -130,6 +130,45 @@ def test_class_lm_edges(edge_docs, no_docs):
     assert class_lm.fit_and_score(no_docs, F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("head", [100_000, 700])
+def test_class_lm_places_every_word(spark, monkeypatch, head):
+    """Words beyond the 512 units, all of one ending and so of one unit, take classes by what stands around them."""
+    monkeypatch.setattr(class_lm, "HEAD_WORDS", head)
+    monkeypatch.setattr(class_lm.head_words, "__defaults__", (head,))
+    rng = np.random.default_rng(0)
+    rows = [f"the noun{i % 8} sat down" for i in range(4000)] + [f"to verb{i % 8} now please" for i in range(4000)]
+    rows += [" ".join(f"f{j}" for j in rng.permutation(600)) for _ in range(12)]
+    nouns, verbs = ([f"{k}{i:03d}ing" for i in range(60)] for k in "nv")
+    rows += [f"the {w} sat down" for w in nouns * 4] + [f"to {w} now please" for w in verbs * 4]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(rows)], "doc_id long, text string")
+    model, counts, _ = class_lm.fit(docs.select("text"))
+    s = class_lm.Scorer(model)
+    assert len({class_lm.ending_unit(w.encode()) for w in nouns + verbs}) == 1
+    if head == 100_000:
+        assert {s.cls[s.units[w.encode()]] for w in nouns}.isdisjoint(s.cls[s.units[w.encode()]] for w in verbs)
+    table = {bytes(r["word"]).decode(): (r["n"], r["cls"]) for r in counts.collect()}
+    want = collections.Counter(w for t in rows for w in [*t.split(), " "])
+    assert {w: n for w, (n, _) in table.items()} == want
+    assert {table[w][1] for w in nouns} == {table["noun0"][1]} and {table[w][1] for w in verbs} == {table["verb0"][1]}
+    # Transitions and scores use these classes.
+    c, side = {w: k for w, (_, k) in table.items()}, class_lm.CLASSES + 1
+    moves, mass, size = np.zeros((side, side)), np.zeros(side), np.zeros(side)
+    for t in rows:
+        seq = [c[w] for w in [" ", *t.split(), " "]]
+        np.add.at(moves, (seq[:-1], seq[1:]), 1)
+    for w, (n, k) in table.items():
+        mass[k] += n
+        size[k] += 1
+    prior = (moves.sum(axis=0) + 1) / (moves.sum() + side)
+    moves = (moves + 20 * prior) / (moves.sum(axis=1, keepdims=True) + 20)
+    assert np.allclose(s.moves, np.log10(moves))
+    got = {r["doc_id"]: r["score"] for r in class_lm.fit_and_score(docs, F.lit(True)).collect()}
+    for d in (0, 4000, 8000, len(rows) - 1, len(rows) - 241):
+        words = [" ", *rows[d].split(), " "]
+        by_hand = sum(math.log10(moves[c[a], c[b]] * (want[b] + 0.1) / (mass[c[b]] + 0.1 * (size[c[b]] + 1))) for a, b in zip(words, words[1:]))
+        assert math.isclose(got[d], by_hand, rel_tol=1e-6)
+
+
 # -- 3: decontamination -----------------------------------------------------------
 def words3(text):
     low = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")

@@ -1,17 +1,20 @@
 """Class-based bigram language model: exchange clustering, class transitions, word emissions.
 
-Every word belongs to one *unit*: the ``HEAD_UNITS`` most frequent words are
-their own, all others share a unit by a hash of their ending, so unseen words
-have one too.  Exchange clustering over the units' bigram counts (all training
-text) moves each unit to the class that most raises the class bigram
-likelihood.  A token's probability is P(class | class before) from smoothed
-class transitions, times P(word | class) from smoothed counts of all training
-words.
-
-Word counts are a table of any size: words of the ``HEAD_WORDS`` most frequent
-(a proven bound) are scored where the text is read; each document's rarer words
-become rows that join the table, so nothing that grows with the corpus is
-broadcast or collected.
+Clustering has two steps.  Exchange clustering runs over *units*: the
+``HEAD_UNITS`` most frequent words are their own, all others share a unit by a
+hash of their ending; each unit moves to the class that most raises the class
+bigram likelihood.  Then every other training word is placed by itself: its
+counts of classes before and after it, over all training text, say in which
+class it raises the likelihood most.  Only words that training has not seen
+take the class of their ending's unit.  A token's probability is P(class |
+class before) from smoothed transitions between the words' final classes,
+times P(word | class) from smoothed counts of all training words.
+
+Words with their counts and classes are a table of any size: words of the
+``HEAD_WORDS`` most frequent (a proven bound) are looked up where the text is
+read; each document's rarer words become rows that join the table and return
+to their document, so nothing that grows with the corpus is broadcast or
+collected.
 
 Defined results: null text is empty and holds only the end token; repeated rows
 are scored one by one; with an empty training fold every word is unknown and
@@ -44,6 +47,10 @@ ADD, BACKOFF = 0.1, 20.0
 END = b" "
 END_UNIT = HEAD_UNITS + ENDING_UNITS
 UNITS = END_UNIT + 1
+#: Cells of neighbour counts, and counts whose gains are tabled.
+CELLS, SMALL = 2 * (CLASSES + 1), 64
+#: Stands for the class of a rarer word until the table of words gives it.
+RARE = 255
 _PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -59,9 +66,13 @@ def ending_unit(word: bytes) -> int:
 class _Units(dict):
     """Word to unit; endings are computed on a miss and kept up to a bound."""
 
+    def __init__(self, units: dict[bytes, int], most: int = 60_000):
+        super().__init__(units)
+        self.most = most
+
     def __missing__(self, word: bytes) -> int:
         found = ending_unit(word)
-        if len(self) < 60_000:
+        if len(self) < self.most:
             self[word] = found
         return found
 
@@ -181,70 +192,180 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
     return cls
 
 
-def fit(texts: DataFrame) -> tuple[bytes, DataFrame, dict[str, int]]:
-    """The bounded part of the model, the table of all word counts, and N and V."""
-    spark = prepare(texts.sparkSession, 500)
-    counts = staged(count_words(texts), "word-counts")
-    size = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    frequent = head_words(counts)
-    units = {w: i for i, (w, _) in enumerate([x for x in frequent if x[0] != END][:HEAD_UNITS])}
-    cls = exchange(bigrams := bigram_counts(texts, units))
-    shared = spark.sparkContext.broadcast(units)
+def neighbour_counts(texts: DataFrame, units: dict[bytes, int], cls: np.ndarray) -> DataFrame:
+    """``word binary, cells binary``: counts of classes around every word that is not a unit of its own.
+
+    A cell is a class before the word, or CLASSES + 1 plus a class after it; each is packed as count * 128 + cell.
+    A word has one row for each flush of a task, none is left out.
+    """
+    shared = texts.sparkSession.sparkContext.broadcast((units, cls))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        heads, classes = shared.value
+        first = len(heads) + 1
+
+        class Ids(dict):
+            """Numbers of words: units, the end token, then the others as they come."""
+
+            def __missing__(self, word: bytes) -> int:
+                self[word] = found = first + len(names)
+                names.append(word)
+                own.append(classes[ending_unit(word)])
+                return found
 
-    def by_unit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, words, mass = shared.value, np.zeros(UNITS, np.int64), np.zeros(UNITS, np.int64)
+        def begin() -> tuple[list[bytes], list[int], Ids]:
+            return [], [classes[u] for u in heads.values()] + [classes[END_UNIT]], Ids({**{w: i for i, w in enumerate(heads)}, END: first - 1})
+
+        def flush() -> pa.RecordBatch:
+            keys, n = np.unique(np.concatenate(held), return_counts=True)
+            word, at = np.divmod(keys, CELLS)
+            starts = np.searchsorted(word, np.arange(first, first + len(names) + 1)) * 4
+            cells = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer((n * 128 + at).astype(np.uint32))])
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), cells], ["word", "cells"])
+
+        names, own, ids = begin()
+        held: list[np.ndarray] = []
+        size = 0
         for b in batches:
-            u = np.fromiter((END_UNIT if w == END else heads[w] if w in heads else ending_unit(w) for w in b.column("word").to_pylist()), np.int64, b.num_rows)
-            words += np.bincount(u, minlength=UNITS)
-            mass += np.bincount(u, weights=b.column("n").to_numpy(zero_copy_only=False), minlength=UNITS).astype(np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(UNITS)), pa.array(words), pa.array(mass)], ["unit", "words", "mass"])
+            stream = [first - 1]
+            for t in b.column("text").to_pylist():
+                stream += map(ids.__getitem__, words_of(t))
+                stream.append(first - 1)
+            w = np.asarray(stream, np.int64)
+            c = np.asarray(own, np.int64)[w]
+            at = np.flatnonzero(w >= first)
+            held += [w[at] * CELLS + c[at - 1], w[at] * CELLS + CLASSES + 1 + c[at + 1]]
+            size += len(at)
+            if len(names) > 150_000 or size > 3_000_000:
+                if names:
+                    yield flush()
+                names, own, ids = begin()
+                held, size = [], 0
+        if names:
+            yield flush()
 
-    rows = counts.mapInArrow(by_unit, "unit long, words long, mass long").groupBy("unit").agg(F.sum("words").alias("words"), F.sum("mass").alias("mass")).toArrow().to_pandas()
-    words, mass = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    np.add.at(words, cls[rows["unit"].to_numpy(int)], rows["words"].to_numpy(float))
-    np.add.at(mass, cls[rows["unit"].to_numpy(int)], rows["mass"].to_numpy(float))
+    return texts.mapInArrow(run, "word binary, cells binary")
+
+
+class Placer:
+    """Gains of words in every class, against the units' class bigrams."""
+
+    def __init__(self, cls: np.ndarray, table: np.ndarray):
+        self.cls, self.left, self.right = cls, table.sum(axis=1), table.sum(axis=0)
+        #: For every cell, the bigrams that a word in class g would add to.
+        self.cells = np.concatenate([table, table.T])
+        small = np.arange(SMALL)[:, None, None]
+        self.added, self.taken = self._step(self.cells, small), self._step(self.cells, -small)
+
+    @staticmethod
+    def _step(x: np.ndarray, k: np.ndarray) -> np.ndarray:
+        return _xlogx(np.maximum(x + k, 0.0)) - _xlogx(x)
+
+    def place(self, words: list[bytes], owner: np.ndarray, cell: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and class of every word; ``owner`` (sorted) says whose cell it is, each (owner, cell) once."""
+        n = np.bincount(owner, weights=np.where(cell <= CLASSES, k, 0), minlength=len(words))
+        old = self.cls[np.fromiter(map(ending_unit, words), np.int64, len(words))]
+        few = np.minimum(k, SMALL - 1)
+        added, taken = self.added[few, cell], self.taken[few, cell, old[owner]]
+        many = np.flatnonzero(k >= SMALL)
+        added[many] = self._step(self.cells[cell[many]], k[many, None])
+        taken[many] = self._step(self.cells[cell[many], old[owner[many]]], -k[many])
+        begin = np.searchsorted(owner, np.arange(len(words)))
+        gain = np.add.reduceat(added, begin, axis=0)
+        gain -= self._step(self.left, n[:, None]) + self._step(self.right, n[:, None])
+        # The word is still in its ending's class: what it holds there is what leaving would take.
+        rows = np.arange(len(words))
+        gain[rows, old] = -np.add.reduceat(taken, begin) + self._step(self.left[old], -n) + self._step(self.right[old], -n)
+        gain[:, CLASSES] = -np.inf
+        best = gain.argmax(axis=1)
+        return n.astype(np.int64), np.where(gain[rows, best] > gain[rows, old] + 1e-9, best, old)
+
+
+def placed_words(neighbours: DataFrame, cls: np.ndarray, table: np.ndarray) -> DataFrame:
+    """``word binary, n long, cls int`` of every word in ``neighbours``."""
+    shared = neighbours.sparkSession.sparkContext.broadcast((cls, table))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        placer = Placer(*shared.value)
+
+        def done(words: list[bytes], cells: list[bytes]) -> pa.RecordBatch:
+            fresh = np.fromiter((i == 0 or words[i] != words[i - 1] for i in range(len(words))), bool, len(words))
+            names = [words[i] for i in np.flatnonzero(fresh).tolist()]
+            code = np.frombuffer(b"".join(cells), np.uint32).astype(np.int64)
+            owner = np.repeat(np.cumsum(fresh) - 1, np.fromiter(map(len, cells), np.int64, len(cells)) // 4)
+            keys, at = np.unique(owner * CELLS + code % 128, return_inverse=True)
+            k = np.bincount(at, weights=code // 128, minlength=len(keys)).astype(np.int64)
+            n, found = placer.place(names, keys // CELLS, keys % CELLS, k)
+            return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(found, pa.int32())], ["word", "n", "cls"])
+
+        words: list[bytes] = []
+        cells: list[bytes] = []
+        for b in batches:
+            words += b.column("word").to_pylist()
+            cells += b.column("cells").to_pylist()
+            if len(words) > 20_000:
+                # The last word may go on in the next batch.
+                end = len(words) - 1
+                while end and words[end - 1] == words[-1]:
+                    end -= 1
+                if end:
+                    yield done(words[:end], cells[:end])
+                    words, cells = words[end:], cells[end:]
+        if words:
+            yield done(words, cells)
+
+    return neighbours.repartition("word").sortWithinPartitions("word").mapInArrow(run, "word binary, n long, cls int")
+
+
+def place(texts: DataFrame) -> tuple[dict, DataFrame]:
+    """The bounded part of the classes, and ``word, n, cls`` of all training words and the end token."""
+    spark = prepare(texts.sparkSession, 500)
+    counted = staged(count_words(texts), "word-counts")
+    of_end = F.sum(F.when(F.col("word") == F.lit(bytearray(END)), F.col("n")).otherwise(0))
+    size = counted.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.count("*").alias("v"), F.coalesce(of_end, F.lit(0)).alias("ends")).first()
+    frequent = head_words(counted)
+    units = {w: i for i, (w, _) in enumerate([x for x in frequent if x[0] != END][:HEAD_UNITS])}
+    cls = exchange(bigrams := bigram_counts(texts, units))
     one = np.zeros((UNITS, CLASSES + 1))
     one[np.arange(UNITS), cls] = 1.0
-    table = one.T @ bigrams @ one
-    prior = (table.sum(axis=0) + 1) / (table.sum() + CLASSES + 1)
-    moves = np.log10((table + BACKOFF * prior) / (table.sum(axis=1, keepdims=True) + BACKOFF))
+    n = dict(frequent)
+    alone = [(bytearray(w), int(n[w]), int(cls[u])) for w, u in units.items()]
+    alone += [(bytearray(END), int(size["ends"]), CLASSES)] if size["ends"] else []
+    placed = placed_words(neighbour_counts(texts, units, cls), cls, one.T @ bigrams @ one)
+    counts = staged(placed.unionByName(spark.createDataFrame(alone, "word binary, n long, cls int")), "word-classes")
+    rows = counts.where(F.col("n") >= F.lit(frequent[-1][1] if frequent else 1 << 62)).toArrow().to_pandas()  # those of ``frequent``
+    found = dict(zip(map(bytes, rows["word"]), rows["cls"].tolist(), strict=True))
+    words, mass = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
+    for r in counts.groupBy("cls").agg(F.count("*").alias("words"), F.sum("n").alias("mass")).collect():
+        words[r["cls"]], mass[r["cls"]] = r["words"], r["mass"]
     spread = np.log10(mass + ADD * (words + 1))
-    model = pickle.dumps({"units": units, "cls": cls, "moves": moves, "spread": spread, "head": frequent, "n": int(size["n"]), "v": int(size["v"])}, protocol=5)
-    return model, counts, {"n": int(size["n"]), "v": int(size["v"])}
+    return {"cls": cls, "spread": spread, "head": frequent, "head_cls": np.array([found[w] for w, _ in frequent], np.int64), "ends": int(size["ends"]), "n": int(size["n"]), "v": int(size["v"])}, counts
 
 
 class Scorer:
+    """The bounded part of the model: units (head words, then endings), their classes, transitions and emissions."""
+
     def __init__(self, model: bytes):
         m = pickle.loads(model)
-        self.units, self.cls, self.moves, self.spread = _Units(m["units"]), m["cls"], m["moves"], m["spread"]
+        self.units = _Units({w: UNITS + i for i, (w, _) in enumerate(m["head"])}, most=2 * HEAD_WORDS)
+        self.cls, self.spread, self.moves = np.concatenate([m["cls"], m["head_cls"]]), m["spread"], m.get("moves")
         self.base_spread = float(np.log10(m["n"] + ADD * (m["v"] + 1)))
         self.index = {w: i for i, (w, _) in enumerate(m["head"])}
-        n = np.array([c for _, c in m["head"]], np.float64)
-        self.head_cls = np.array([self.cls[END_UNIT if w == END else self.units[w]] for w, _ in m["head"]], np.int64)
-        self.head_log = np.log10(n + ADD)
-        end = self.index.get(END)
-        self.end_log, self.end_known = (float(self.head_log[end]), 1) if end is not None else (float(np.log10(ADD)), 0)
-        self.end_cls = CLASSES
-
-    def score(self, text: str | None) -> tuple[int, int, float, float, Counter]:
-        """Tokens, known head tokens, base and class score of all but the rarer words' own counts, and those words."""
+        self.head_cls, self.head_log = m["head_cls"], np.log10(np.array([c for _, c in m["head"]], np.float64) + ADD)
+        self.end_log, self.end_known = float(np.log10(m["ends"] + ADD)), int(m["ends"] > 0)
+
+    def read(self, text: str | None) -> tuple[int, int, float, np.ndarray, np.ndarray, list[bytes]]:
+        """Tokens, known head tokens and their log counts, all tokens' classes with the end token on both sides, and the rarer words:
+        where they stand is class RARE, in turn the numbers of distinct ones."""
         words = words_of(text)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        cls = np.empty(len(words) + 2, np.int64)
-        cls[0] = cls[-1] = self.end_cls
-        rare: Counter = Counter()
-        if len(words):
-            cls[1:-1] = self.head_cls[at] if len(self.head_cls) else 0
-            gaps = np.flatnonzero(at < 0)
-            if len(gaps):
-                odd = [words[i] for i in gaps.tolist()]
-                cls[gaps + 1] = self.cls[np.fromiter(map(self.units.__getitem__, odd), np.int64, len(odd))]
-                rare = Counter(odd)
-        known = at[at >= 0]
-        logs = float(self.head_log[known].sum()) + self.end_log
-        base = logs - (len(known) + 1) * self.base_spread
-        score = logs - float(self.spread[cls[1:]][np.append(at >= 0, True)].sum()) + float(self.moves[cls[:-1], cls[1:]].sum())
-        return len(words) + 1, len(known) + self.end_known, base, score, rare
+        seq = np.full(len(words) + 2, CLASSES, np.uint8)
+        known, gaps = at >= 0, np.flatnonzero(at < 0)
+        seq[1:-1][known] = self.head_cls[at[known]]
+        seq[gaps + 1] = RARE
+        rare: dict[bytes, int] = {}
+        turn = np.fromiter((rare.setdefault(words[i], len(rare)) for i in gaps.tolist()), np.uint32, len(gaps))
+        return len(words) + 1, int(known.sum()) + self.end_known, float(self.head_log[at[known]].sum()) + self.end_log, seq, turn, list(rare)
 
 
 @lru_cache(maxsize=1)
@@ -252,42 +373,120 @@ def _scorer(model: bytes) -> Scorer:
     return Scorer(model)
 
 
-def score(docs: DataFrame, model: bytes, counts: DataFrame, size: dict[str, int]) -> DataFrame:
-    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity for every row."""
+def classed(docs: DataFrame, base: dict, counts: DataFrame) -> DataFrame:
+    """``doc_id, train, n_tokens, n_known, logs, seq`` of every row of ``docs`` (doc_id, train, text): the log counts of its
+    tokens, and the classes of all its tokens between end tokens, a byte each."""
     spark = prepare(docs.sparkSession, 500)
-    shared = spark.sparkContext.broadcast(model)
-    schema = pa.schema([("row_id", pa.int64()), ("doc_id", pa.int64()), ("word", pa.binary()), ("k", pa.int64()), ("spread", pa.float64()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("base", pa.float64()), ("score", pa.float64())])
+    shared = spark.sparkContext.broadcast(pickle.dumps(base, protocol=5))
+    schema = pa.schema([("row_id", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("ending", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("seq", pa.binary()), ("turn", pa.binary())])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
         for b in batches:
             out: list[list] = [[] for _ in schema]
-            for row, doc, text in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("text"), strict=True):
-                tokens, known, base, total, rare = scorer.score(text.as_py())
-                n = 1 + len(rare)
+            for row, doc, train, text in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
+                tokens, known, logs, seq, turn, rare = scorer.read(text.as_py())
+                n = len(rare)
                 # The document's own row carries a word that matches nothing and, unlike a null, spreads evenly.
-                for column, first, rest in zip(out, (row, doc, b" %d" % row, 0, 0.0, tokens, known, base, total), (repeat(row, n - 1), repeat(doc, n - 1), rare, rare.values(), (float(scorer.spread[scorer.cls[scorer.units[w]]]) for w in rare), *(repeat(0, n - 1) for _ in range(4))), strict=True):
+                own = (row, -1, b" %d" % row, 0, doc, train, tokens, known, logs, seq.tobytes(), turn.tobytes())
+                rest = (repeat(row, n), range(n), rare, scorer.cls[np.fromiter(map(scorer.units.__getitem__, rare), np.int64, n)].tolist(), *(repeat(None, n) for _ in range(7)))
+                for column, first, more in zip(out, own, rest, strict=True):
                     column.append(first)
-                    column.extend(rest)
+                    column.extend(more)
                 if len(out[0]) > 50_000:
                     yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
                     out = [[] for _ in schema]
             yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
 
-    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = rows.mapInArrow(run, "row_id long, doc_id long, word binary, k long, spread double, n_tokens long, n_known long, base double, score double")
-    c = F.coalesce(F.col("n"), F.lit(0))
-    log, base_spread = F.log10(c + F.lit(ADD)), F.log10(F.lit(size["n"] + ADD * (size["v"] + 1)))
-    found = parts.join(counts, "word", "left").groupBy("row_id", "doc_id").agg(
-        F.sum("n_tokens").alias("n_tokens"),
-        F.sum(F.col("n_known") + F.when(c > 0, F.col("k")).otherwise(0)).alias("n_known"),
-        F.sum(F.col("base") + F.col("k") * (log - base_spread)).alias("base_score"),
-        F.sum(F.col("score") + F.col("k") * (log - F.col("spread"))).alias("score"),
-    )
-    return found.select("doc_id", "n_tokens", "n_known", F.lit(size["n"]).cast("long").alias("train_tokens"), "base_score", "score", F.pow(F.lit(10.0), -F.col("score") / F.col("n_tokens")).alias("perplexity"))
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def done(rows: pa.Table) -> pa.RecordBatch:
+            at, n, cls = (rows.column(c).to_numpy() for c in ("at", "n", "cls"))
+            begin = np.flatnonzero(at < 0)
+            own = rows.take(pa.array(begin))
+            tokens, logs, seqs = own.column("n_known").to_numpy().copy(), own.column("logs").to_numpy().copy(), []
+            log = np.log10(n + ADD)
+            for i, (a, z, seq, turn) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(at)], own.column("seq").to_pylist(), own.column("turn").to_pylist(), strict=True)):
+                if turn:
+                    of = np.frombuffer(turn, np.uint32) + a + 1  # a document's rarer words follow it in turn
+                    tokens[i] += int((n[of] > 0).sum())
+                    logs[i] += log[of].sum()
+                    whole = np.frombuffer(seq, np.uint8).copy()
+                    whole[whole == RARE] = cls[of]
+                    seq = whole.tobytes()
+                seqs.append(seq)
+            columns = [own.column("doc_id").combine_chunks(), own.column("train").combine_chunks(), own.column("n_tokens").combine_chunks(), pa.array(tokens), pa.array(logs), pa.array(seqs, pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["doc_id", "train", "n_tokens", "n_known", "logs", "seq"])
+
+        held: list[pa.RecordBatch] = []
+        size = 0
+        for b in batches:
+            held.append(b)
+            size += b.num_rows
+            if size > 20_000:
+                rows = pa.Table.from_batches(held)
+                end = int(np.flatnonzero(rows.column("at").to_numpy() < 0)[-1])  # the last document may go on
+                if end:
+                    yield done(rows[:end])
+                held, size = rows[end:].to_batches(), rows.num_rows - end
+        if size:
+            yield done(pa.Table.from_batches(held))
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "train", F.col("text").cast("string").alias("text"))
+    parts = rows.mapInArrow(split, "row_id long, at int, word binary, ending int, doc_id long, train boolean, n_tokens long, n_known long, logs double, seq binary, turn binary")
+    joined = parts.join(counts, "word", "left").select("row_id", "at", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", "ending").alias("cls"), "doc_id", "train", "n_tokens", "n_known", "logs", "seq", "turn")
+    return joined.repartition("row_id").sortWithinPartitions("row_id", "at").mapInArrow(gather, "doc_id long, train boolean, n_tokens long, n_known long, logs double, seq binary")
+
+
+def transitions(rows: DataFrame) -> np.ndarray:
+    """Log10 probabilities of a class after a class, from the sequences of ``rows``."""
+    side = CLASSES + 1
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(side * side, np.int64)
+        for b in batches:
+            for seq in b.column("seq").to_pylist():
+                c = np.frombuffer(seq, np.uint8).astype(np.int64)
+                total += np.bincount(c[:-1] * side + c[1:], minlength=side * side)
+        at = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), pa.array(total[at], pa.int64())], ["cell", "n"])
+
+    table = np.zeros(side * side)
+    for r in rows.select("seq").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # at most side * side
+        table[r["cell"]] = r["n"]
+    table = table.reshape(side, side)
+    prior = (table.sum(axis=0) + 1) / (table.sum() + side)
+    return np.log10((table + BACKOFF * prior) / (table.sum(axis=1, keepdims=True) + BACKOFF))
+
+
+def fit(texts: DataFrame) -> tuple[bytes, DataFrame, dict[str, int]]:
+    """The bounded part of the model, the table of all words' counts and classes, and N and V."""
+    base, counts = place(texts)
+    rows = classed(texts.select(F.lit(None).cast("long").alias("doc_id"), F.lit(True).alias("train"), "text"), base, counts)
+    return pickle.dumps({**base, "moves": transitions(rows)}, protocol=5), counts, {"n": base["n"], "v": base["v"]}
+
+
+def score(rows: DataFrame, base: dict, moves: np.ndarray) -> DataFrame:
+    """doc_id, n_tokens, n_known, train_tokens, base_score, score (log10) and perplexity for every row of ``classed``."""
+    shared = rows.sparkSession.sparkContext.broadcast((moves, base["spread"], float(np.log10(base["n"] + ADD * (base["v"] + 1)))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        moves, spread, base_spread = shared.value
+        steps = moves - spread[None, :]
+        for b in batches:
+            gains = []
+            for seq in b.column("seq").to_pylist():
+                c = np.frombuffer(seq, np.uint8)
+                gains.append(steps[c[:-1], c[1:]].sum())
+            logs, tokens = b.column("logs").to_numpy(), b.column("n_tokens").to_numpy()
+            total = logs + np.array(gains, np.float64)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), b.column("n_known"), pa.array(logs - tokens * base_spread), pa.array(total), pa.array(10.0 ** (-total / tokens))], ["doc_id", "n_tokens", "n_known", "base_score", "score", "perplexity"])
+
+    found = rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double, perplexity double")
+    return found.select("doc_id", "n_tokens", "n_known", F.lit(base["n"]).cast("long").alias("train_tokens"), "base_score", "score", "perplexity")
 
 
 def fit_and_score(docs: DataFrame, train: Column) -> DataFrame:
     """Learn from the rows that satisfy ``train``, score all rows."""
-    model, counts, size = fit(docs.where(train).select(F.col("text").cast("string").alias("text")))
-    return score(docs, model, counts, size)
+    base, counts = place(docs.where(train).select(F.col("text").cast("string").alias("text")))
+    rows = staged(classed(docs.select("doc_id", F.coalesce(train, F.lit(False)).alias("train"), "text"), base, counts), "word-sequences")
+    return score(rows, base, transitions(rows.where("train")))
