@@ -424,6 +424,21 @@ def test_pii_bootstrap_finds_unseen(spark):
     assert masked[100] == "please charge card number [CARD] today ok" and masked[201] == "nothing"
 
 
+def test_pii_bootstrap_finds_other_shapes(spark):
+    """Values of shapes that no seed has, after words that phones or addresses follow: no digits, several words, punctuation at the edges."""
+    rows = [(i, f"please call our office line +1555010{i:04d} today ok") for i in range(40)] + [(100 + i, f"now write to mailbox user{i}@mail.org about it") for i in range(40)]
+    odd = {200: ("please call our office line ", "555-0142", " today ok", "phone"), 201: ("é please call our office line ", "555 0142", ", thanks", "phone"), 202: ("please call our office line (", "CALLNOW", "). end", "phone"),
+           203: ("now write to mailbox ", "jane.doe(at)mail", " about it", "email"), 204: ("1.2.3.4 now\n write to  mailbox \"", "id-99812-x", "\".", "email"), 205: ("elsewhere ", "id-99812-x", " again", "email")}
+    rows += [(d, a + v + z) for d, (a, v, z, _) in odd.items()] + [(300, "CALLNOW is a word, and so is today"), (301, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in pii.report(docs).collect()}
+    for d, (a, v, _, kind) in odd.items():
+        assert f"{kind}:{len(a)}:{len(a) + len(v)}" in got[d].split(","), (d, got[d])
+    assert got[300] == "" and got[301] == ""
+    masked = {r["doc_id"]: r["text"] for r in pii.mask(docs).collect()}
+    assert masked[201] == "é please call our office line [PHONE], thanks" and masked[202] == "please call our office line ([PHONE]). end"
+
+
 def test_pii_edges(edge_docs, no_docs):
     assert pii.report(edge_docs).count() == 10 and pii.report(no_docs).count() == 0
     kept = pii.mask(edge_docs)
