@@ -65,6 +65,16 @@ def test_viterbi_is_best():
         assert one is None or math.isclose(scores[:, one].sum(), best.max(), abs_tol=1e-3)
 
 
+def test_small_languages_are_learned(spark, monkeypatch):
+    """A language with few rows among many gives them all; the sample stays bounded."""
+    monkeypatch.setattr(lang_id, "TRAIN_DOCS", 100)
+    rows = [(i, "common words here", "aa") for i in range(20_000)] + [(30_000 + i, "autres mots ici", "bb") for i in range(3_000)] + [(50_000 + i, "seltene worte dort", f"r{i % 3}") for i in range(6)]
+    got = collections.Counter(r["lang"] for r in lang_id.learnable(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)).collect())
+    assert all(got[f"r{k}"] == 2 for k in range(3))
+    assert all(20 <= got[x] <= 90 for x in ("aa", "bb")) and sum(got.values()) <= 150
+    assert lang_id.even_share([5, 1, 9], 100) == 9 and lang_id.even_share([], 100) == 0 and lang_id.even_share([1000, 4, 1000], 100) == 48
+
+
 def test_single_label_minds_paths_without_it():
     """The label of the largest sum is second best everywhere, and the best path never uses it."""
     scores = np.array([[0, -35, -5], [0, -35, -5], [-35, 0, -5], [-35, 0, -5]], np.float32)  # A, B, C

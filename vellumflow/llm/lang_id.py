@@ -7,7 +7,8 @@ runs of one label are spans.  A document's language is the one whose spans hold
 most letters, its score their share.
 
 The model is fitted on a bounded sample of labelled rows (``TRAIN_DOCS``,
-chosen by a hash of doc_id); every whole text is labelled.
+chosen by a hash of doc_id), of which small languages give all their rows and
+large ones equal shares; every whole text is labelled.
 
 Defined results: ``und`` with score 0 for null texts and texts without a
 letter, or where nothing was learned; equal shares go to the language first in
@@ -32,7 +33,7 @@ from .common import prepare
 
 #: Labelled rows used for fitting, at most (in expectation); a bounded sample is enough for n-gram tables.
 TRAIN_DOCS = 12_000
-#: Languages that can be learned; the most frequent labels.
+#: Languages that can be learned; the most frequent labels of all labelled rows.
 MAX_LANGS = 256
 #: Hash buckets of character n-grams.
 BUCKETS = 1 << 17
@@ -70,13 +71,30 @@ def ngram_hashes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return np.stack([two, three])[:, : int(size.sum())].astype(np.int64), begin
 
 
+def even_share(sizes: list[int], most: int) -> float:
+    """The largest number of rows that every language may give so that all together give ``most``; smaller ones give all."""
+    left = float(most)
+    for k, n in enumerate(sorted(sizes)):
+        share = left / (len(sizes) - k)
+        if n > share:
+            return share
+        left -= n
+    return float(max(sizes, default=0))
+
+
 def learnable(docs: DataFrame, fold_ok: Column) -> DataFrame:
-    """The bounded training sample: labelled rows of the fold, thinned by a hash of doc_id."""
+    """The bounded training sample: labelled rows of the fold, of every learned language, thinned by a hash of doc_id where there are many.
+
+    The languages are the most frequent labels of all these rows, so one with few rows is learned from each of them.
+    """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & fold_ok)
-    n = rows.select("doc_id").count()
-    if n > TRAIN_DOCS:
-        rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) < F.lit(int(1_000_000 * TRAIN_DOCS / n) + 1))
-    return rows.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
+    lang = F.col("lang").cast("string")
+    found = rows.groupBy(lang.alias("lang")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(MAX_LANGS).collect()
+    share = even_share([r["n"] for r in found], TRAIN_DOCS)
+    parts = {r["lang"]: 1_000_000_000 if r["n"] <= share else int(1_000_000_000 * share / r["n"]) + 1 for r in found}
+    part = F.element_at(F.create_map(*[F.lit(x) for pair in parts.items() for x in pair]), lang) if parts else F.lit(0)
+    rows = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000_000)) < F.coalesce(part, F.lit(0)))
+    return rows.select(lang.alias("lang"), F.col("text").cast("string").alias("text"))
 
 
 def fit(sample: DataFrame) -> bytes:
