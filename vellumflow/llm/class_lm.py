@@ -1,14 +1,16 @@
 """Class-based bigram language model: exchange clustering, class transitions, word emissions.
 
-Clustering has two steps.  Exchange clustering runs over *units*: the
-``HEAD_UNITS`` most frequent words are their own, all others share a unit by a
-hash of their ending; each unit moves to the class that most raises the class
-bigram likelihood.  Then every other training word is placed by itself: its
-counts of classes before and after it, over all training text, say in which
-class it raises the likelihood most.  Only words that training has not seen
-take the class of their ending's unit.  A token's probability is P(class |
-class before) from smoothed transitions between the words' final classes,
-times P(word | class) from smoothed counts of all training words.
+Every training word has a class.  The ``HEAD_UNITS`` most frequent words are
+exchanged one by one, sweep after sweep: each moves to the class that most
+raises the class bigram likelihood, while all other words stand together beside
+them.  Then every other training word is moved by itself, in one distributed
+sweep: its counts of classes before and after it, over all training text, say
+in which class it raises the likelihood most.  Only words that training has not
+seen have no class of their own; they take the class that holds most words seen
+once, and there the share that smoothing leaves.  A token's probability is
+P(class | class before) from smoothed transitions between the words' classes,
+times P(word | class) from smoothed counts of all training words; it sums to
+one over all words, the unseen one included.
 
 Words with their counts and classes are a table of any size: words of the
 ``HEAD_WORDS`` most frequent (a proven bound) are looked up where the text is
@@ -17,14 +19,14 @@ to their document, so nothing that grows with the corpus is broadcast or
 collected.
 
 Defined results: null text is empty and holds only the end token; repeated rows
-are scored one by one; with an empty training fold every word is unknown and
-the model is uniform; an empty table gives no rows; other columns are not read.
+are scored one by one; with an empty training fold every word is unseen and the
+model is uniform; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
 import pickle
-import zlib
+import struct
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
@@ -37,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .common import prepare, staged
 
-HEAD_UNITS, ENDING_UNITS = 512, 512
+HEAD_UNITS = 2048
 HEAD_WORDS = 100_000
 CLASSES = 48
 SWEEPS = 8
@@ -45,13 +47,17 @@ SWEEPS = 8
 ADD, BACKOFF = 0.1, 20.0
 #: The end token: no word holds a blank.
 END = b" "
-END_UNIT = HEAD_UNITS + ENDING_UNITS
-UNITS = END_UNIT + 1
-#: Cells of neighbour counts, and counts whose gains are tabled.
-CELLS, SMALL = 2 * (CLASSES + 1), 64
+#: Units of the exchange beyond the head words: all other words together, and the end token.  Each keeps a class of its own.
+OTHER_UNIT, END_UNIT = HEAD_UNITS, HEAD_UNITS + 1
+UNITS = HEAD_UNITS + 2
+END_CLASS, OTHER_CLASS = CLASSES, CLASSES + 1
+#: Classes that may stand beside a word, cells of neighbour counts, and counts whose gains are tabled.
+SIDES = CLASSES + 2
+CELLS, SMALL = 2 * SIDES, 64
 #: Stands for the class of a rarer word until the table of words gives it.
 RARE = 255
-_PUNCT = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+#: A document's own row: has an id, id, training, tokens, known head tokens, their log counts, bytes of the class sequence; then that and the turns.
+_OWN = "<?q?qqdq"
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -59,22 +65,13 @@ def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "replace").lower().split() if text else []
 
 
-def ending_unit(word: bytes) -> int:
-    return HEAD_UNITS + zlib.crc32((word.rstrip(_PUNCT) or word)[-3:]) % ENDING_UNITS
-
-
-class _Units(dict):
-    """Word to unit; endings are computed on a miss and kept up to a bound."""
-
-    def __init__(self, units: dict[bytes, int], most: int = 60_000):
-        super().__init__(units)
-        self.most = most
-
-    def __missing__(self, word: bytes) -> int:
-        found = ending_unit(word)
-        if len(self) < self.most:
-            self[word] = found
-        return found
+def token_stream(texts: list[str | None]) -> list[bytes]:
+    """All tokens of some texts, an end token before the first and after each."""
+    stream = [END]
+    for t in texts:
+        stream += words_of(t)
+        stream.append(END)
+    return stream
 
 
 def count_words(texts: DataFrame) -> DataFrame:
@@ -116,26 +113,31 @@ def head_words(counts: DataFrame, most: int = HEAD_WORDS) -> list[tuple[bytes, i
 
 def bigram_counts(texts: DataFrame, head: dict[bytes, int]) -> np.ndarray:
     """Unit bigram counts over all texts, end tokens on both sides: a matrix of bounded size."""
-    shared = texts.sparkSession.sparkContext.broadcast(head)
+    shared = texts.sparkSession.sparkContext.broadcast({**head, END: END_UNIT})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        units, total = _Units(shared.value), np.zeros(UNITS * UNITS, np.int64)
+        unit, total, held = shared.value.get, np.zeros(UNITS * UNITS, np.int64), []
+
+        def add() -> None:
+            total[:] += np.bincount(np.concatenate(held), minlength=UNITS * UNITS)
+            held.clear()
+
         for b in batches:
-            stream = [END_UNIT]
-            for t in b.column("text").to_pylist():
-                stream += map(units.__getitem__, words_of(t))
-                stream.append(END_UNIT)
-            u = np.asarray(stream, np.int64)
-            cells, n = np.unique(u[:-1] * UNITS + u[1:], return_counts=True)
-            total[cells] += n
+            stream = token_stream(b.column("text").to_pylist())
+            u = np.fromiter(map(unit, stream, repeat(OTHER_UNIT)), np.int64, len(stream))
+            held.append(u[:-1] * UNITS + u[1:])
+            if sum(map(len, held)) > 2_000_000:
+                add()
+        if held:
+            add()
         at = np.flatnonzero(total)
         for k in range(0, len(at), 100_000):
             part = at[k : k + 100_000]
             yield pa.RecordBatch.from_arrays([pa.array(part, pa.int64()), pa.array(total[part], pa.int64())], ["cell", "n"])
 
-    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow().to_pandas()
+    rows = texts.mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros(UNITS * UNITS, np.int64)
-    out[rows["cell"].to_numpy(np.int64)] = rows["n"].to_numpy(np.int64)
+    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
     return out.reshape(UNITS, UNITS)
 
 
@@ -144,16 +146,16 @@ def _xlogx(x: np.ndarray) -> np.ndarray:
 
 
 def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS) -> np.ndarray:
-    """Class of every unit (the last unit, the end token, keeps a class of its own: ``classes``)."""
-    units, k = len(bigrams) - 1, classes + 1
+    """Class of every unit; the last two units, all other words and the end token, keep the classes ``classes + 1`` and ``classes``."""
+    units, k = len(bigrams) - 2, classes + 2
     n = bigrams.astype(np.float64)
     mass = n.sum(axis=1)
     order = np.argsort(-mass[:units], kind="stable")
-    cls = np.empty(units + 1, np.int64)
+    cls = np.empty(units + 2, np.int64)
     cls[order] = np.arange(units) % classes
-    cls[units] = classes
-    one = np.zeros((units + 1, k))
-    one[np.arange(units + 1), cls] = 1.0
+    cls[units:] = classes + 1, classes
+    one = np.zeros((units + 2, k))
+    one[np.arange(units + 2), cls] = 1.0
     table = one.T @ n @ one
     left, right = table.sum(axis=1), table.sum(axis=0)
     cols = n.T.copy()
@@ -178,7 +180,7 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
             diagonal = np.diag(table)
             gain = rows.sum(axis=1) - np.diag(rows) + columns.sum(axis=1) - np.diag(columns) + _xlogx(diagonal + out + into + own) - _xlogx(diagonal)
             gain -= _xlogx(left + w_left) - _xlogx(left) + _xlogx(right + w_right) - _xlogx(right)
-            gain[classes] = -np.inf
+            gain[classes:] = -np.inf
             new = int(gain.argmax()) if gain.max() > gain[old] + 1e-9 else old
             moved += new != old
             cls[w] = new
@@ -195,98 +197,87 @@ def exchange(bigrams: np.ndarray, classes: int = CLASSES, sweeps: int = SWEEPS)
 def neighbour_counts(texts: DataFrame, units: dict[bytes, int], cls: np.ndarray) -> DataFrame:
     """``word binary, cells binary``: counts of classes around every word that is not a unit of its own.
 
-    A cell is a class before the word, or CLASSES + 1 plus a class after it; each is packed as count * 128 + cell.
+    A cell is a class before the word, or SIDES plus a class after it; each is packed as count * 128 + cell.
     A word has one row for each flush of a task, none is left out.
     """
-    shared = texts.sparkSession.sparkContext.broadcast((units, cls))
+    shared = texts.sparkSession.sparkContext.broadcast({**{w: int(cls[u]) for w, u in units.items()}, END: END_CLASS})
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        heads, classes = shared.value
-        first = len(heads) + 1
-
-        class Ids(dict):
-            """Numbers of words: units, the end token, then the others as they come."""
-
-            def __missing__(self, word: bytes) -> int:
-                self[word] = found = first + len(names)
-                names.append(word)
-                own.append(classes[ending_unit(word)])
-                return found
-
-        def begin() -> tuple[list[bytes], list[int], Ids]:
-            return [], [classes[u] for u in heads.values()] + [classes[END_UNIT]], Ids({**{w: i for i, w in enumerate(heads)}, END: first - 1})
+        heads = {w: i for i, w in enumerate(shared.value)}
+        classes, first = np.fromiter(shared.value.values(), np.int64, len(heads)), len(heads)
+        ids, held, size = dict(heads), [], 0
 
         def flush() -> pa.RecordBatch:
+            names = list(ids)[first:]
             keys, n = np.unique(np.concatenate(held), return_counts=True)
             word, at = np.divmod(keys, CELLS)
             starts = np.searchsorted(word, np.arange(first, first + len(names) + 1)) * 4
             cells = pa.Array.from_buffers(pa.binary(), len(names), [None, pa.py_buffer(starts.astype(np.int32)), pa.py_buffer((n * 128 + at).astype(np.uint32))])
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), cells], ["word", "cells"])
 
-        names, own, ids = begin()
-        held: list[np.ndarray] = []
-        size = 0
         for b in batches:
-            stream = [first - 1]
-            for t in b.column("text").to_pylist():
-                stream += map(ids.__getitem__, words_of(t))
-                stream.append(first - 1)
-            w = np.asarray(stream, np.int64)
-            c = np.asarray(own, np.int64)[w]
-            at = np.flatnonzero(w >= first)
-            held += [w[at] * CELLS + c[at - 1], w[at] * CELLS + CLASSES + 1 + c[at + 1]]
+            stream = token_stream(b.column("text").to_pylist())
+            number = ids.setdefault  # a new word gets the next number
+            w = np.fromiter((number(x, len(ids)) for x in stream), np.int64, len(stream))
+            c = np.full(len(w), OTHER_CLASS)
+            known = w < first
+            c[known] = classes[w[known]]
+            at = np.flatnonzero(~known)
+            held += [w[at] * CELLS + c[at - 1], w[at] * CELLS + SIDES + c[at + 1]]
             size += len(at)
-            if len(names) > 150_000 or size > 3_000_000:
-                if names:
+            if len(ids) - first > 150_000 or size > 3_000_000:
+                if len(ids) > first:
                     yield flush()
-                names, own, ids = begin()
-                held, size = [], 0
-        if names:
+                ids, held, size = dict(heads), [], 0
+        if len(ids) > first:
             yield flush()
 
     return texts.mapInArrow(run, "word binary, cells binary")
 
 
 class Placer:
-    """Gains of words in every class, against the units' class bigrams."""
+    """The best class of words by their neighbours, against the units' class bigrams."""
 
-    def __init__(self, cls: np.ndarray, table: np.ndarray):
-        self.cls, self.left, self.right = cls, table.sum(axis=1), table.sum(axis=0)
+    def __init__(self, table: np.ndarray):
+        left, right = table.sum(axis=1)[:CLASSES], table.sum(axis=0)[:CLASSES]
         #: For every cell, the bigrams that a word in class g would add to.
-        self.cells = np.concatenate([table, table.T])
+        self.cells = np.concatenate([table, table.T])[:, :CLASSES]
         small = np.arange(SMALL)[:, None, None]
-        self.added, self.taken = self._step(self.cells, small), self._step(self.cells, -small)
+        self.added = self._step(self.cells, small).astype(np.float32)
+        self.sides = left, right
+        once = self.added[1] - (self._step(left, 1) + self._step(right, 1)) / 2
+        #: The class of a word that stands once, between two classes.
+        self.single = (once[:SIDES, None] + once[None, SIDES:]).argmax(axis=2)
 
     @staticmethod
-    def _step(x: np.ndarray, k: np.ndarray) -> np.ndarray:
-        return _xlogx(np.maximum(x + k, 0.0)) - _xlogx(x)
-
-    def place(self, words: list[bytes], owner: np.ndarray, cell: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Count and class of every word; ``owner`` (sorted) says whose cell it is, each (owner, cell) once."""
-        n = np.bincount(owner, weights=np.where(cell <= CLASSES, k, 0), minlength=len(words))
-        old = self.cls[np.fromiter(map(ending_unit, words), np.int64, len(words))]
-        few = np.minimum(k, SMALL - 1)
-        added, taken = self.added[few, cell], self.taken[few, cell, old[owner]]
-        many = np.flatnonzero(k >= SMALL)
-        added[many] = self._step(self.cells[cell[many]], k[many, None])
-        taken[many] = self._step(self.cells[cell[many], old[owner[many]]], -k[many])
-        begin = np.searchsorted(owner, np.arange(len(words)))
-        gain = np.add.reduceat(added, begin, axis=0)
-        gain -= self._step(self.left, n[:, None]) + self._step(self.right, n[:, None])
-        # The word is still in its ending's class: what it holds there is what leaving would take.
-        rows = np.arange(len(words))
-        gain[rows, old] = -np.add.reduceat(taken, begin) + self._step(self.left[old], -n) + self._step(self.right[old], -n)
-        gain[:, CLASSES] = -np.inf
-        best = gain.argmax(axis=1)
-        return n.astype(np.int64), np.where(gain[rows, best] > gain[rows, old] + 1e-9, best, old)
-
-
-def placed_words(neighbours: DataFrame, cls: np.ndarray, table: np.ndarray) -> DataFrame:
+    def _step(x: np.ndarray, k: np.ndarray | int) -> np.ndarray:
+        return _xlogx(x + k) - _xlogx(x)
+
+    def place(self, words: int, owner: np.ndarray, cell: np.ndarray, k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Count and class of every word; ``owner`` (sorted) says whose cell it is, each (owner, cell) once in order."""
+        n = np.bincount(owner, weights=np.where(cell < SIDES, k, 0), minlength=words)
+        begin, once, found = np.searchsorted(owner, np.arange(words)), n == 1, np.empty(words, np.int64)
+        found[once] = self.single[cell[begin[once]], cell[begin[once] + 1] - SIDES]
+        rest = np.flatnonzero(~once)
+        if len(rest):
+            of = np.flatnonzero(~once[owner])
+            cell, k = cell[of], k[of]
+            added = self.added[np.minimum(k, SMALL - 1), cell]
+            many = np.flatnonzero(k >= SMALL)
+            added[many] = self._step(self.cells[cell[many]], k[many, None])
+            gain = np.add.reduceat(added, np.searchsorted(owner[of], rest), axis=0, dtype=np.float64)
+            left, right = self.sides
+            gain -= self._step(left, n[rest, None]) + self._step(right, n[rest, None])
+            found[rest] = gain.argmax(axis=1)
+        return n.astype(np.int64), found
+
+
+def placed_words(neighbours: DataFrame, table: np.ndarray) -> DataFrame:
     """``word binary, n long, cls int`` of every word in ``neighbours``."""
-    shared = neighbours.sparkSession.sparkContext.broadcast((cls, table))
+    shared = neighbours.sparkSession.sparkContext.broadcast(table)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        placer = Placer(*shared.value)
+        placer = Placer(shared.value)
 
         def done(words: list[bytes], cells: list[bytes]) -> pa.RecordBatch:
             fresh = np.fromiter((i == 0 or words[i] != words[i - 1] for i in range(len(words))), bool, len(words))
@@ -295,7 +286,7 @@ def placed_words(neighbours: DataFrame, cls: np.ndarray, table: np.ndarray) -> D
             owner = np.repeat(np.cumsum(fresh) - 1, np.fromiter(map(len, cells), np.int64, len(cells)) // 4)
             keys, at = np.unique(owner * CELLS + code % 128, return_inverse=True)
             k = np.bincount(at, weights=code // 128, minlength=len(keys)).astype(np.int64)
-            n, found = placer.place(names, keys // CELLS, keys % CELLS, k)
+            n, found = placer.place(len(names), keys // CELLS, keys % CELLS, k)
             return pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(n), pa.array(found, pa.int32())], ["word", "n", "cls"])
 
         words: list[bytes] = []
@@ -326,30 +317,31 @@ def place(texts: DataFrame) -> tuple[dict, DataFrame]:
     frequent = head_words(counted)
     units = {w: i for i, (w, _) in enumerate([x for x in frequent if x[0] != END][:HEAD_UNITS])}
     cls = exchange(bigrams := bigram_counts(texts, units))
-    one = np.zeros((UNITS, CLASSES + 1))
+    one = np.zeros((UNITS, SIDES))
     one[np.arange(UNITS), cls] = 1.0
     n = dict(frequent)
     alone = [(bytearray(w), int(n[w]), int(cls[u])) for w, u in units.items()]
-    alone += [(bytearray(END), int(size["ends"]), CLASSES)] if size["ends"] else []
-    placed = placed_words(neighbour_counts(texts, units, cls), cls, one.T @ bigrams @ one)
+    alone += [(bytearray(END), int(size["ends"]), END_CLASS)] if size["ends"] else []
+    placed = placed_words(neighbour_counts(texts, units, cls), one.T @ bigrams @ one)
     counts = staged(placed.unionByName(spark.createDataFrame(alone, "word binary, n long, cls int")), "word-classes")
-    rows = counts.where(F.col("n") >= F.lit(frequent[-1][1] if frequent else 1 << 62)).toArrow().to_pandas()  # those of ``frequent``
-    found = dict(zip(map(bytes, rows["word"]), rows["cls"].tolist(), strict=True))
-    words, mass = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1)
-    for r in counts.groupBy("cls").agg(F.count("*").alias("words"), F.sum("n").alias("mass")).collect():
+    rows = counts.where(F.col("n") >= F.lit(frequent[-1][1] if frequent else 1 << 62)).toArrow()  # those of ``frequent``
+    found = dict(zip(rows.column("word").to_pylist(), rows.column("cls").to_pylist(), strict=True))
+    words, mass, once = np.zeros(CLASSES + 1), np.zeros(CLASSES + 1), np.zeros(CLASSES)
+    for r in counts.groupBy("cls").agg(F.count("*").alias("words"), F.sum("n").alias("mass"), F.count_if(F.col("n") == 1).alias("once")).collect():
         words[r["cls"]], mass[r["cls"]] = r["words"], r["mass"]
-    spread = np.log10(mass + ADD * (words + 1))
-    return {"cls": cls, "spread": spread, "head": frequent, "head_cls": np.array([found[w] for w, _ in frequent], np.int64), "ends": int(size["ends"]), "n": int(size["n"]), "v": int(size["v"])}, counts
+        once[min(r["cls"], CLASSES - 1)] += r["once"] * (r["cls"] < CLASSES)
+    unseen = int(once.argmax())
+    words[unseen] += 1
+    with np.errstate(divide="ignore"):
+        spread = np.log10(np.where(words > 0, mass + ADD * words, 1.0))
+    return {"unseen": unseen, "spread": spread, "head": frequent, "head_cls": np.array([found[w] for w, _ in frequent], np.uint8), "ends": int(size["ends"]), "n": int(size["n"]), "v": int(size["v"])}, counts
 
 
 class Scorer:
-    """The bounded part of the model: units (head words, then endings), their classes, transitions and emissions."""
+    """The bounded part of the model: head words with their counts and classes."""
 
     def __init__(self, model: bytes):
         m = pickle.loads(model)
-        self.units = _Units({w: UNITS + i for i, (w, _) in enumerate(m["head"])}, most=2 * HEAD_WORDS)
-        self.cls, self.spread, self.moves = np.concatenate([m["cls"], m["head_cls"]]), m["spread"], m.get("moves")
-        self.base_spread = float(np.log10(m["n"] + ADD * (m["v"] + 1)))
         self.index = {w: i for i, (w, _) in enumerate(m["head"])}
         self.head_cls, self.head_log = m["head_cls"], np.log10(np.array([c for _, c in m["head"]], np.float64) + ADD)
         self.end_log, self.end_known = float(np.log10(m["ends"] + ADD)), int(m["ends"] > 0)
@@ -359,7 +351,7 @@ class Scorer:
         where they stand is class RARE, in turn the numbers of distinct ones."""
         words = words_of(text)
         at = np.fromiter(map(self.index.get, words, repeat(-1)), np.int64, len(words))
-        seq = np.full(len(words) + 2, CLASSES, np.uint8)
+        seq = np.full(len(words) + 2, END_CLASS, np.uint8)
         known, gaps = at >= 0, np.flatnonzero(at < 0)
         seq[1:-1][known] = self.head_cls[at[known]]
         seq[gaps + 1] = RARE
@@ -378,44 +370,54 @@ def classed(docs: DataFrame, base: dict, counts: DataFrame) -> DataFrame:
     tokens, and the classes of all its tokens between end tokens, a byte each."""
     spark = prepare(docs.sparkSession, 500)
     shared = spark.sparkContext.broadcast(pickle.dumps(base, protocol=5))
-    schema = pa.schema([("row_id", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("ending", pa.int32()), ("doc_id", pa.int64()), ("train", pa.bool_()), ("n_tokens", pa.int64()), ("n_known", pa.int64()), ("logs", pa.float64()), ("seq", pa.binary()), ("turn", pa.binary())])
+    schema = pa.schema([("row_id", pa.int64()), ("at", pa.int32()), ("word", pa.binary()), ("own", pa.binary())])
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _scorer(shared.value)
+
+        def done() -> pa.RecordBatch:
+            size = np.asarray(sizes)
+            at = np.arange(int(size.sum())) - np.repeat(np.cumsum(size) - size, size) - 1
+            return pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, size), pa.int64()), pa.array(at, pa.int32()), pa.array(words, pa.binary()), pa.array(owns, pa.binary())], schema=schema)
+
         for b in batches:
-            out: list[list] = [[] for _ in schema]
+            ids, sizes, words, owns = [], [], [], []
             for row, doc, train, text in zip(b.column("row_id").to_pylist(), b.column("doc_id").to_pylist(), b.column("train").to_pylist(), b.column("text"), strict=True):
                 tokens, known, logs, seq, turn, rare = scorer.read(text.as_py())
-                n = len(rare)
+                ids.append(row)
+                sizes.append(len(rare) + 1)
                 # The document's own row carries a word that matches nothing and, unlike a null, spreads evenly.
-                own = (row, -1, b" %d" % row, 0, doc, train, tokens, known, logs, seq.tobytes(), turn.tobytes())
-                rest = (repeat(row, n), range(n), rare, scorer.cls[np.fromiter(map(scorer.units.__getitem__, rare), np.int64, n)].tolist(), *(repeat(None, n) for _ in range(7)))
-                for column, first, more in zip(out, own, rest, strict=True):
-                    column.append(first)
-                    column.extend(more)
-                if len(out[0]) > 50_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
-                    out = [[] for _ in schema]
-            yield pa.RecordBatch.from_arrays([pa.array(x, f.type) for x, f in zip(out, schema, strict=True)], schema=schema)
+                words.append(b" %d" % row)
+                words += rare
+                owns.append(struct.pack(_OWN, doc is not None, doc or 0, train, tokens, known, logs, len(seq)) + seq.tobytes() + turn.tobytes())
+                owns += repeat(None, len(rare))
+                if len(words) > 50_000:
+                    yield done()
+                    ids, sizes, words, owns = [], [], [], []
+            if ids:
+                yield done()
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        top = struct.calcsize(_OWN)
+
         def done(rows: pa.Table) -> pa.RecordBatch:
             at, n, cls = (rows.column(c).to_numpy() for c in ("at", "n", "cls"))
-            begin = np.flatnonzero(at < 0)
-            own = rows.take(pa.array(begin))
-            tokens, logs, seqs = own.column("n_known").to_numpy().copy(), own.column("logs").to_numpy().copy(), []
-            log = np.log10(n + ADD)
-            for i, (a, z, seq, turn) in enumerate(zip(begin.tolist(), [*begin[1:].tolist(), len(at)], own.column("seq").to_pylist(), own.column("turn").to_pylist(), strict=True)):
-                if turn:
-                    of = np.frombuffer(turn, np.uint32) + a + 1  # a document's rarer words follow it in turn
-                    tokens[i] += int((n[of] > 0).sum())
-                    logs[i] += log[of].sum()
+            begin, log = np.flatnonzero(at < 0), np.log10(n + ADD)
+            out: list[list] = [[] for _ in range(6)]
+            for a, own in zip(begin.tolist(), rows.column("own").take(pa.array(begin)).to_pylist(), strict=True):
+                has, doc, train, tokens, known, logs, size = struct.unpack_from(_OWN, own)
+                seq = own[top : top + size]
+                of = np.frombuffer(own, np.uint32, offset=top + size) + a + 1  # a document's rarer words follow it in turn
+                if len(of):
+                    known += int((n[of] > 0).sum())
+                    logs += log[of].sum()
                     whole = np.frombuffer(seq, np.uint8).copy()
                     whole[whole == RARE] = cls[of]
                     seq = whole.tobytes()
-                seqs.append(seq)
-            columns = [own.column("doc_id").combine_chunks(), own.column("train").combine_chunks(), own.column("n_tokens").combine_chunks(), pa.array(tokens), pa.array(logs), pa.array(seqs, pa.binary())]
-            return pa.RecordBatch.from_arrays(columns, ["doc_id", "train", "n_tokens", "n_known", "logs", "seq"])
+                for column, x in zip(out, (doc if has else None, train, tokens, known, logs, seq), strict=True):
+                    column.append(x)
+            kinds = (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(out, kinds, strict=True)], ["doc_id", "train", "n_tokens", "n_known", "logs", "seq"])
 
         held: list[pa.RecordBatch] = []
         size = 0
@@ -432,8 +434,8 @@ def classed(docs: DataFrame, base: dict, counts: DataFrame) -> DataFrame:
             yield done(pa.Table.from_batches(held))
 
     rows = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), "train", F.col("text").cast("string").alias("text"))
-    parts = rows.mapInArrow(split, "row_id long, at int, word binary, ending int, doc_id long, train boolean, n_tokens long, n_known long, logs double, seq binary, turn binary")
-    joined = parts.join(counts, "word", "left").select("row_id", "at", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", "ending").alias("cls"), "doc_id", "train", "n_tokens", "n_known", "logs", "seq", "turn")
+    parts = rows.mapInArrow(split, "row_id long, at int, word binary, own binary")
+    joined = parts.join(counts, "word", "left").select("row_id", "at", F.coalesce("n", F.lit(0)).cast("long").alias("n"), F.coalesce("cls", F.lit(base["unseen"])).alias("cls"), "own")
     return joined.repartition("row_id").sortWithinPartitions("row_id", "at").mapInArrow(gather, "doc_id long, train boolean, n_tokens long, n_known long, logs double, seq binary")
 
 
