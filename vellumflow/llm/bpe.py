@@ -3,8 +3,12 @@
 The file's own library is the authority.  Texts made only of characters that
 every regular-expression engine classifies alike (printable ASCII, tab, line
 ends, and Latin letters up to U+024F) are encoded by a rank encoder built from
-the same file; the two agree there because the vocabulary orders its tokens by
-merge rank.  Every other text goes through the library itself.
+the same file.  The two agree there if merge order is id order and the library
+encodes every token's own bytes as that token (``ByteBpe.proven``): when two
+neighbours spell a token c, no earlier merge has crossed the edges of c, so the
+merges inside it were those of c alone, and the two neighbours are the pair that
+the file lists for c.  Otherwise, and for every other text, the ids come from
+the library itself.
 """
 
 from __future__ import annotations
@@ -29,18 +33,21 @@ def _byte_alphabet() -> dict[str, int]:
 
 
 class ByteBpe:
-    def __init__(self, path: str = DEFAULT_BPE):
+    def __init__(self, path: str = DEFAULT_BPE, ranked: bool = True):
         import tiktoken
         from tokenizers import Tokenizer
 
         where = source_file(path)
         self.library = Tokenizer.from_file(where)
-        spec = json.load(open(where, encoding="utf-8"))
+        with open(where, encoding="utf-8") as f:
+            spec = json.load(f)
         special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         alphabet = _byte_alphabet()
         ranks = {bytes(alphabet[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}
         self.size = 1 + max([*ranks.values(), *special.values()])
         self.special = special
+        self.tokens = {token: i for token, i in spec["model"]["vocab"].items() if token not in special}
+        self.checked: bool | None = None
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         order = sorted(ranks.values())
         merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
@@ -48,7 +55,14 @@ class ByteBpe:
         by_rank = [vocab[a + b] for a, b in merges]
         plain = spec["normalizer"] is None and spec["pre_tokenizer"] == {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}
         # A rank encoder is the same function only if merge order is id order and nothing else rewrites the text.
-        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special) if plain and by_rank == sorted(by_rank) and order == list(range(len(order))) else None
+        self.fast = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special) if ranked and plain and by_rank == sorted(by_rank) and order == list(range(len(order))) else None
+
+    def proven(self) -> bool:
+        """Whether every token's own bytes are one token to the library, so that the rank encoder gives its ids."""
+        if self.checked is None:
+            model = self.library.model
+            self.checked = all([t.id for t in model.tokenize(token)] == [i] for token, i in self.tokens.items())
+        return self.checked
 
     def encode(self, text: str) -> np.ndarray:
         """The ids of a text as unsigned 32-bit numbers, special strings handled as the library does by default."""
@@ -58,5 +72,6 @@ class ByteBpe:
 
 
 @lru_cache(maxsize=2)
-def byte_bpe(path: str = DEFAULT_BPE) -> ByteBpe:
-    return ByteBpe(path)
+def byte_bpe(path: str = DEFAULT_BPE, ranked: bool = True) -> ByteBpe:
+    """``ranked``: whether ``proven`` held, which a driver asks once for all workers."""
+    return ByteBpe(path, ranked)

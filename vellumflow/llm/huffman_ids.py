@@ -47,10 +47,11 @@ def encode_documents(docs: DataFrame, end_id: int, vocabulary: str = DEFAULT_BPE
     ``extra`` names one string column to carry along.
     """
     prepare(docs.sparkSession)
+    ranked = byte_bpe(vocabulary).proven()
     names = ["doc_id", "order_hash", *([extra] if extra else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = byte_bpe(vocabulary)
+        bpe = byte_bpe(vocabulary, ranked)
         kind = np.uint16 if max(bpe.size, end_id + 1) <= 1 << 16 else np.uint32
         for b in batches:
             n, ids = [], []
