@@ -98,6 +98,60 @@ def test_single_label_minds_paths_without_it():
     assert taken > 100
 
 
+def test_words_are_cut_at_scripts():
+    assert lang_id.raw_words("plain这是一个test海边 a1б2в, naïve") == ["plain", "这是一个", "test", "海边", "a1", "б2в,", "naïve"]
+    assert lang_id.words_of("Plain这是 x") == ["plain", "这是", "x"] and lang_id.words_of("İx a") == ["i̇x", "a"]
+    assert [lang_id.buckets_for(n) for n in (0, 4, 64, 256, 8192)] == [1 << 17, 1 << 17, 1 << 17, 1 << 15, 1 << 10]
+
+
+def test_scripts_narrow(spark):
+    """A word can only have a language of its script, however the n-grams speak; unseen scripts count for none."""
+    rows = [(i, t, lang) for i, (t, lang) in enumerate([("plain words by the sea", "en"), ("这是一个海边的故事", "zh"), ("это рассказ о море", "ru")] * 5)]
+    model = lang_id.fit(lang_id.learnable(spark.createDataFrame(rows, "doc_id long, text string, lang string"), F.lit(True)))
+    texts = ["plain这是一个海边的故事words by the sea", "words море plain", "αβγ δεζ", "plain αβγδε words", "xq" * 2000 + " море"]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in lang_id.identify(docs, model, with_spans=True).collect()}
+    assert [(s["start"], s["end"], s["lang"]) for s in got[0]["spans"]] == [(0, 5, "en"), (5, 14, "zh"), (14, 30, "en")]
+    assert [s["lang"] for s in got[1]["spans"]] == ["en", "ru", "en"]
+    assert (got[2]["lang_pred"], got[2]["score"]) == ("en", 0.0)
+    assert (got[3]["lang_pred"], got[3]["score"]) == ("en", 10 / 15)
+    assert [s["lang"] for s in got[4]["spans"]] == ["en", "ru"]
+
+
+def test_nothing_learned_rejects_nothing(spark):
+    rows = spark.createDataFrame([(1, "two English rows", None), (2, "without a language", None), (3, None, None), (4, "12 ...", None)], "doc_id long, text string, lang string")
+    model = lang_id.fit(lang_id.learnable(rows, F.lit(True)))
+    assert {r["doc_id"] for r in lang_id.keep_identified(rows, model, 0.5).collect()} == {1, 2}
+    assert {r["lang_pred"] for r in lang_id.identify(rows, model).collect()} == {"und"}
+
+
+def test_language_id_against_all_labellings(spark, docs):
+    """lang_pred and score of short texts, against the best of all sequences of labels by the fitted n-gram weights."""
+    import itertools
+
+    packed = lang_id.fit(lang_id.learnable(docs, F.lit(True)))
+    langs, weights, _ = pickle.loads(packed)
+    rng = np.random.default_rng(3)
+    words = [w for r in docs.where("lang is not null").orderBy("doc_id").limit(60).collect() for w in (r["text"] or "").split()[:40]]
+    texts = [" ".join(rng.choice(words, n)) for n in rng.integers(1, 6, 40)]
+    got = {r["doc_id"]: r for r in lang_id.identify(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), packed).collect()}
+
+    def score(w):
+        grams, _ = lang_id.ngram_hashes([w.lower()], len(weights))
+        return weights[grams[0]].sum(axis=0, dtype=float) + weights[grams[1]].sum(axis=0, dtype=float) if any(map(str.isalpha, w)) else np.zeros(len(langs))
+
+    for d, t in enumerate(texts):
+        each, letters = [score(w) for w in t.split()], [sum(map(str.isalpha, w)) for w in t.split()]
+        value = lambda path: sum(s[k] for s, k in zip(each, path)) - lang_id.SWITCH_PENALTY * sum(a != b for a, b in zip(path, path[1:]))  # noqa: E731, B023
+        paths = sorted(itertools.product(range(len(langs)), repeat=len(each)), key=value, reverse=True)
+        best = [p for p in paths if value(p) > value(paths[0]) - 1e-4]  # float32 sums may order ties either way
+        shares = []
+        for path in best:
+            mass = np.bincount(path, weights=letters, minlength=len(langs))
+            shares.append((langs[int(mass.argmax())], float(mass.max() / max(sum(letters), 1))))
+        assert (got[d]["lang_pred"], got[d]["score"]) in (shares if sum(letters) else [("und", 0.0)])
+
+
 # -- 2: class language model ----------------------------------------------------
 def lm_brute(texts, train_ids):
     words = lambda t: (t or "").encode().lower().split() + [b" "]
@@ -236,6 +290,17 @@ def test_decontamination_of_words_beyond_ascii(spark, max_set):
     assert all(v[2] == 1 for v in got.values())
 
 
+@pytest.mark.parametrize("max_set", [20_000, 0])
+def test_decontamination_of_any_item_id(spark, max_set):
+    """Item ids are data, whatever they hold."""
+    ids = ["${spark.app.name}", "a\x03b", "a\x01b\x02c", "it's \\ 'x'", "a,b", "", "é\u00a0", None]
+    items = [(x, f"uno dos tres {'abcdefgh'[i]}") for i, x in enumerate(ids)] + [("twice", "uno dos tres a")]
+    rows = [(i, f"say uno dos tres {'abcdefgh'[i]} now") for i in range(len(ids))]
+    got = {r["doc_id"]: (r["n_words"], r["n_hit"], r["n_items"], r["items_sha256"], r["contaminated"]) for r in decontam.report(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id string, text string"), max_set).collect()}
+    assert got == decontam_brute(rows, [("null" if x is None else x, t) for x, t in items])
+    assert got[0][2] == 2 and all(got[i][2] == 1 for i in range(1, 8))
+
+
 def test_decontamination_cleans(spark, edge_docs, no_docs):
     items = spark.createDataFrame([(1, "Small text"), (None, "world, this")], "item_id long, text string")
     long = spark.createDataFrame([(9, "word " * 100 + "Small, (text)! end.", "en", "a", 1, "x", 1, 2.0)], edge_docs.schema)
@@ -398,6 +463,17 @@ def test_simhash_edges(edge_docs, no_docs):
     assert simhash.components(no_docs).count() == 0
 
 
+def test_simhash_hot_fingerprint_and_clashes(spark, monkeypatch):
+    """Rows of one fingerprint meet their component in shares; columns named like the operator's own stay."""
+    monkeypatch.setattr(simhash, "HOT_SHARE", 5)
+    rows = [(i, "all the same words here" if i % 3 else f"text {i} alone {i * i} words", i, "x") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, first int, _first string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.components(docs).collect()}
+    assert got == components_brute({d: simhash_brute(t) for d, t, _, _ in rows})
+    kept = simhash.keep_first(docs)
+    assert kept.columns == docs.columns and sorted(r["doc_id"] for r in kept.collect()) == sorted(set(got.values()))
+
+
 # -- 7: personal data ---------------------------------------------------------------------
 BASE = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
@@ -535,7 +611,10 @@ def test_compaction(spark, docs, edge_docs, no_docs):
     assert len(after.runs) < 4 + 4 and after.version > before.version
     rows = lambda df: sorted(map(str, df.collect()))
     assert rows(store.read()) == rows(docs) == rows(store.read(before.version))
-    assert store.vacuum() > 0 and rows(store.read()) == rows(docs)
+    assert store.vacuum() == 0 and store.vacuum(min_age_s=0) > 0 and rows(store.read()) == rows(docs)
+    clash = docs.withColumns({"_arrival": F.lit("a"), "Arrival": F.lit(1)})
+    again = compaction.arrive_and_compact(clash, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8, "doc_id")
+    assert again.columns == clash.columns and rows(again) == rows(clash)
     same = compaction.arrive_and_compact(edge_docs, f"{shared_dir(spark)}/store-{uuid.uuid4().hex}", 8, "doc_id")
     assert sorted(same.columns) == sorted(edge_docs.columns) and rows(same.select(*edge_docs.columns)) == rows(edge_docs)
 
