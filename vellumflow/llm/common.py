@@ -67,6 +67,14 @@ def gone_at_exit(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
 
 
+def free_name(df: DataFrame, stem: str) -> str:
+    """A column name that ``df`` does not have, nor any that differs from one in case only or goes on from it."""
+    taken = [c.lower() for c in df.columns]
+    while any(c.startswith(stem.lower()) for c in taken):
+        stem = f"_{stem}"
+    return stem
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 

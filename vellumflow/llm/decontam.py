@@ -2,11 +2,13 @@
 
 Benchmark items become windows of ``NGRAM`` words (a shorter item is one
 window).  While the set of windows is at most ``MAX_SET`` (checked by a count),
-it travels with the tasks as two hash sets: one of hashed window ends, which
-almost every training window fails, and one of the windows' full texts, which
-verifies the rest.  A larger benchmark takes the other way, with equal results:
-hashed training windows are joined to hashed benchmark windows, and the hits
-verified by joining full window texts.
+it is broadcast with the tasks as two hash sets: one of hashed window ends,
+which almost every training window fails, and one of the windows' full texts,
+filed by hash, which verifies the rest and names the items.  A larger benchmark
+takes the other way, with equal results: hashed training windows are joined to
+hashed benchmark windows, and the hits verified by joining full window texts;
+each benchmark window meets the rows in ``SALTS`` shares, so that a passage that
+many documents hold spreads over tasks.
 
 Defined results: null or wordless text has no words and no hits; repeated rows
 are judged one by one; repeated items and items of one text all count; an item
@@ -20,11 +22,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, held, staged
+from .common import ascii_lower, free_name, held, staged
 
 NGRAM = 13
 #: Windows that may travel with the tasks (about 100 bytes each).
 MAX_SET = 20_000
+SALTS = 16
 #: A document is contaminated if at least one word in so many is hit.
 ONE_IN = 20
 
@@ -58,38 +61,47 @@ def _covered(hits: Column) -> Column:
 
 
 def _by_set(docs: DataFrame, windows: list) -> DataFrame:
-    """Adds ``hits`` and ``items`` from windows that travel with the tasks."""
-    items: dict[str, set[str]] = {}
-    ends: dict[int, set[str]] = {}
+    """Adds ``hits`` and ``items`` from windows (gram, len, item, ends, key) that travel with the tasks."""
+    none = F.array().cast("array<string>")
+    if not windows:
+        return docs.withColumns({"hits": F.array().cast(_HITS), "items": none})
+    ids = sorted({r["item"] for r in windows})
+    number = {x: k for k, x in enumerate(ids)}
+    items: dict[str, set[int]] = {}
+    ends: dict[int, set[int]] = {}
     for r in windows:
-        items.setdefault(r["gram"], set()).add(r["item"])
-        ends.setdefault(r["len"], set()).add(r["gram"])
-    if not items:
-        return docs.withColumns({"hits": F.array().cast(_HITS), "items": F.array().cast("array<string>")})
-    # Words hold no blanks, quotes or backslashes, so window texts are safe as literals.
+        items.setdefault(r["gram"], set()).add(number[r["item"]])
+        ends.setdefault(r["len"], set()).add(r["ends"])
+    slots: list[list[str]] = [[] for _ in items]
+    for gram, key in {r["gram"]: r["key"] for r in windows}.items():
+        slots[key % len(slots)].append(gram + "\x02" + " ".join(map(str, sorted(items[gram]))))
+    # Words hold no control characters, so these separate them.  Item ids may hold anything and travel in hexadecimal.
+    table = F.split(F.lit("\x01".join("\x03".join(x) for x in slots)), "\x01")
+    names = F.split(F.lit(",".join(x.encode().hex() for x in ids)), ",")
     parts = []
-    for size, grams in sorted(ends.items()):
-        pairs = sorted({f"{w[0]} {w[-1]}" for w in (g.split(" ") for g in grams)})
-        literal = ", ".join(f"'{p}'" for p in pairs)
-        hashes = docs.sparkSession.sql(f"SELECT transform(array({literal}), p -> xxhash64(p)) AS h").first()["h"]
-        # As they are: Python's escapes of no-break spaces and the like are not SQL's.
-        texts = ", ".join(f"'{g}'" for g in sorted(grams))
-        anchored = f"xxhash64(concat_ws(' ', get(words, i), get(words, i + {size - 1}))) IN ({', '.join(f'{h}L' for h in hashes)})"
-        verified = f"array_join(slice(words, i + 1, {size}), ' ') IN ({texts})"
-        parts.append(f"transform(filter(IF(n_words >= {size}, sequence(0, n_words - {size}), array()), i -> {anchored} AND {verified}), i -> named_struct('pos', i, 'len', {size}))")
-    hits = f"array_sort(concat({', '.join(parts)}))"
-    # One literal map: window text to its items.
-    table = F.expr("str_to_map('" + "\x01".join(f"{g}\x02" + "\x03".join(sorted(i.replace("\\", "\\\\").replace("'", "\\'") for i in ids)) for g, ids in sorted(items.items())) + "', '\x01', '\x02')")
-    found = held(docs, hits=F.expr(hits).cast(_HITS))
-    named = F.flatten(F.transform("hits", lambda h: F.split(F.element_at(table, F.array_join(F.slice("words", h["pos"] + 1, h["len"]), " ")), "\x03")))
-    return found.withColumn("items", F.when(F.size("hits") > 0, F.array_sort(F.array_distinct(named))).otherwise(F.array().cast("array<string>")))
+    for size, hashes in sorted(ends.items()):
+        anchored = f"xxhash64(concat_ws(' ', get(words, i), get(words, i + {size - 1}))) IN ({', '.join(f'{h}L' for h in sorted(hashes))})"
+        parts.append(f"transform(filter(IF(n_words >= {size}, sequence(0, n_words - {size}), array()), i -> {anchored}), i -> named_struct('pos', i, 'len', {size}, 'gram', array_join(slice(words, i + 1, {size}), ' ')))")
+
+    def verified(h: Column) -> Column:
+        filed = F.get(table, F.pmod(F.xxhash64(h["gram"]), F.lit(len(slots))).cast("int"))
+        return F.struct(h["pos"].alias("pos"), h["len"].alias("len"), F.try_element_at(F.str_to_map(filed, F.lit("\x03"), F.lit("\x02")), h["gram"]).alias("told"))
+
+    found = held(docs, near=F.expr(f"array_sort(concat({', '.join(parts)}))"))
+    found = held(found, told=F.filter(F.transform("near", verified), lambda h: h["told"].isNotNull())).drop("near")
+    numbers = F.array_distinct(F.flatten(F.transform("told", lambda h: F.split(h["told"], " "))))
+    named = F.array_sort(F.transform(numbers, lambda k: F.unhex(F.get(names, k.cast("int"))).cast("string")))
+    hits = F.transform("told", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len")))
+    return found.withColumns({"hits": hits, "items": F.when(F.size("told") > 0, named).otherwise(none)}).drop("told")
 
 
 def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Adds ``hits`` and ``items`` by joins, for benchmarks of any size."""
-    windows = staged(windows, "windows")
+    windows = staged(windows.select("gram", "len", "item", F.xxhash64(F.split("gram", " ")).alias("h")), "windows")
     sizes = sorted(r["len"] for r in windows.select("len").distinct().collect())  # at most NGRAM
-    keyed = staged(docs.withColumn("row_id", F.monotonically_increasing_id()), "decontam-docs")
+    row, salt = free_name(docs, "row_id"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt")
+    keyed = staged(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+    small = keyed.select(F.col(row).alias("row"), "words", "n_words", F.pmod(F.xxhash64(row, F.lit("salt")), F.lit(SALTS)).cast("int").alias("salt"))
     none = F.array().cast("array<struct<pos: int, len: int, h: bigint>>")
 
     def hashes(size: int) -> Column:
@@ -97,17 +109,20 @@ def _by_join(docs: DataFrame, windows: DataFrame) -> DataFrame:
         return F.when(F.col("n_words") >= size, each).otherwise(none)
 
     spots = F.concat(*[hashes(k) for k in sizes]) if sizes else none
-    hashed = windows.select(F.xxhash64(F.split("gram", " ")).alias("h")).distinct()
-    near = keyed.select("row_id", F.inline(spots)).join(hashed, "h", "left_semi").groupBy("row_id").agg(F.collect_list(F.struct("pos", "len")).alias("near"))
-    hits = keyed.select("row_id", "words").join(near, "row_id").select("row_id", F.inline(F.transform("near", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"), F.array_join(F.slice("words", h["pos"] + 1, h["len"]), " ").alias("gram"))))).join(windows.select("gram", "item"), "gram")
-    per_row = hits.groupBy("row_id").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("hits"), F.array_sort(F.collect_set("item")).alias("items"))
-    return keyed.join(per_row, "row_id", "left").drop("row_id").withColumns({"hits": F.coalesce("hits", F.array().cast(_HITS)), "items": F.coalesce("items", F.array().cast("array<string>"))})
+    near = small.select("row", "salt", F.inline(spots)).join(windows.select("h", salt).distinct(), ["h", "salt"], "left_semi").groupBy("row").agg(F.collect_list(F.struct("pos", "len")).alias("near"))
+    grams = F.transform("near", lambda h: F.struct(h["pos"].alias("pos"), h["len"].alias("len"), F.array_join(F.slice("words", h["pos"] + 1, h["len"]), " ").alias("gram")))
+    hits = small.select("row", "words", "salt").join(near, "row").select("row", "salt", F.inline(grams)).join(windows.select("gram", "item", salt), ["gram", "salt"])
+    per_row = hits.groupBy("row").agg(F.array_sort(F.collect_set(F.struct("pos", "len"))).alias("found"), F.array_sort(F.collect_set("item")).alias("named")).withColumnsRenamed({"row": f"{row}_", "found": f"{row}_found", "named": f"{row}_named"})
+    joined = keyed.join(per_row, F.col(row) == F.col(f"{row}_"), "left")
+    return joined.withColumns({"hits": F.coalesce(f"{row}_found", F.array().cast(_HITS)), "items": F.coalesce(f"{row}_named", F.array().cast("array<string>"))}).drop(row, f"{row}_", f"{row}_found", f"{row}_named")
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, n: int = NGRAM, max_set: int = MAX_SET) -> DataFrame:
     """Adds to every row: words, n_words, hits (window starts and lengths), items, n_hit, contaminated."""
     windows = windows_of(benchmark, n)
-    first = windows.limit(max_set + 1).collect()  # bounded by max_set
+    words = F.split("gram", " ")
+    keyed = windows.select("gram", "len", "item", F.xxhash64(F.concat_ws(" ", F.get(words, F.lit(0)), F.element_at(words, -1))).alias("ends"), F.xxhash64("gram").alias("key"))
+    first = keyed.limit(max_set + 1).collect()  # bounded by max_set
     split = held(docs, words=words_of(F.col("text").cast("string"))).withColumn("n_words", F.size("words"))
     found = _by_set(split, first) if len(first) <= max_set else _by_join(split, windows)
     return found.withColumn("n_hit", _covered(F.col("hits"))).withColumn("contaminated", (F.col("n_hit") > 0) & (F.col("n_hit").cast("long") * ONE_IN >= F.col("n_words")))
