@@ -1,7 +1,7 @@
 """SimHash near-duplicate groups with pivot distance tables.
 
 Each distinct fingerprint gets a table row of Hamming distances to ``PIVOTS``
-reference fingerprints, computed once.  Two fingerprints within distance d
+reference fingerprints, computed once and carried with it.  Two fingerprints within distance d
 differ by at most d in every coordinate, so a pair whose largest coordinate
 difference exceeds d is discarded without being compared; survivors are
 verified bit by bit.
@@ -12,7 +12,8 @@ fingerprint is filed under every choice of b-3 blocks (``b`` grows with the
 number of fingerprints so that files stay small).  A file of more than
 ``FILE_ROWS`` is split into blocks of pairs of sub-files, so no task holds an
 unbounded group, and every task reports a spanning forest of its links, never
-all pairs.  Components then come from alternating large-star and small-star
+all pairs.  Rows of a fingerprint that more than one row in ``HOT_SHARE`` has
+(so less than that many fingerprints) meet its component in shares.  Components then come from alternating large-star and small-star
 rounds on the forest, each round staged in the shared folder.
 
 Defined results: null or blank text has fingerprint 0, linked like any other;
@@ -31,11 +32,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import prepare, shuffle_width, staged
+from .common import free_name, prepare, shuffle_width, staged
 
 RADIUS = 3
 PIVOTS = 24
 FILE_ROWS = 4096
+HOT_SHARE = 1000
 
 
 def simhash(text: str | None, words: int = 3) -> int:
@@ -101,9 +103,21 @@ def _forest(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return nodes[label[others]], nodes[others]
 
 
-def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """A forest of the links between fingerprints (as unsigned) that share a key; keys are sorted."""
-    table = pivot_table(fps)
+def with_pivots(nodes: DataFrame) -> DataFrame:
+    """``fp, pivots``: every fingerprint with its row of the pivot distance table, a byte a distance."""
+    prepare(nodes.sparkSession)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            table = pivot_table(b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64))
+            rows = pa.FixedSizeBinaryArray.from_buffers(pa.binary(PIVOTS), b.num_rows, [None, pa.py_buffer(np.ascontiguousarray(table))])
+            yield pa.RecordBatch.from_arrays([b.column("fp"), rows.cast(pa.binary())], ["fp", "pivots"])
+
+    return nodes.select("fp").mapInArrow(run, "fp long, pivots binary")
+
+
+def _links(keys: np.ndarray, fps: np.ndarray, table: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """A forest of the links between fingerprints (as unsigned, with their pivot distances) that share a key; keys are sorted."""
     held_u, held_v, held = [], [], 0
     step, i = 1, np.flatnonzero(keys[1:] == keys[:-1]) if len(keys) > 1 else np.zeros(0, np.int64)
     while len(i):
@@ -128,7 +142,7 @@ def _links(keys: np.ndarray, fps: np.ndarray, radius: int) -> tuple[np.ndarray,
 
 
 def files_of(nodes: DataFrame, count: int, radius: int) -> DataFrame:
-    """Each fingerprint under every choice of ``b - radius`` of ``b`` bit blocks: ``file, fp``."""
+    """Each fingerprint under every choice of ``b - radius`` of ``b`` bit blocks: ``file, fp, pivots``."""
     blocks = radius + 2
     while count / 2 ** (64 * (blocks - radius) / blocks) > 1 / 16 and blocks < radius + 5:
         blocks += 1
@@ -138,34 +152,35 @@ def files_of(nodes: DataFrame, count: int, radius: int) -> DataFrame:
         mask = sum(((1 << (edges[k + 1] - edges[k])) - 1) << edges[k] for k in chosen)
         signed = mask - (1 << 64) if mask >= 1 << 63 else mask
         keys.append(F.xxhash64(F.lit(choice), F.col("fp").bitwiseAND(F.lit(signed).cast("long"))))
-    return nodes.select("fp", F.explode(F.array(*keys)).alias("file"))
+    return nodes.select("fp", "pivots", F.explode(F.array(*keys)).alias("file"))
 
 
 def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     """A spanning forest's links ``u, v`` of all pairs of fingerprints within ``radius`` bits, found file by file."""
-    count = nodes.count()
-    filed = files_of(nodes, count, radius)
+    nodes = staged(with_pivots(nodes), "pivot-table")
+    filed = files_of(nodes, nodes.count(), radius)
     hot = filed.groupBy("file").agg(F.count("*").alias("rows")).where(F.col("rows") > FILE_ROWS).select("file", F.ceil(F.col("rows") / FILE_ROWS).alias("parts"))
     own = F.pmod(F.xxhash64("fp", F.lit("part")), F.col("parts"))
     other = F.explode(F.when(F.col("parts").isNull(), F.array(F.lit(0).cast("long"))).otherwise(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
-    split = filed.join(hot, "file", "left").select("file", "fp", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
-    keyed = split.select(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp")
+    split = filed.join(hot, "file", "left").select("file", "fp", "pivots", F.coalesce(own, F.lit(0)).alias("own"), other.alias("other"))
+    keyed = split.select(F.xxhash64("file", F.least("own", "other"), F.greatest("own", "other")).alias("key"), "fp", "pivots")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fps = np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        keys, fps, table = np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros((0, PIVOTS), np.int8)
 
         def answer(n: int) -> pa.RecordBatch:
-            u, v = _links(keys[:n], fps[:n], radius)
+            u, v = _links(keys[:n], fps[:n], table[:n], radius)
             return pa.RecordBatch.from_arrays([pa.array(u.view(np.int64)), pa.array(v.view(np.int64))], ["u", "v"])
 
         for b in batches:
             keys = np.concatenate([keys, b.column("key").to_numpy(zero_copy_only=False)])
             fps = np.concatenate([fps, b.column("fp").to_numpy(zero_copy_only=False).view(np.uint64)])
+            table = np.concatenate([table, np.frombuffer(b"".join(b.column("pivots").to_pylist()), np.int8).reshape(-1, PIVOTS)])
             if len(keys) >= 200_000:
                 n = int(np.searchsorted(keys, keys[-1]))  # the last key may go on in the next batch
                 if n:
                     yield answer(n)
-                    keys, fps = keys[n:], fps[n:]
+                    keys, fps, table = keys[n:], fps[n:], table[n:]
         if len(keys):
             yield answer(len(keys))
 
@@ -193,15 +208,20 @@ def connected(links: DataFrame) -> DataFrame:
 def components(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (smallest doc_id reachable) for every row."""
     prints = staged(fingerprints(docs), "fingerprints")
-    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first")), "nodes")
+    nodes = staged(prints.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("copies")), "nodes")
     roots = connected(near_links(nodes.select("fp"), radius))
-    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    linked = nodes.join(roots, nodes["fp"] == roots["node"], "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root"))
     lowest = linked.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = linked.join(lowest, "root").select("fp", "component_id")
-    return prints.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    share = max(nodes.agg(F.sum("copies").alias("n")).first()["n"] or 0, HOT_SHARE) / HOT_SHARE
+    parts = F.when(F.col("copies") > share, F.ceil(F.col("copies") / share)).otherwise(F.lit(1)).cast("int")
+    named = linked.join(lowest, "root").select("fp", "component_id", F.explode(F.sequence(F.lit(0), parts - 1)).alias("part"))
+    hot = nodes.where(F.col("copies") > share).select(F.col("fp").alias("hot"), parts.alias("parts"))  # less than HOT_SHARE rows
+    dealt = prints.join(F.broadcast(hot), F.col("fp") == F.col("hot"), "left").select("doc_id", "fp", F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("parts")), F.lit(0)).cast("int").alias("part"))
+    return dealt.join(named, ["fp", "part"]).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_first(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
     """Rows of ``docs`` that are the first of their group (smallest doc_id; rows that repeat it stay together); same columns."""
-    first = components(docs.select("doc_id", "text"), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_first")).distinct()
-    return docs.join(first, docs["doc_id"].cast("long").eqNullSafe(F.col("_first")), "left_semi")
+    name = free_name(docs, "first")
+    first = components(docs.select("doc_id", "text"), radius).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(first, F.col("doc_id").cast("long").eqNullSafe(F.col(name)), "left_semi")
