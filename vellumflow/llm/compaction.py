@@ -21,6 +21,7 @@ from __future__ import annotations
 
 import json
 import math
+import time
 import uuid
 from dataclasses import asdict, dataclass, replace
 
@@ -28,6 +29,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import free_name
+
 FAN_IN = 4
 TARGET_BYTES = 128 << 20
 #: Runs up to this size are the lowest tier; each further tier is FAN_IN times as large.
@@ -167,14 +170,17 @@ class ShardStore:
 
             self._change(swap)
 
-    def vacuum(self, keep_versions: int = 1) -> int:
+    def vacuum(self, keep_versions: int = 1, min_age_s: float = 86_400.0) -> int:
         """Remove run folders that the newest ``keep_versions`` manifests don't name; how many went.
 
-        Runs that a writer has not committed yet are removed too, so no append may be under way.
+        Folders younger than ``min_age_s`` stay: another writer may be about to commit them.
         """
+        oldest = (time.time() - min_age_s) * 1000
         kept = {r.path for v in self.versions()[-keep_versions:] for r in self.manifest(v).runs}
         fs, gone = self._fs, 0
         for top in fs.listStatus(self._path("data")):
+            if min_age_s and top.getModificationTime() > oldest:
+                continue
             stem = f"data/{top.getPath().getName()}"
             inner = [f"{stem}/{s.getPath().getName()}" for s in fs.listStatus(top.getPath()) if s.isDirectory() and "=" in s.getPath().getName()]
             for p in inner or [stem]:
@@ -187,7 +193,8 @@ class ShardStore:
 def arrive_and_compact(rows: DataFrame, root: str, arrivals: int, key: str) -> DataFrame:
     """Store ``rows`` as ``arrivals`` small runs, compact, drop what was replaced, and read the result."""
     store = ShardStore(rows.sparkSession, root)
-    store.append(rows.withColumn("_arrival", F.pmod(F.xxhash64(key), F.lit(arrivals))), by="_arrival")
+    arrival = free_name(rows, "arrival")
+    store.append(rows.withColumn(arrival, F.pmod(F.xxhash64(key), F.lit(arrivals))), by=arrival)
     store.compact()
-    store.vacuum()
+    store.vacuum(min_age_s=0)  # the store has no other writer
     return store.read()
