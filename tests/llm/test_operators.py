@@ -391,11 +391,30 @@ def test_packing_buckets_agree(docs, monkeypatch):
     assert key(packing.pack(docs)) == whole
 
 
-def test_packing_targets_and_edges(spark, edge_docs, no_docs):
+def test_packing_does_not_mind_the_split(docs):
+    key = lambda df: sorted(map(tuple, df.collect()))
+    assert key(packing.pack(docs.repartition(5, "text"))) == key(packing.pack(docs.coalesce(1)))
+
+
+def test_packing_targets_and_edges(spark, docs, edge_docs, no_docs):
     targets = spark.createDataFrame([("a", 3.0), ("b", 1.0)], "source string, share double")
     pieces = packing.pack(edge_docs, targets=targets).collect()
     assert sum(p["length"] for p in pieces) == sum(len(byte_bpe().encode(r["text"] or "")) + 1 for r in edge_docs.collect())
-    assert packing.pack(no_docs).count() == 0
+    assert packing.pack(no_docs).count() == 0 and packing.pack(no_docs, targets=targets).count() == 0
+    # Targets hold while all queues last; a source with no share above zero waits for the others.
+    rows = [(i, "some words " * 20, "xyz"[min(i % 10, 2)]) for i in range(1500)]
+    mixed = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    of = {d: x for d, _, x in rows}
+    shares = spark.createDataFrame([("x", 2.0), ("y", 1.0), ("z", 1.0), (None, 0.0)], "source string, share double")
+    seen, at = collections.Counter(), 0
+    for p in sorted(packing.pack(mixed, window=512, targets=shares).collect(), key=lambda p: (p["sequence_id"], p["offset"])):
+        seen[of[p["doc_id"]]] += p["length"]
+        at += p["length"]
+        if seen["x"] < 150 * p["doc_tokens"] - 512:  # x has 150 documents, as has y; z has the rest
+            assert all(abs(seen[x] - q * at) <= 2 * 512 for x, q in (("x", 0.5), ("y", 0.25), ("z", 0.25)))
+    last = spark.createDataFrame([("x", 0.0), ("y", 1.0), ("z", -1.0)], "source string, share double")
+    order = [of[p["doc_id"]] for p in sorted(packing.pack(mixed, window=512, targets=last).collect(), key=lambda p: (p["sequence_id"], p["offset"]))]
+    assert "y" not in "".join(order).lstrip("y")
 
 
 # -- 6: near duplicates ----------------------------------------------------------------
@@ -590,6 +609,19 @@ def test_huffman_files(docs, texts, monkeypatch, range_docs):
         start += len(ids)
 
 
+def test_huffman_folder_stands_alone(spark, docs, texts):
+    """Another session reads a folder's files, and one block by its bit offset, with nothing else."""
+    path = f"{shared_dir(spark)}/ids-{uuid.uuid4().hex}"
+    huffman_ids.write_ids(docs, path)
+    other = spark.newSession()
+    assert huffman_ids.read_shards(other, path).count() == len(texts)
+    shard = other.read.parquet(f"{path}/shards").orderBy("shard", "part").first()
+    doc, block = max((n, i) for i, n in enumerate(shard["doc_tokens"]))[1], 0
+    block = sum(-(-n // huffman_ids.BLOCK) for n in shard["doc_tokens"][:doc]) + 1
+    ids = [*byte_bpe().library.encode(texts[shard["doc_ids"][doc]], add_special_tokens=False).ids, 0]
+    assert huffman_ids.read_block(other, path, shard["shard"], shard["part"], block).tolist() == ids[512:1024]
+
+
 def test_huffman_edges(edge_docs, no_docs):
     got = sorted((r["start"], r["n_tokens"], r["doc_id"]) for r in huffman_ids.huffman_round_trip(edge_docs).collect())
     assert len(got) == 10 and got[0][0] == 0 and got[0][2] is None

@@ -8,9 +8,10 @@ range, ascending; each document is a run of blocks of at most ``BLOCK`` ids,
 each starting at a byte, and the shard lists every block's bit offset.  Any
 block decodes without the others; a shard's blocks are decoded side by side.
 
-Shards are stored as rows of Parquet (``shard, part, doc_ids, doc_tokens,
-block_bits, payload``) in the shared folder, ``lengths`` beside them, so any
-store that Spark reaches will do.
+A folder holds all that reading needs: ``shards`` (rows of Parquet: ``shard,
+part, doc_ids, doc_tokens, block_bits, payload``), ``lengths`` (``id, length``)
+and ``format`` (``version, block``); any store that Spark reaches will do.  More
+than 2^``MAX_BITS`` different ids take as many bits as they need, up to 24.
 
 Defined results: null text is empty (only the end id); rows with one doc_id
 follow each other in text-hash order, each with its own start; null doc_ids
@@ -19,17 +20,18 @@ come first; an empty table gives empty files and no rows.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
 from .bpe import DEFAULT_BPE, byte_bpe
-from .common import prepare, staged
+from .common import gone_at_exit, prepare, shared_dir, staged
 
 MAX_BITS = 18
 BLOCK = 512
@@ -37,6 +39,7 @@ BLOCK = 512
 PART_IDS = 1 << 20
 RANGE_DOCS = 4000
 
+FORMAT = 1
 IDS_SCHEMA = "doc_id long, order_hash long, n_tokens long, ids binary"
 SHARD_SCHEMA = "shard long, part long, doc_ids array<long>, doc_tokens array<long>, block_bits array<long>, payload binary"
 
@@ -87,9 +90,10 @@ def id_counts(ids: DataFrame) -> DataFrame:
     return ids.select("n_tokens", "ids").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n"))
 
 
-def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
-    """Optimal prefix-code lengths of at most ``limit`` bits by package-merge; 0 for ids that do not occur."""
+def code_lengths(counts: np.ndarray, limit: int | None = None) -> np.ndarray:
+    """Optimal prefix-code lengths of at most ``limit`` bits (MAX_BITS, or what so many ids need) by package-merge; 0 for ids that do not occur."""
     used = np.flatnonzero(counts)
+    limit = limit or min(24, max(MAX_BITS, (len(used) - 1).bit_length()))
     out = np.zeros(len(counts), np.uint8)
     if len(used) <= 1:
         out[used] = 1
@@ -199,8 +203,8 @@ def decode_blocks(payload: bytes, bits: np.ndarray, sizes: np.ndarray, symbol: n
     return out
 
 
-def write_shards(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Code the staged ids and write shards in ascending doc_id order; returns the written files, read back."""
+def write_shards(ids: DataFrame, lengths: np.ndarray, path: str) -> None:
+    """Code the staged ids and write shards in ascending doc_id order, code lengths and format to the folder ``path``."""
     spark = ids.sparkSession
     bounds = range_bounds(ids)
     packed = spark.sparkContext.broadcast(lengths.tobytes())
@@ -244,7 +248,10 @@ def write_shards(ids: DataFrame, lengths: np.ndarray) -> DataFrame:
 
     coded = ids.withColumn("shard", shard_of(F.col("doc_id"), bounds)).mapInArrow(code, "shard long, doc_id long, order_hash long, n_tokens long, blocks array<long>, bits binary")
     sized = coded.repartition(min(max(len(bounds) + 1, 1), 20_000), "shard").sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "order_hash")
-    return staged(sized.mapInArrow(gather, SHARD_SCHEMA), "shards", codec="uncompressed")
+    sized.mapInArrow(gather, SHARD_SCHEMA).write.option("compression", "uncompressed").parquet(f"{path}/shards")
+    used = np.flatnonzero(lengths)
+    spark.createDataFrame(list(zip(used.tolist(), lengths[used].tolist(), strict=True)), "id long, length int").coalesce(1).write.parquet(f"{path}/lengths")
+    spark.createDataFrame([(FORMAT, BLOCK)], "version int, block int").coalesce(1).write.parquet(f"{path}/format")
 
 
 SHARD_NAMES = ["shard", "part", "doc_ids", "doc_tokens", "block_bits", "payload"]
@@ -282,20 +289,46 @@ def shard_of(doc_id, bounds: list[int]):
     return F.when(doc_id.isNull() | (coarse == 0), F.lit(0)).otherwise((coarse - 1) * 128 + fine).cast("long")
 
 
-def read_shards(shards: DataFrame, lengths: np.ndarray) -> DataFrame:
-    """Decode written shards: per document doc_id, start, n_tokens, ids_crc32."""
-    spark = shards.sparkSession
-    packed = spark.sparkContext.broadcast(lengths.tobytes())
+def read_lengths(spark: SparkSession, path: str) -> np.ndarray:
+    """The code lengths of a folder's files; at most one for each vocabulary entry."""
+    told = spark.read.parquet(f"{path}/format").first()
+    if (told["version"], told["block"]) != (FORMAT, BLOCK):
+        raise ValueError(f"files of format {told['version']} with blocks of {told['block']} ids")
+    rows = spark.read.parquet(f"{path}/lengths").toArrow()
+    at = rows.column("id").to_numpy()
+    out = np.zeros(int(at.max(initial=0)) + 1, np.uint8)
+    out[at] = rows.column("length").to_numpy()
+    return out
+
+
+def block_sizes(documents: np.ndarray) -> np.ndarray:
+    """Ids in every block of consecutive documents."""
+    per = -(-documents // BLOCK)
+    sizes = np.full(int(per.sum()), BLOCK, np.int64)
+    sizes[np.cumsum(per) - 1] = documents - (per - 1) * BLOCK
+    return sizes
+
+
+def read_block(spark: SparkSession, path: str, shard: int, part: int, block: int) -> np.ndarray:
+    """The ids of one block, decoded from its bit offset alone."""
+    row = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards").where((F.col("shard") == shard) & (F.col("part") == part)).first()
+    symbol, size = decode_table(read_lengths(spark, path))
+    ids = block_sizes(np.asarray(row["doc_tokens"], np.int64))[block : block + 1]
+    first = row["block_bits"][block] // 8
+    return decode_blocks(bytes(row["payload"][first : first + BLOCK * 3 + 4]), np.zeros(1, np.int64), ids, symbol, size)
+
+
+def read_shards(spark: SparkSession, path: str) -> DataFrame:
+    """Decode a folder's files: per document doc_id, start, n_tokens, ids_crc32."""
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(f"{path}/shards")
+    packed = spark.sparkContext.broadcast(read_lengths(spark, path).tobytes())
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         symbol, size = decode_table(np.frombuffer(packed.value, np.uint8))
         for b in batches:
             for r in b.to_pylist():
                 n = np.asarray(r["doc_tokens"], np.int64)
-                per = -(-n // BLOCK)
-                sizes = np.full(int(per.sum()), BLOCK, np.int64)
-                sizes[np.cumsum(per) - 1] = n - (per - 1) * BLOCK
-                ids = decode_blocks(r["payload"], np.asarray(r["block_bits"], np.int64), sizes, symbol, size)
+                ids = decode_blocks(r["payload"], np.asarray(r["block_bits"], np.int64), block_sizes(n), symbol, size)
                 ends = np.cumsum(n)
                 crc = [zlib.crc32(ids[e - k : e].astype("<u4").tobytes()) for e, k in zip(ends.tolist(), n.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array([r["shard"]] * len(n), pa.int64()), pa.array([r["part"]] * len(n), pa.int64()), pa.array(r["doc_ids"], pa.int64()), pa.array(ends - n, pa.int64()), pa.array(n, pa.int64()), pa.array(crc, pa.int64())], ["shard", "part", "doc_id", "within", "n_tokens", "ids_crc32"])
@@ -315,11 +348,19 @@ def running_offsets(totals: DataFrame, group: int = 256) -> DataFrame:
     return grouped.withColumn("in_group", F.coalesce(F.sum("n").over(inner), F.lit(0))).join(base, "g").select("shard", "part", (F.col("g_before") + F.col("in_group")).alias("before"))
 
 
-def huffman_round_trip(docs: DataFrame, end_id: int = 0, vocabulary: str = DEFAULT_BPE) -> DataFrame:
-    """Encode, count, code, write, read back; one row per document from the files."""
+def write_ids(docs: DataFrame, path: str, end_id: int = 0, vocabulary: str = DEFAULT_BPE) -> None:
+    """Encode, count, code and write all texts to the folder ``path``."""
     ids = staged(encode_documents(docs, end_id, vocabulary), "ids")
     found = id_counts(ids).toArrow().to_pandas()
     counts = np.zeros(int(found["id"].max()) + 1 if len(found) else 1, np.int64)
     counts[found["id"].to_numpy(np.int64)] = found["n"].to_numpy(np.int64)
-    lengths = code_lengths(counts)
-    return read_shards(write_shards(ids, lengths), lengths)
+    write_shards(ids, code_lengths(counts), path)
+
+
+def huffman_round_trip(docs: DataFrame, end_id: int = 0, vocabulary: str = DEFAULT_BPE) -> DataFrame:
+    """Write all texts to a folder that goes with the driver's JVM, and read it back; one row per document from the files."""
+    spark = docs.sparkSession
+    path = f"{shared_dir(spark)}/vellumflow-id-files-{uuid.uuid4().hex}"
+    write_ids(docs, path, end_id, vocabulary)
+    gone_at_exit(spark, path)
+    return read_shards(spark, path)

@@ -14,10 +14,13 @@ document.
 
 Targets default to each source's share of all tokens, so that every queue lasts
 to the end; given targets hold until a queue runs out, and the rest then keep
-their relative shares.
+their relative shares.  Sources without a target, or with none above zero, are
+sent when all others are.
 
-Running sums are taken in two levels (bounded buckets, then bucket totals), so
-a source with a third of all rows is spread over many tasks.
+A queue's order is a hash of doc_id and text, so it does not depend on how the
+input is split.  Running sums are taken in three levels (bounded buckets,
+groups of bucket totals, group totals), so a source with a third of all rows is
+spread over many tasks.
 
 Defined results: null text is one end id; null sources form one queue; repeated
 rows are packed one by one; an empty table gives no rows; other columns are not
@@ -39,44 +42,57 @@ from .common import staged
 from .huffman_ids import encode_documents, unpack
 
 WINDOW = 2048
-#: Rows that one task sorts for a running sum; a bound on memory, not on data.
-BUCKET_ROWS = 2_000
+#: Rows of a bucket and buckets of a group, each of which one task sorts for a running sum; bounds on memory, not on data.
+BUCKET_ROWS, GROUP_BUCKETS = 500, 1_000
 
 
-def queue_ends(counts: DataFrame) -> DataFrame:
-    """Adds ``queue_end``: tokens of the document's source up to and including it, in hash order."""
+def sums_before(totals: DataFrame, by: list[str]) -> DataFrame:
+    """``totals`` (by, bucket, n) to ``by, bucket, base``: the sum of ``n`` over all earlier buckets."""
+    earlier = (W.Window.unboundedPreceding, -1)
+    grouped = totals.withColumn("group", F.floor(F.col("bucket") / GROUP_BUCKETS))
+    inner = W.Window.partitionBy(*by, "group").orderBy("bucket").rowsBetween(*earlier)
+    outer = W.Window.partitionBy(*by).orderBy("group").rowsBetween(*earlier)
+    top = grouped.groupBy(*by, "group").agg(F.sum("n").alias("group_n")).withColumn("group_base", F.coalesce(F.sum("group_n").over(outer), F.lit(0))).drop("group_n")
+    within = grouped.withColumn("in_group", F.coalesce(F.sum("n").over(inner), F.lit(0)))
+    return within.join(top, [*by, "group"]).select(*by, "bucket", (F.col("group_base") + F.col("in_group")).alias("base"))
+
+
+def queue_ends(counts: DataFrame, quantum: DataFrame) -> DataFrame:
+    """Adds ``queue_end``: tokens of the document's source up to and including it, in hash order; and the source's ``quantum``."""
     buckets = max(1, -(-counts.count() // BUCKET_ROWS))
-    rows = counts.withColumn("queue_key", F.xxhash64("row_id")).withColumn("bucket", F.floor((F.col("queue_key").cast("double") / 2.0**64 + 0.5) * buckets))
-    within = W.Window.partitionBy("source", "bucket").orderBy("queue_key", "row_id").rowsBetween(W.Window.unboundedPreceding, 0)
-    before = W.Window.partitionBy("source").orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    base = rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
-    return rows.withColumn("in_bucket", F.sum("n_tokens").over(within)).join(base, ["source", "bucket"]).withColumn("queue_end", F.col("base") + F.col("in_bucket")).drop("base", "in_bucket", "bucket")
+    rows = counts.withColumn("queue_key", F.xxhash64("doc_id", "order_hash")).withColumn("bucket", F.floor((F.col("queue_key").cast("double") / 2.0**64 + 0.5) * buckets))
+    within = W.Window.partitionBy("source", "bucket").orderBy("queue_key", "doc_id", "order_hash", "row_id").rowsBetween(W.Window.unboundedPreceding, 0)
+    base = sums_before(rows.groupBy("source", "bucket").agg(F.sum("n_tokens").alias("n")), ["source"]).join(quantum, "source", "left")
+    ends = rows.withColumn("in_bucket", F.sum("n_tokens").over(within)).join(base, ["source", "bucket"])
+    return ends.select("row_id", "source", "n_tokens", "quantum", (F.col("base") + F.col("in_bucket")).alias("queue_end"))
 
 
 def stream_starts(ordered: DataFrame, rounds_per_bucket: int) -> DataFrame:
     """Adds ``stream_start``: tokens before the document in (round, source, queue) order."""
     rows = ordered.withColumn("bucket", F.floor(F.col("round") / rounds_per_bucket))
-    before = W.Window.orderBy("bucket").rowsBetween(W.Window.unboundedPreceding, -1)
-    base = rows.groupBy("bucket").agg(F.sum("n_tokens").alias("n")).withColumn("base", F.coalesce(F.sum("n").over(before), F.lit(0))).drop("n")
+    base = sums_before(rows.groupBy("bucket").agg(F.sum("n_tokens").alias("n")), [])
     within = W.Window.partitionBy("bucket").orderBy("round", "source", "queue_end", "row_id").rowsBetween(W.Window.unboundedPreceding, -1)
     return rows.withColumn("in_bucket", F.coalesce(F.sum("n_tokens").over(within), F.lit(0))).join(base, "bucket").withColumn("stream_start", F.col("base") + F.col("in_bucket")).drop("base", "in_bucket", "bucket")
 
 
 def plan_stream(counts: DataFrame, window: int = WINDOW, targets: DataFrame | None = None) -> DataFrame:
-    """``row_id, source, n_tokens`` to ``row_id, stream_start`` by deficit round-robin.
+    """``row_id, doc_id, order_hash, source, n_tokens`` to ``row_id, stream_start`` by deficit round-robin.
 
     ``targets`` (source, share) sets the mixture; shares need not sum to one.
     """
-    ends = queue_ends(counts)
     if targets is None:
         share = counts.groupBy("source").agg(F.sum("n_tokens").cast("double").alias("share"))
     else:
-        share = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("share").cast("double").alias("share"))
+        given = targets.select(F.coalesce(F.col("source"), F.lit("")).alias("source"), F.col("share").cast("double").alias("share"))
+        share = given.where((F.col("share") > 0) & (F.col("share") < float("inf"))).groupBy("source").agg(F.sum("share").alias("share"))
     total = share.agg(F.sum("share").alias("total")).first()["total"] or 1.0
-    quantum = share.select("source", (F.col("share") / F.lit(total) * window).alias("quantum"))
-    rounds = ends.join(quantum, "source", "left").withColumn("round", F.ceil(F.col("queue_end") / F.coalesce("quantum", F.lit(1.0)))).drop("quantum")
+    ends = queue_ends(counts, share.select("source", (F.col("share") / F.lit(total) * window).alias("quantum")))
+    rounds = ends.withColumn("round", F.ceil(F.col("queue_end") / F.col("quantum")))
+    if targets is not None:
+        last = rounds.agg(F.max("round").alias("last")).first()["last"] or 0
+        rounds = rounds.withColumn("round", F.coalesce("round", F.lit(last) + F.ceil(F.col("queue_end") / F.lit(window))))
     mean = counts.agg(F.avg("n_tokens").alias("m")).first()["m"] or 1.0
-    return stream_starts(rounds, max(1, int(BUCKET_ROWS * mean / window))).select("row_id", "stream_start")
+    return stream_starts(rounds.drop("quantum"), max(1, int(BUCKET_ROWS * mean / window))).select("row_id", "stream_start")
 
 
 def cut(placed: DataFrame, window: int = WINDOW) -> DataFrame:
@@ -105,5 +121,5 @@ def pack(docs: DataFrame, window: int = WINDOW, end_id: int = 1, vocabulary: str
     Returns per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
     """
     ids = staged(encode_documents(docs.withColumn("source", F.coalesce(F.col("source").cast("string"), F.lit(""))), end_id, vocabulary, extra="source").withColumn("row_id", F.monotonically_increasing_id()), "packing-ids")
-    starts = plan_stream(ids.select("row_id", "source", "n_tokens"), window, targets)
+    starts = plan_stream(ids.select("row_id", "doc_id", "order_hash", "source", "n_tokens"), window, targets)
     return cut(ids.select("row_id", "doc_id", "n_tokens", "ids").join(starts, "row_id"), window)
