@@ -23,6 +23,18 @@ def table(*rows, columns=2):
     return f'<w:tbl><w:tblPr/><w:tblGrid>{"<w:gridCol/>" * columns}</w:tblGrid>{"".join(f"<w:tr>{chr(10).join(r)}</w:tr>" for r in rows)}</w:tbl>'
 
 
+def deep(levels):
+    """Tables in tables, a text in each."""
+    inner = ""
+    for k in reversed(range(levels)):
+        inner = f"<w:tbl><w:tblGrid><w:gridCol/></w:tblGrid><w:tr><w:tc>{para(run(f't{k}'))}{inner}{para()}</w:tc></w:tr></w:tbl>"
+    return inner
+
+
+def mt(text):
+    return f"<m:r><m:t>{text}</m:t></m:r>"
+
+
 FIELD = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'
 INSTR = "<w:r><w:instrText>{}</w:instrText></w:r>"
 PNG = b"\x89PNG fake"
@@ -55,7 +67,11 @@ CASES = {
     "theme": (package(document(para(run("mono", "<w:rFonts w:asciiTheme='minorHAnsi'/>"), run(" plain", "<w:rFonts w:asciiTheme='majorHAnsi'/>"))), links=[("rIdT", "theme", "theme/theme1.xml")], extra={"word/theme/theme1.xml": f'<a:theme {W}><a:majorFont><a:latin typeface="Arial"/></a:majorFont><a:minorFont><a:latin typeface="Menlo"/></a:minorFont></a:theme>'}), "`mono` plain\n"),
     "text box": (package(document(para(run("out"), "<w:r><w:pict><w:txbxContent>" + para(run("boxed")) + "</w:txbxContent></w:pict></w:r>"), para(run("after")))), "out\n\nboxed\n\nafter\n"),
     "math": (package(document(para(run("x="), "<m:oMath><m:f><m:num><m:r><m:t>a</m:t></m:r></m:num><m:den><m:r><m:t>b</m:t></m:r></m:den></m:f><m:sSup><m:e><m:r><m:t>c</m:t></m:r></m:e><m:sup><m:r><m:t>2</m:t></m:r></m:sup></m:sSup></m:oMath>"))), "x=a/bc^2\n"),
-    "nested": (package(document("<w:tbl><w:tblGrid><w:gridCol/></w:tblGrid><w:tr><w:tc>" + para(run("outer")) + table([cell("in1"), cell("in2")]) + para() + "</w:tc></w:tr></w:tbl>")), "| outer<br>in1<br>in2 |\n| --- |\n"),
+    "nested": (package(document("<w:tbl><w:tblGrid><w:gridCol/></w:tblGrid><w:tr><w:tc>" + para(run("outer")) + table([cell("in1"), cell("in2")]) + para() + "</w:tc></w:tr></w:tbl>")), "<table>\n<tr><th>outer<br>in1<br>in2</th></tr>\n</table>\n"),
+    "deep": (package(document(deep(6))), "<table>\n<tr><th>" + "<br>".join(f"t{k}" for k in range(6)) + "</th></tr>\n</table>\n"),
+    "style ids": (package(document(para(run("Eins"), props="<w:pStyle w:val='Heading1'/>"), para(run("Zwei"), props="<w:pStyle w:val='berschrift2'/>")), style("Titel der Ebene eins", id="Heading1") + style("Ebene zwei", id="berschrift2")), "# Eins\n\n## Zwei\n"),
+    "long math": (package(document(para("<m:oMath><m:f><m:num>" + mt("a") + "</m:num><m:den>" + mt("b") + mt("+") + mt("c") + "</m:den></m:f>" + mt("=") + "<m:sSup><m:e>" + mt("x") + "</m:e><m:sup>" + mt("i") + mt("j") + "</m:sup></m:sSup></m:oMath>"))), "a/(b+c)=x^{ij}\n"),
+    "drawn rule": (package(document(para(run("a")), para("<w:r><w:pict><v:rect o:hr='t'/></w:pict></w:r>"), para(run("b"))).replace("<w:document ", "<w:document xmlns:o='urn:schemas-microsoft-com:office:office' ")), "a\n\n---\n\nb\n"),
     "picture field": (package(document(para(FIELD.format("begin"), INSTR.format(' INCLUDEPICTURE "https://x.y/p.png" '), FIELD.format("separate"), run("stale"), FIELD.format("end"), run(" seen")))), "![](https://x.y/p.png) seen\n"),
     "empty": (package(document()), ""),
 }
@@ -117,3 +133,9 @@ def test_further_options(spark):
     files = spark.createDataFrame([("o", bytearray(package(body, links=[("rIdI", "image", "media/pic.png"), ("rIdC", "comments", "comments.xml")], extra={"word/media/pic.png": PNG, "word/comments.xml": remark})))], "path string, content binary")
     got = convert_files(files, Options(image_size=True, header_row="empty", comments="html", tables="html-on-merge")).documents.first()["markdown"]
     assert got == '<img src="media/image1.png" alt="a [nice] view" width="100">\n\n|  |  |\n| --- | --- |\n| a | b |\n\nsaid<!-- Ann: why - - this -->\n\n<table>\n<tr><th colspan="2">wide</th></tr>\n<tr><td rowspan="2">top</td><td>x&amp;y</td></tr>\n<tr><td>z</td></tr>\n</table>\n'
+
+
+def test_flat_tables_and_no_break_spaces(spark):
+    files = spark.createDataFrame([("o", bytearray(package(document(deep(3), para(run("a\u00a0b"))))))], "path string, content binary")
+    got = convert_files(files, Options(tables="flat", no_break="entity")).documents.first()["markdown"]
+    assert got == "| t0<br>t1<br>t2 |\n| --- |\n\na&nbsp;b\n"

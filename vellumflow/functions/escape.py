@@ -44,12 +44,17 @@ def table_cell(text: Column) -> Column:
     return F.replace(F.replace(text, F.lit("|"), F.lit(r"\|")), F.lit("\n"), F.lit("<br>"))
 
 
-def destination(url: Column) -> Column:
+#: Code points that would end or break a link destination: controls, blanks, parentheses and angle brackets.
+ENCODED = [*range(1, 33), 40, 41, 60, 62, 127]
+
+
+def destination(url: Column | str) -> Column:
     """Percent-encoding of what would end a link destination; never a backslash."""
+    url = F.col(url) if isinstance(url, str) else url
     out = url
-    for raw, code in ((" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E"), ("\t", "%09"), ("\n", "%0A"), ("\r", "%0D")):
-        out = F.replace(out, F.lit(raw), F.lit(code))
-    return out
+    for code in ENCODED:
+        out = F.replace(out, F.lit(chr(code)), F.lit(f"%{code:02X}"))
+    return F.when(url.rlike("[\\x01-\\x20()<>\\x7F]"), out).otherwise(url)
 
 
 def alt_text(text: Column) -> Column:

@@ -65,6 +65,14 @@ def parts_by_type(rels: DataFrame, mains: DataFrame, rel_type: str) -> DataFrame
     return found.groupBy(rels["doc_id"]).agg(F.min("target_part").alias("part"))
 
 
+def stories(rels: DataFrame, mains: DataFrame) -> DataFrame:
+    """``doc_id, part, story``: every main part as the body, and its notes parts."""
+    out = mains.select("doc_id", F.col("main_part").alias("part"), F.lit("body").alias("story"))
+    for name in ("footnotes", "endnotes"):
+        out = out.unionByName(parts_by_type(rels, mains, name).withColumn("story", F.lit(name)))
+    return out
+
+
 def missing_inputs(requested: DataFrame, found: DataFrame, on: str = "path") -> DataFrame:
     """Requested inputs that were not found."""
     return requested.join(found.select(on).distinct(), on, "left_anti")

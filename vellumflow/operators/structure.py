@@ -38,6 +38,12 @@ def slugs(headings: DataFrame, keys: list[str], order: list[str], text: str = "t
     return based.withColumn("slug", F.when(n == 0, F.col("_base")).otherwise(F.concat("_base", F.lit("-"), n.cast("string")))).drop("_base")
 
 
+def wanted_marks(marks: DataFrame, links: DataFrame, keys: list[str]) -> DataFrame:
+    """Bookmarks (keys, bookmark) that some link of their document (keys, dest) leads to."""
+    wanted = links.where(F.startswith("dest", F.lit("#"))).select(*keys, F.expr("substring(dest, 2)").alias("bookmark")).distinct()
+    return marks.join(wanted, [*keys, "bookmark"], "left_semi")
+
+
 def renumber(references: DataFrame, keys: list[str], item: list[str], order: list[str], rank: str | None = None) -> DataFrame:
     """Items numbered from 1 by first reference (by ``rank`` first): keys, item, ``number``."""
     least = F.min(F.struct(*([rank] if rank else []), *order))

@@ -114,6 +114,15 @@ def resolve_styles(style_rows: DataFrame) -> DataFrame:
     )
 
 
+def heading_level(chain: Column, outline: Column) -> Column:
+    """The level (1 to 6) of a chain of styles (name, id): by names, ids, title and subtitle, else by outline level; null for body text."""
+    number = lambda text, pattern: F.nullif(F.regexp_extract(text, pattern, 1), F.lit("")).cast("int")
+    level = F.array_max(F.transform(chain, lambda x: F.coalesce(number(x["name"], "^heading ?([1-9])$"), number(F.lower(x["id"]), "^(?:heading|(?:ü|u)?berschrift)([1-9])$"))))
+    named = lambda name: F.exists(chain, lambda x: x["name"] == name)
+    found = F.coalesce(level, F.when(named("title"), 1), F.when(named("subtitle"), 2), F.when(outline.between(0, 8), outline + 1))
+    return F.when(found > 6, 6).otherwise(found)
+
+
 def doc_defaults(nodes: DataFrame) -> DataFrame:
     """``doc_id, default_toggles, default_font``."""
     inside = nodes.where((F.col("ns") == "w") & F.col("near")["rPrDefault"].isNotNull() & F.col("near")["rPr"].isNotNull())

@@ -7,6 +7,7 @@ import sys
 from dataclasses import dataclass, field
 
 from pyspark.sql import SparkSession
+from pyspark.sql import functions as F
 
 from vellumflow.plans.convert import Options, convert_files
 from vellumflow.sources import docx, sinks
@@ -15,9 +16,20 @@ VERSION = "0.1.0"
 USAGE = """Usage: vellumflow [options] <input.docx> ...
   -o, --output <path>              the .md file for one input, the folder for several
   -j, --threads <n>                local worker threads (default: all cores)
-  --media-dir <dir>                image folder (default <stem>_media)
+  --media-dir <dir>                image folder (default <stem>_media); of several inputs, each has its own inside
   --no-images                      alternative text only
   --hard-break=<backslash|spaces>  line breaks (default backslash)
+  --underline=<drop|u>             underlined text (default drop)
+  --highlight=<drop|mark>          highlighted text (default drop)
+  --tables=<gfm|html-on-merge|flat>  tables that pipes cannot show (default gfm: HTML if they hold tables)
+  --header-row=<first|empty>       table headers (default first)
+  --toc=<skip|keep>                tables of contents (default skip)
+  --comments=<drop|html>           comments (default drop)
+  --no-break=<keep|entity>         no-break spaces (default keep)
+  --ascii-punct                    quotes, dashes and ellipses in ASCII
+  --autolink                       <url> where the text is the target
+  --image-size                     pictures with their width, as HTML
+  --crlf, --bom                    Windows line ends, byte-order mark
   --stdout                         Markdown to standard output, one input only
   -q, --quiet                      errors only
   --version                        print the version
@@ -31,13 +43,20 @@ class CommandLine:
     output: str | None = None
     media_dir: str | None = None
     threads: int = 0
-    hard_break: str = "backslash"
     stdout: bool = False
     quiet: bool = False
     images: bool = True
+    crlf: bool = False
+    bom: bool = False
+    policies: dict[str, str | bool] = field(default_factory=dict)
     show: str | None = None
 
 
+#: Policies with their values, and such that are on or off; they are fields of ``Options``.
+CHOICES = {"--hard-break": ("backslash", "spaces"), "--underline": ("drop", "u"), "--highlight": ("drop", "mark"), "--tables": ("gfm", "html-on-merge", "flat"), "--header-row": ("first", "empty"), "--toc": ("skip", "keep"), "--comments": ("drop", "html"), "--no-break": ("keep", "entity")}
+SWITCHES = ("--ascii-punct", "--autolink", "--image-size")
+
+
 class UsageError(ValueError):
     """A command line that cannot be run; the exit code is 1."""
 
@@ -66,7 +85,7 @@ def parse(arguments: list[str], cores: int | None = None) -> CommandLine:
             raise UsageError(f"option value is empty: {option}")
         return inline
 
-    flags = {"-q": "quiet", "--quiet": "quiet", "--stdout": "stdout"}
+    flags = {"-q": "quiet", "--quiet": "quiet", "--stdout": "stdout", "--crlf": "crlf", "--bom": "bom"}
     while rest:
         a = rest.pop(0)
         name, eq, tail = a.partition("=")
@@ -89,11 +108,13 @@ def parse(arguments: list[str], cores: int | None = None) -> CommandLine:
             if n > cores:
                 raise UsageError(f"--threads must be 1 to {cores}, the number of cores here")
             found.threads = n
-        elif name == "--hard-break":
+        elif a in SWITCHES:
+            found.policies[a[2:].replace("-", "_")] = True
+        elif name in CHOICES:
             text = value(name, inline)
-            if text not in ("backslash", "spaces"):
-                raise UsageError(f"--hard-break takes backslash or spaces, not {text}")
-            found.hard_break = text
+            if text not in CHOICES[name]:
+                raise UsageError(f"{name} takes {' or '.join(CHOICES[name])}, not {text}")
+            found.policies[name[2:].replace("-", "_")] = text
         elif not a:
             raise UsageError("empty argument")
         elif a.startswith("-"):
@@ -134,8 +155,12 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
     if lost:
         return docx.STATUS["unreadable"]
     several = len(good) > 1
-    media_dir = given.media_dir or f"{sinks.stem(good[0])}_media"
-    made = convert_files(docx.read_files(spark, good), Options(hard_break=given.hard_break, images=given.images, media_dir=media_dir))
+    names = sinks.names_of(good, together=several and given.output is not None)
+    media_dir = given.media_dir or "{name}_media"
+    if given.media_dir and several:
+        media_dir = f"{given.media_dir}/{{name}}"
+    files = docx.read_files(spark, good).join(F.broadcast(spark.createDataFrame(list(names.items()), "path string, name string")), "path")
+    made = convert_files(files, Options(images=given.images, media_dir=media_dir, **given.policies))
     for r in made.diagnostics.orderBy("doc_id").toLocalIterator():
         if r["level"] == "error" or not given.quiet:
             report(f"{r['doc_id']}: {r['message']}")
@@ -143,10 +168,9 @@ def main(arguments: list[str], spark: SparkSession | None = None) -> int:
         if given.stdout:
             print(made.documents.first()["markdown"] or "", end="")
         else:
-            sinks.write_markdown(made.documents, given.output, several)
+            sinks.write_markdown(made.documents, given.output, several, names, given.crlf, given.bom)
             if given.images:
-                base = os.path.dirname(given.output or good[0]) if not several else (given.output or os.path.dirname(good[0]))
-                sinks.write_media(made.media, os.path.join(base, media_dir))
+                sinks.write_media(made.media, given.output if several else os.path.dirname(given.output) if given.output else None)
     except OSError as e:
         report(str(e))
         return docx.STATUS["output"]

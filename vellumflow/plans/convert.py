@@ -25,6 +25,8 @@ GONE = ["del", "moveFrom", "rPrChange", "pPrChange", "sectPrChange", "tblPrChang
 UNDERSTOOD = ["wps", "wpg", "wpc", "wp14", "w14", "w15", "a14"]
 # Code points of two symbol fonts and the characters that they show.
 SYMBOLS = {"symbol": {0xB7: "•", 0xD7: "⋅", 0xB1: "±", 0xB3: "≥", 0xA3: "≤", 0xB9: "≠", 0xAE: "→", 0xAC: "←", 0xA5: "∞", 0x61: "α", 0x62: "β", 0x67: "γ", 0x64: "δ", 0x6D: "μ", 0x70: "π", 0x53: "Σ", 0x57: "Ω"}, "wingdings": {0xA7: "▪", 0xFC: "✓", 0xFB: "✗", 0xFE: "☑", 0xA8: "☐", 0xE0: "→", 0x4A: "☺", 0x6C: "●", 0x6E: "■"}}
+# Signs of linear mathematics by group: before it, and around several pieces.
+MATH = {"num": ("", "(", ")"), "den": ("/", "(", ")"), "sup": ("^", "{", "}"), "sub": ("_", "{", "}")}
 PARA = ["doc_id", "part", "p"]
 
 
@@ -39,7 +41,9 @@ class Options:
     toc: str = "skip"
     ascii_punct: bool = False
     autolink: bool = False
+    #: ``{name}`` stands for the document's own name, so that several documents' pictures keep apart.
     media_dir: str = "media"
+    no_break: str = "keep"
     image_size: bool = False
     header_row: str = "first"
     tables: str = "gfm"
@@ -49,7 +53,7 @@ class Options:
 
 @dataclass
 class Converted:
-    """``documents`` (doc_id, status, markdown, message), ``media`` (doc_id, out_name, content), ``diagnostics``."""
+    """``documents`` (doc_id, status, markdown, message), ``media`` (doc_id, folder, out_name, content), ``diagnostics``."""
 
     documents: DataFrame
     media: DataFrame
@@ -71,9 +75,11 @@ def live(nodes: DataFrame) -> DataFrame:
 
 
 def outside(rows: DataFrame, intervals: DataFrame, begin: str, end: str) -> DataFrame:
-    """Rows whose ``seq`` lies in none of their part's intervals."""
-    i = intervals.select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), F.col(begin).alias("_b"), F.col(end).alias("_e"))
-    return rows.join(i, (rows["doc_id"] == F.col("_d")) & (rows["part"] == F.col("_p")) & rows["seq"].between(F.col("_b"), F.col("_e")), "left_anti")
+    """Rows whose ``seq`` lies in none of their part's intervals: where no interval is open, by running sums."""
+    edge = lambda at, order: intervals.select("doc_id", "part", F.col(at).cast(rows.schema["seq"].dataType).alias("seq"), F.lit(order).alias("_edge"))
+    both = rows.withColumn("_edge", F.lit(1)).unionByName(edge(begin, 0).unionByName(edge(end, 2)), allowMissingColumns=True)
+    deep = structure.drop_depth(both, ["doc_id", "part"], ["seq", "_edge"], F.col("_edge") == 0, F.col("_edge") == 2, "_depth")
+    return deep.where((F.col("_edge") == 1) & (F.col("_depth") == 0)).drop("_edge", "_depth")
 
 
 def field_frames(nodes: DataFrame) -> DataFrame:
@@ -96,15 +102,20 @@ def field_link(instr: Column) -> Column:
     return F.when(word == "HYPERLINK", hyper).when((word == "REF") & strings.field_switch(instr, "h").isNotNull(), F.concat(F.lit("#"), to))
 
 
+def _ruling() -> Column:
+    """Whether a node is a drawn horizontal rule."""
+    return (F.col("ns") == "v") & F.col("name").isin("rect", "line") & F.coalesce(F.lower(attr("o:hr")).isin("t", "true", "1"), F.lit(False))
+
+
 def paragraphs(nodes: DataFrame) -> DataFrame:
     """One row per paragraph with its own properties; ``nodes`` are all nodes of story parts."""
     p = nodes.where((F.col("name") == "p") & (F.col("ns") == "w")).select("doc_id", "part", F.col("seq").alias("p"), near("tbl").alias("tbl"), near("tr").alias("tr"), near("tc").alias("tc"), F.coalesce(near("footnote"), near("endnote")).alias("note"))
-    props = nodes.where((F.col("ns") == "w") & near("pPr").isNotNull() & near("pPrChange").isNull() & near("p").isNotNull())
+    props = nodes.where(near("p").isNotNull() & (_ruling() | (F.col("ns") == "w") & near("pPr").isNotNull() & near("pPrChange").isNull()))
     of = lambda name, inside="pPr", value=attr("w:val"): F.max(F.when((F.col("name") == name) & (F.col("parent") == near(inside)) & near("rPr").isNull(), value))
     own = props.groupBy("doc_id", "part", near("p").alias("p")).agg(
         of("pStyle").alias("p_style"), of("numId", "numPr").alias("own_num"), of("ilvl", "numPr").alias("own_ilvl"), of("outlineLvl").alias("own_outline"),
         of("ind", value=F.coalesce(attr("w:left"), attr("w:start"))).cast("int").alias("ind_left"), of("jc").alias("jc"),
-        F.max((F.col("name").isin("bottom", "between")) & near("pBdr").isNotNull()).alias("ruled"),
+        F.max(_ruling() | F.col("name").isin("bottom", "between") & near("pBdr").isNotNull()).alias("ruled"),
         F.max((F.col("name") == "del") & near("rPr").isNotNull()).alias("mark_deleted"),
     )
     return p.join(own, PARA, "left").withColumns({"ruled": F.coalesce("ruled", F.lit(False)), "mark_deleted": F.coalesce("mark_deleted", F.lit(False))})
@@ -132,15 +143,33 @@ def tokens(nodes: DataFrame) -> DataFrame:
         .when(w & (name == "cr") & in_run, F.lit("\n"))
         .when(w & (name == "noBreakHyphen") & in_run, F.lit("-"))
         .when(w & (name == "sym") & in_run, _symbol())
-        .when((F.col("ns") == "m") & (name == "t"), F.concat(F.when(near("den").isNotNull(), F.lit("/")).when(near("sup").isNotNull(), F.lit("^")).when(near("sub").isNotNull(), F.lit("_")).otherwise(F.lit("")), F.col("text")))
+        .when((F.col("ns") == "m") & (name == "t"), F.col("text"))
     )
     note = F.when(w & (name == "footnoteReference"), F.lit("footnotes")).when(w & (name == "endnoteReference"), F.lit("endnotes"))
     embed = F.when((F.col("ns") == "a") & (name == "blip"), F.coalesce(attr("r:embed"), attr("r:link"))).when((F.col("ns") == "v") & (name == "imagedata"), attr("r:id"))
     kind = F.when(text.isNotNull(), F.lit("text")).when(note.isNotNull(), F.lit("note")).when(embed.isNotNull(), F.lit("image")).when(w & (name == "commentReference"), F.lit("comment"))
     rows = nodes.where(near("p").isNotNull()).withColumn("kind", kind).where(F.col("kind").isNotNull() & near("rt").isNull())
+    rows = rows.withColumn("said", text).join(math_signs(nodes), ["doc_id", "part", "seq"], "left")
+    text = F.when(F.col("kind") == "text", F.concat(F.coalesce("sign", F.lit("")), "said", F.coalesce("close", F.lit(""))))
     return rows.select("doc_id", "part", "seq", near("p").alias("p"), near("r").alias("run"), "kind", text.alias("text"), note.alias("note_story"), F.when(note.isNotNull() | (name == "commentReference"), attr("w:id")).alias("note_id"), embed.alias("rel_id"), F.coalesce(F.when(name == "imagedata", attr("o:title")), F.lit(None)).alias("title"), near("hyperlink").alias("hyperlink"), near("fldSimple").alias("simple"), near("drawing").alias("drawing"))
 
 
+def math_signs(nodes: DataFrame) -> DataFrame:
+    """``doc_id, part, seq, sign, close``: what stands before and after a piece of linear mathematics.
+
+    The first piece of a denominator or script carries its sign; where there are several pieces, these and those of a
+    numerator are put together, outer groups outside.
+    """
+    pieces = nodes.where((F.col("ns") == "m") & (F.col("name") == "t"))
+    groups = pieces.select("doc_id", "part", "seq", F.explode(F.filter(F.array(*[F.struct(F.lit(k).alias("kind"), near(k).alias("at")) for k in MATH]), lambda g: g["at"].isNotNull())).alias("g"))
+    ends = groups.groupBy("doc_id", "part", "g").agg(F.min("seq").alias("first"), F.max("seq").alias("last"), (F.count("*") > 1).alias("many"))
+    of = lambda n: F.element_at(F.create_map(*[F.lit(x) for k, v in MATH.items() for x in (k, v[n])]), F.col("g.kind"))
+    ends = ends.withColumns({"sign": F.concat(of(0), F.when(F.col("many"), of(1)).otherwise(F.lit(""))), "close": F.when(F.col("many"), of(2)).otherwise(F.lit(""))})
+    each = ends.select("doc_id", "part", F.inline(F.array(F.struct(F.col("first").alias("seq"), F.col("g.at").alias("at"), F.col("sign"), F.lit("").alias("close")), F.struct(F.col("last").alias("seq"), (-F.col("g.at")).alias("at"), F.lit("").alias("sign"), F.col("close")))))
+    joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", c))), lambda x: x[c]), "").alias(c)
+    return each.groupBy("doc_id", "part", "seq").agg(joined("sign"), joined("close"))
+
+
 def comment_texts(nodes: DataFrame) -> DataFrame:
     """``doc_id, note_id, remark``: each comment as an HTML comment (double hyphens would end it)."""
     about = nodes.where((F.col("ns") == "w") & (F.col("name") == "comment")).select("doc_id", F.col("seq").alias("c"), attr("w:id").alias("note_id"), F.coalesce(attr("w:author"), F.lit("")).alias("author"))
@@ -150,15 +179,13 @@ def comment_texts(nodes: DataFrame) -> DataFrame:
 
 
 def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
-    """Convert ``files`` (path, content).  Tables that several steps read are staged in the shared folder."""
+    """Convert ``files`` (path, content, and a name if media folders ask for it).  Tables that several steps read are staged in the shared folder."""
     parts = staged(docx.unzip_parts(files, options.caps), "parts")
     every = staged(docx.parse_xml(docx.xml_parts(parts), options.caps), "every")
     nodes = every.where("error is null")
     types, rels = staged(package.content_types(nodes, parts), "types"), staged(package.relationships(nodes), "rels")
     mains = staged(package.main_parts(rels, types), "mains")
-    story = mains.select("doc_id", F.col("main_part").alias("part"), F.lit("body").alias("story"))
-    for name in ("footnotes", "endnotes"):
-        story = story.unionByName(package.parts_by_type(rels, mains, name).withColumn("story", F.lit(name)))
+    story = package.stories(rels, mains)
     by_part = lambda name: nodes.join(package.parts_by_type(rels, mains, name), ["doc_id", "part"], "left_semi")
 
     # -- styles and numbering --------------------------------------------
@@ -194,11 +221,9 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     known = resolved.select("doc_id", F.col("style_id").alias("style"), F.col("trues").alias("p_trues"), F.col("props").alias("p_props"), F.col("font").alias("p_font"), "outline", F.col("num_id").alias("style_num"), F.col("ilvl").alias("style_ilvl"), "chain")
     paras = paras.join(default_p, "doc_id", "left").withColumn("style", F.coalesce("p_style", "_default")).drop("_default").join(known, ["doc_id", "style"], "left")
     ids = F.coalesce(F.transform("chain", lambda x: x["name"]), F.array(strings.normal_name(F.coalesce("style", F.lit("")))))
-    level = F.array_max(F.transform(ids, lambda x: F.nullif(F.regexp_extract(x, "^heading ?([1-9])$", 1), F.lit("")).cast("int")))
-    by_outline = F.coalesce("own_outline", "outline").cast("int")
-    heading = F.coalesce(level, F.when(F.array_contains(ids, "title"), 1), F.when(F.array_contains(ids, "subtitle"), 2), F.when(by_outline.between(0, 8), by_outline + 1))
+    heading = styles.heading_level(F.coalesce("chain", F.array(F.struct(strings.normal_name(F.coalesce("style", F.lit(""))).alias("name"), F.coalesce("style", F.lit("")).alias("id")))), F.coalesce("own_outline", "outline").cast("int"))
     is_in = lambda names: F.arrays_overlap(ids, F.array(*map(F.lit, names)))
-    paras = paras.withColumns({"heading": F.when(heading > 6, 6).otherwise(heading), "quoted": is_in(styles.QUOTE_STYLES), "coded": is_in(styles.CODE_STYLES), "num_id": F.nullif(F.coalesce("own_num", "style_num"), F.lit("0")), "ilvl": F.coalesce(F.col("own_ilvl"), F.col("style_ilvl"), F.lit("0")).cast("int")})
+    paras = paras.withColumns({"heading": heading, "quoted": is_in(styles.QUOTE_STYLES), "coded": is_in(styles.CODE_STYLES), "num_id": F.nullif(F.coalesce("own_num", "style_num"), F.lit("0")), "ilvl": F.coalesce(F.col("own_ilvl"), F.col("style_ilvl"), F.lit("0")).cast("int")})
     joined = structure.join_deleted_marks(paras, ["doc_id", "part"], "p")
     lead = joined.groupBy("doc_id", "part", "joined").agg(F.min("p").alias("lead"))
     paras = staged(joined.join(lead, ["doc_id", "part", "joined"]), "paras")
@@ -249,7 +274,9 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     pictures = package.resolve_rels(shown.where("kind = 'image'").select("doc_id", F.col("part").alias("source_part"), "seq", "rel_id"), rels).withColumnRenamed("source_part", "part")
     pictures = pictures.join(types.select("doc_id", F.col("part_key").alias("target_part"), "content_type"), ["doc_id", "target_part"], "left").withColumn("ext", package.extension_of(F.col("content_type"), F.col("target_part")))
     files_out = staged(structure.media_names(pictures.where("target_part is not null"), ["doc_id"], "target_part", ["part", "seq"]), "files-out")
-    sources = pictures.join(files_out.select("doc_id", "target_part", "out_name"), ["doc_id", "target_part"], "left").select("doc_id", "part", "seq", F.when(F.col("external"), F.col("target")).otherwise(F.concat(F.lit(f"{options.media_dir}/"), "out_name")).alias("src"))
+    own = F.col("name") if "name" in files.columns else F.regexp_replace(F.regexp_extract(F.replace("path", F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    files_out = files_out.join(files.select(F.col("path").alias("doc_id"), F.replace(F.lit(options.media_dir), F.lit("{name}"), own).alias("folder")), "doc_id")
+    sources = pictures.join(files_out.select("doc_id", "target_part", "folder", "out_name"), ["doc_id", "target_part"], "left").select("doc_id", "part", "seq", F.when(F.col("external"), F.col("target")).otherwise(F.concat("folder", F.lit("/"), "out_name")).alias("src"))
     said_about = comment_texts(by_part("comments")) if options.comments == "html" else None
     shown = shown.join(numbers, ["doc_id", "note_story", "note_id"], "left").join(names, ["doc_id", "part", "drawing"], "left").join(sources, ["doc_id", "part", "seq"], "left")
     alt = escape.alt_text(F.coalesce("descr", "title", F.lit("")))
@@ -273,8 +300,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     heads = structure.slugs(paras.where("heading is not null").join(plain, PARA).select(*PARA, F.trim("plain").alias("text")), ["doc_id"], ["part", "p"])
     marks = content.where((F.col("name") == "bookmarkStart") & (F.col("ns") == "w")).select("doc_id", "part", "seq", near("p").alias("p"), attr("w:name").alias("bookmark"))
     marks = marks.join(heads.select(*PARA, "slug"), PARA, "left").groupBy("doc_id", "bookmark").agg(F.min(F.struct("part", "seq", "p", "slug")).alias("m")).select("doc_id", "bookmark", "m.*")
-    wanted = spans.where(F.startswith("dest", F.lit("#"))).select("doc_id", F.substring("dest", 2, 10_000).alias("bookmark")).distinct()
-    target = staged(marks.join(wanted, ["doc_id", "bookmark"], "left_semi"), "target")
+    target = staged(structure.wanted_marks(marks, spans, ["doc_id"]), "target")
     anchors = target.where("slug is null and p is not null").select(*PARA, F.lit(-1).alias("seq"), F.lit("anchor").alias("kind"), F.concat(F.lit('<a id="'), escape.html("bookmark"), F.lit('"></a>')).alias("text"), F.lit(0).alias("fmt"), F.lit(None).cast("int").alias("link"), F.lit(None).cast("string").alias("dest"))
     spans = spans.join(target.select("doc_id", F.concat(F.lit("#"), "bookmark").alias("dest"), F.concat(F.lit("#"), F.col("slug")).alias("at_slug")), ["doc_id", "dest"], "left").withColumn("dest", F.coalesce("at_slug", "dest")).drop("at_slug")
 
@@ -283,7 +309,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     pieces = pieces.withColumn("at", F.col("seq") * 4 + F.col("piece"))
     merged = runs.coalesce_runs(pieces, PARA, "at", ["kind", "fmt", "link", "dest"]).drop("island")
     merged = merged.unionByName(anchors.withColumnRenamed("seq", "at"))
-    safe = F.when(F.col("kind") != "text", F.col("text")).when(runs.has(F.col("fmt"), "code"), escape.code_span(F.col("text"))).otherwise(escape.inline(F.col("text")))
+    safe = F.when(F.col("kind") != "text", F.col("text")).when(runs.has(F.col("fmt"), "code"), escape.code_span(F.col("text"))).otherwise(strings.no_break_entity(escape.inline(F.col("text"))) if options.no_break == "entity" else escape.inline(F.col("text")))
     merged = merged.withColumn("md", runs.decorate(safe, F.col("fmt"), options.underline, options.highlight))
     by_link = runs.islands(merged, PARA, ["at"], ["link", "dest"])
     ordered = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", "md"))), lambda x: x["md"]), "")
@@ -334,15 +360,23 @@ def list_items(listed: DataFrame) -> DataFrame:
 def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first", form: str = "gfm") -> DataFrame:
     """One Markdown block per outermost table: ``doc_id, part, p`` (the table's place), ``note``, ``md``.
 
-    Nested tables are flattened into the text of the outer cell.  With
-    ``header_row`` "empty" a blank header comes before all rows.  With ``form``
-    "html-on-merge" tables with merged cells or inner tables become HTML.
+    Text of nested tables, however deep, stands in the outer cell.  With
+    ``header_row`` "empty" a blank header comes before all rows.  Tables that hold
+    others become HTML, with ``form`` "html-on-merge" those with merged cells too,
+    with "flat" none.
     """
     w = F.col("ns") == "w"
     tables_ = content.where(w & (F.col("name") == "tbl")).select("doc_id", "part", F.col("seq").alias("tbl"), near("tbl").alias("outer"), near("tc").alias("outer_tc"), F.coalesce(near("footnote"), near("endnote")).alias("note"))
     homes = paras.where("tbl is not null").select("doc_id", "part", "p", "tbl", "tc", "inline", "plain", "jc")
-    for _ in range(3):  # nesting that is deeper stays with its third table
-        homes = homes.join(tables_.select("doc_id", "part", "tbl", "outer", "outer_tc"), ["doc_id", "part", "tbl"], "left").select("doc_id", "part", "p", F.coalesce("outer", "tbl").alias("tbl"), F.when(F.col("outer").isNotNull(), F.col("outer_tc")).otherwise(F.col("tc")).alias("tc"), "inline", "plain", "jc")
+    # Every inner table's outermost one, and the cell of it that it stands in: each round doubles the levels that are climbed.
+    up = staged(tables_.where("outer is not null").select("doc_id", "part", "tbl", "outer", "outer_tc"), "nested")
+    while True:
+        above = up.select("doc_id", "part", F.col("tbl").alias("outer"), F.col("outer").alias("far"), F.col("outer_tc").alias("far_tc"))
+        climbed = up.join(above, ["doc_id", "part", "outer"], "left")
+        if climbed.where("far is not null").isEmpty():
+            break
+        up = staged(climbed.select("doc_id", "part", "tbl", F.coalesce("far", "outer").alias("outer"), F.coalesce("far_tc", "outer_tc").alias("outer_tc")), "nested")
+    homes = homes.join(up, ["doc_id", "part", "tbl"], "left").select("doc_id", "part", "p", F.coalesce("outer", "tbl").alias("tbl"), F.when(F.col("outer").isNotNull(), F.col("outer_tc")).otherwise(F.col("tc")).alias("tc"), "inline", "plain", "jc")
     top = tables_.where("outer is null")
     grid = content.where(w & (F.col("name") == "gridCol")).groupBy("doc_id", "part", near("tbl").alias("tbl")).agg(F.count("*").cast("int").alias("n_grid"))
     cell = content.where(w & (F.col("name") == "tc")).select("doc_id", "part", F.col("seq").alias("tc"), near("tr").alias("tr"), near("tbl").alias("tbl")).join(top.select("doc_id", "part", "tbl", "note"), ["doc_id", "part", "tbl"])
@@ -366,9 +400,11 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
     first_jc = cell.where("row = 1").select(*keys, "grid_col", "jc")
     aligns = padded.select(*keys, "grid_col").distinct().join(first_jc, [*keys, "grid_col"], "left")
     made = tables.pipe_tables(padded, keys, headers, aligns)
-    if form == "html-on-merge":
-        holders = tables_.where("outer is not null").select("doc_id", "part", F.col("outer").alias("tbl"))
-        merged = cell.where((F.col("span") > 1) | F.col("v_merge").isNotNull()).select(*keys).unionByName(holders).distinct()
+    if form != "flat":
+        merged = up.select("doc_id", "part", F.col("outer").alias("tbl"))
+        if form == "html-on-merge":
+            merged = merged.unionByName(cell.where((F.col("span") > 1) | F.col("v_merge").isNotNull()).select(*keys))
+        merged = merged.distinct()
         rich = tables.html_tables(cell.join(merged, keys, "left_semi").withColumns({"restart": F.coalesce(F.col("v_merge"), F.lit("restart")) == "restart", "html": F.replace(escape.html(F.coalesce("bare", F.lit(""))), F.lit("\n"), F.lit("<br>"))}), keys)
         made = made.join(rich.withColumnRenamed("markdown", "_html"), keys, "left").select(*keys, F.coalesce("_html", "markdown").alias("markdown"))
     return made.join(top.select(*keys, "note"), keys).select("doc_id", "part", F.col("tbl").alias("p"), "note", F.col("markdown").alias("md"))
@@ -400,9 +436,10 @@ def finish(blocks: DataFrame, story: DataFrame, numbers: DataFrame, content: Dat
     status = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("main_part").isNull(), docx.STATUS["not_a_package"]).when(F.col("xml_error").isNotNull(), docx.STATUS["not_a_package"]).otherwise(0)
     message = F.coalesce("why", F.when(F.col("main_part").isNull(), F.lit("no main document part")), "xml_error")
     documents = found.select("doc_id", status.cast("int").alias("status"), F.when(status == 0, F.coalesce("markdown", F.lit(""))).alias("markdown"), message.alias("message"))
-    media = files_out.join(parts.select("doc_id", F.col("part_key").alias("target_part"), "content"), ["doc_id", "target_part"], "left").select("doc_id", "target_part", "out_name", "content")
+    media = files_out.join(parts.select("doc_id", F.col("part_key").alias("target_part"), "content"), ["doc_id", "target_part"], "left").select("doc_id", "target_part", "folder", "out_name", "content")
     errors = documents.where("status <> 0").select("doc_id", F.lit("error").alias("level"), F.col("status").alias("code"), "message")
     parse = every.where("error is not null").select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("part", F.lit(": "), "error").alias("message"))
     vector = media.where(F.col("out_name").rlike(r"\.(emf|wmf)$")).select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("out_name", F.lit(": few viewers show this format")).alias("message"))
     lost = media.where("content is null").select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("target_part", F.lit(": missing from the package")).alias("message"))
-    return Converted(documents, media.where("content is not null"), errors.unionByName(parse).unionByName(vector).unionByName(lost))
+    drawn = content.where((F.col("ns") == "a") & (F.col("name") == "graphicData") & F.coalesce(attr("uri").rlike("/(chart|diagram)$"), F.lit(False))).select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("part", F.lit(": a "), F.regexp_extract(attr("uri"), "([a-z]+)$", 1), F.lit(" has no picture and is left out")).alias("message"))
+    return Converted(documents, media.where("content is not null"), errors.unionByName(parse).unionByName(vector).unionByName(lost).unionByName(drawn))

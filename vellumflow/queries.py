@@ -2,7 +2,10 @@
 
 The tables hold no packages, so each rule runs on rows that stand for its
 input: customers' orders as lists, order lines as table cells, users' events as
-runs.  The operators are those that the conversion itself uses.
+runs.  The ``docx_`` queries make packages from table rows and convert them; the
+``md_`` queries call the operators one by one, all of which the conversion or
+the command line uses, but for ``md_pages_to_markdown``: web pages by a chain of
+replacements, an extension with no part in the conversion.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from pyspark.sql import window as W
 
 from vellumflow.functions import escape, strings, vectors
 from vellumflow.operators import lists, package, runs, structure, styles, tables
+from vellumflow.plans import convert
 from vellumflow.plans.convert import convert_files
 from vellumflow.sources import samples
 
@@ -57,8 +61,8 @@ def _sql_line(x: str) -> str:
 
 
 def _sql_dest(x: str) -> str:
-    for raw, code in ((" ", "%20"), ("(", "%28"), (")", "%29"), ("<", "%3C"), (">", "%3E"), ("\\t", "%09"), ("\\n", "%0A"), ("\\r", "%0D")):
-        x = f"replace({x}, {'E' if raw[0] == chr(92) else ''}'{raw}', '{code}')"
+    for code in escape.ENCODED:
+        x = f"replace({x}, chr({code}), '%{code:02X}')"
     return x
 
 
@@ -68,10 +72,10 @@ _STARTS = ["", "# ", "- ", "1. ", "> ", "*x* _y_ [z] `q` ", "a~~b <T> ![i] AT&T
 
 def salted(doc: DataFrame) -> DataFrame:
     start = F.element_at(F.array(*map(F.lit, _STARTS)), (F.col("doc_id") % len(_STARTS) + 1).cast("int"))
-    return doc.select("doc_id", F.concat(start, F.element_at(F.split("text", "\n"), 1)).alias("t"))
+    return doc.select("doc_id", F.concat(start, F.col("text")).alias("t"))
 
 
-_SALTED = "(SELECT doc_id, list_extract([" + ", ".join("'" + s.replace("'", "''") + "'" for s in _STARTS) + f"], CAST(doc_id % {len(_STARTS)} + 1 AS INTEGER)) || split_part(text, chr(10), 1) AS t FROM documents)"
+_SALTED = "(SELECT doc_id, list_extract([" + ", ".join("'" + s.replace("'", "''") + "'" for s in _STARTS) + f"], CAST(doc_id % {len(_STARTS)} + 1 AS INTEGER)) || text AS t FROM documents)"
 
 
 def text_query(name: str, column: Callable[[Column], Column], sql: Callable[[str], str], out: str = "md") -> None:
@@ -80,10 +84,10 @@ def text_query(name: str, column: Callable[[Column], Column], sql: Callable[[str
 
 _LONGEST = "CAST(coalesce(list_max(list_transform(regexp_extract_all({x}, '`+'), lambda z: len(z))), 0) AS INTEGER)"
 text_query("md_escape_inline", escape.inline, _sql_inline)
-text_query("md_escape_line_start", escape.line_start, _sql_line)
+text_query("md_escape_line_start", escape.lines, lambda x: f"array_to_string(list_transform(string_split({x}, chr(10)), lambda y: {_sql_line('y')}), chr(10))")
 text_query("md_escape_entity", escape.entity, _sql_entity)
 text_query("md_escape_table_cell", lambda c: escape.table_cell(F.concat(c, F.lit(" | "), c)), lambda x: f"replace(replace({x} || ' | ' || {x}, '|', '\\|'), chr(10), '<br>')")
-text_query("md_escape_destination", escape.destination, _sql_dest)
+text_query("md_escape_destination", lambda c: escape.destination(F.concat(c, F.char(F.col("doc_id") % 31 + 1), F.char(F.lit(127)))), lambda x: _sql_dest(f"({x} || chr(CAST(doc_id % 31 + 1 AS INTEGER)) || chr(127))"))
 text_query("md_escape_alt_text", escape.alt_text, lambda x: _sql_inline(f"regexp_replace({x}, '[\\r\\n]+', ' ', 'g')"))
 text_query("md_escape_html", escape.html, lambda x: f"replace(replace({x}, '&', '&amp;'), '<', '&lt;')")
 text_query("md_backtick_run", escape.longest_backticks, lambda x: _LONGEST.format(x=x), "longest")
@@ -95,9 +99,9 @@ text_query("md_no_break_space", lambda c: strings.no_break_entity(F.replace(c, F
 text_query("md_strip_invisible", lambda c: strings.visible(F.replace(c, F.lit("e"), F.lit("e\u00ad\u200b"))), lambda x: f"regexp_replace(replace({x}, 'e', 'e' || chr(173) || chr(8203)), '[' || chr(173) || chr(8203) || chr(8204) || ']', '', 'g')")
 
 
-@query("md_whitespace_hoist", "SELECT doc_id, regexp_extract(t, '^([\\s\u00a0]*)', 1) AS lead, regexp_replace(t, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') AS core, CASE WHEN regexp_replace(t, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') = '' THEN '' ELSE regexp_extract(t, '([\\s\u00a0]*)$', 1) END AS tail FROM (SELECT doc_id, repeat(' ', CAST(doc_id % 3 AS INTEGER)) || CASE WHEN doc_id % 7 = 0 THEN '' ELSE substr(text, 1, 40) END || repeat('\u00a0', CAST(doc_id % 2 AS INTEGER)) AS t FROM documents)")
+@query("md_whitespace_hoist", "SELECT doc_id, regexp_extract(t, '^([\\s\u00a0]*)', 1) AS lead, regexp_replace(t, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') AS core, CASE WHEN regexp_replace(t, '^[\\s\u00a0]+|[\\s\u00a0]+$', '', 'g') = '' THEN '' ELSE regexp_extract(t, '([\\s\u00a0]*)$', 1) END AS tail FROM (SELECT doc_id, repeat(' ', CAST(doc_id % 3 AS INTEGER)) || CASE WHEN doc_id % 7 = 0 THEN '' ELSE text END || repeat('\u00a0', CAST(doc_id % 2 AS INTEGER)) AS t FROM documents)")
 def md_whitespace_hoist(spark: SparkSession, d: str) -> DataFrame:
-    t = F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.substring("text", 1, 40)), F.repeat(F.lit("\u00a0"), (F.col("doc_id") % 2).cast("int")))
+    t = F.concat(F.repeat(F.lit(" "), (F.col("doc_id") % 3).cast("int")), F.when(F.col("doc_id") % 7 == 0, F.lit("")).otherwise(F.col("text")), F.repeat(F.lit("\u00a0"), (F.col("doc_id") % 2).cast("int")))
     lead, core, tail = strings.hoisted(F.col("t"))
     return read(spark, d, "documents").select("doc_id", t.alias("t")).select("doc_id", lead.alias("lead"), core.alias("core"), tail.alias("tail"))
 
@@ -147,14 +151,13 @@ def md_pages_to_markdown(spark: SparkSession, d: str) -> DataFrame:
 
 
 # -- runs, toggles, fields -----------------------------------------------------
-_ISLANDS = "SELECT user_id, event_id, event_type, value, sum(changed) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) IS DISTINCT FROM event_type OR row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) = 1 THEN 1 ELSE 0 END AS changed FROM events)"
+_ISLANDS = "SELECT user_id, event_id, event_type, sum(changed) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS island FROM (SELECT *, CASE WHEN lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) IS DISTINCT FROM event_type OR row_number() OVER (PARTITION BY user_id ORDER BY event_id) = 1 THEN 1 ELSE 0 END AS changed FROM events)"
 
 
 @query("md_run_coalesce", f"SELECT user_id, CAST(island AS BIGINT) AS island, min(event_id) AS event_id, event_type, string_agg(CAST(event_id AS VARCHAR), '' ORDER BY event_id) AS text FROM ({_ISLANDS}) GROUP BY user_id, island, event_type")
 def md_run_coalesce(spark: SparkSession, d: str) -> DataFrame:
-    spans = runs.islands(read(spark, d, "events"), ["user_id"], ["ts", "event_id"], ["event_type"])
-    whole = F.array_join(F.transform(F.array_sort(F.collect_list("event_id")), lambda x: x.cast("string")), "")
-    return spans.groupBy("user_id", "island", "event_type").agg(F.min("event_id").alias("event_id"), whole.alias("text"))
+    spans = read(spark, d, "events").select("user_id", "event_id", "event_type", F.col("event_id").cast("string").alias("text"))
+    return runs.coalesce_runs(spans, ["user_id"], "event_id", ["event_type"])
 
 
 @query("md_toggle_xor", "SELECT doc_id, CASE WHEN quality = 1 AND doc_id % 3 = 0 THEN toxic = 1 WHEN doc_id % 5 = 0 THEN TRUE ELSE (doc_id % 7) % 2 = 1 END AS bold FROM labels")
@@ -195,10 +198,13 @@ def md_field_instruction(spark: SparkSession, d: str) -> DataFrame:
     return e.select("event_id", strings.field_keyword(F.col("i")).alias("keyword"), strings.field_argument(F.col("i")).alias("argument"), strings.field_switch(F.col("i"), "l").alias("anchor"))
 
 
-@query("md_alternate_branch", "SELECT user_id, min_by(event_id, CASE WHEN event_type = 'purchase' THEN 0 ELSE 1 END * 1000000000 + event_id) AS event_id FROM events GROUP BY user_id")
+@query("md_alternate_branch", "SELECT user_id, event_id FROM (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'purchase' THEN 0 WHEN 'signup' THEN 2 ELSE 1 END, event_id) AS n FROM events) WHERE n = 1 AND event_type <> 'signup'")
 def md_alternate_branch(spark: SparkSession, d: str) -> DataFrame:
-    w = W.Window.partitionBy("user_id").orderBy(F.when(F.col("event_type") == "purchase", 0).otherwise(1), "event_id")
-    return read(spark, d, "events").withColumn("n", F.row_number().over(w)).where("n = 1").select("user_id", "event_id")
+    """Purchases are choices that are understood, signups such that are not, other events fallbacks."""
+    kind = F.col("event_type")
+    attrs = F.when(kind == "purchase", F.create_map(F.lit("Requires"), F.lit("wps w14"))).when(kind == "signup", F.create_map(F.lit("Requires"), F.lit("wps other"))).otherwise(F.create_map().cast("map<string,string>"))
+    nodes = read(spark, d, "events").select(F.col("user_id").alias("doc_id"), F.lit("p").alias("part"), F.col("event_id").alias("seq"), F.col("event_id").alias("end_seq"), F.lit(0).alias("parent"), F.lit("mc").alias("ns"), F.when(kind.isin("purchase", "signup"), "Choice").otherwise("Fallback").alias("name"), attrs.alias("attrs"), F.create_map().cast("map<string,int>").alias("near"))
+    return convert.live(nodes).select(F.col("doc_id").alias("user_id"), F.col("seq").alias("event_id"))
 
 
 @query("md_join_deleted_marks", "SELECT user_id, event_id, CAST(sum(CASE WHEN coalesce(gone, FALSE) THEN 0 ELSE 1 END) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS joined FROM (SELECT user_id, event_id, lag(event_type = 'error') OVER (PARTITION BY user_id ORDER BY event_id) AS gone FROM events)")
@@ -267,11 +273,16 @@ def md_table_render(spark: SparkSession, d: str) -> DataFrame:
     return tables.pipe_tables(head.unionByName(body).withColumn("grid_col", F.col("grid_col") + 1), ["n_regionkey"])
 
 
-@query("md_pad_grid", "SELECT o_custkey, CAST(g AS INTEGER) AS grid_col, coalesce(o_orderstatus, '') AS text FROM (SELECT o_custkey, unnest(range(1, 9)) AS g FROM (SELECT DISTINCT o_custkey FROM orders)) LEFT JOIN (SELECT o_custkey, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g FROM orders) USING (o_custkey, g)")
+@query("md_pad_grid", """
+WITH c AS (SELECT c_nationkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS g, o_orderstatus FROM orders JOIN customer ON c_custkey = o_custkey),
+grid AS (SELECT c_nationkey, o_custkey, unnest(range(1, n + 1)) AS g FROM (SELECT DISTINCT c_nationkey, o_custkey FROM c) JOIN (SELECT c_nationkey, max(g) AS n FROM c GROUP BY c_nationkey) USING (c_nationkey))
+SELECT c_nationkey, o_custkey, CAST(g AS INTEGER) AS grid_col, coalesce(o_orderstatus, '') AS text FROM grid LEFT JOIN c USING (c_nationkey, o_custkey, g)""")
 def md_pad_grid(spark: SparkSession, d: str) -> DataFrame:
+    """Nations are tables, customers rows, orders cells; a table is as wide as its widest row."""
     n = F.row_number().over(W.Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    cells = read(spark, d, "orders").select("o_custkey", F.lit(1).alias("row"), n.alias("grid_col"), F.col("o_orderstatus").alias("text"), F.lit(8).alias("n_cols"))
-    return tables.pad_grid(cells, ["o_custkey"]).select("o_custkey", "grid_col", "text")
+    cells = read(spark, d, "orders").withColumn("grid_col", n).join(read(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).select("c_nationkey", F.col("o_custkey").alias("row"), "grid_col", F.col("o_orderstatus").alias("text"))
+    widths = cells.groupBy("c_nationkey").agg(F.max("grid_col").alias("n_cols"))
+    return tables.pad_grid(cells.join(widths, "c_nationkey"), ["c_nationkey"]).select("c_nationkey", F.col("row").alias("o_custkey"), "grid_col", "text")
 
 
 @query("md_column_alignment", "SELECT p_partkey, CASE p_type WHEN 'ECONOMY' THEN ':---:' WHEN 'PROMO' THEN '---:' WHEN 'STANDARD' THEN ':---' ELSE '---' END AS delimiter FROM part")
@@ -297,7 +308,8 @@ def md_style_chain(spark: SparkSession, d: str) -> DataFrame:
 def md_rel_resolution(spark: SparkSession, d: str) -> DataFrame:
     refs = read(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.lit("p").alias("source_part"), (F.col("n_regionkey") + F.col("n_nationkey") % 2).cast("int").alias("rel_id"))
     rels = read(spark, d, "region").select(F.lit("p").alias("source_part"), F.col("r_regionkey").alias("rel_id"), F.col("r_name").alias("target"))
-    return refs.join(rels, ["source_part", "rel_id"], "left").select("doc_id", "rel_id", "target")
+    rels = refs.select("doc_id").distinct().join(rels)  # every document has the same five relationships
+    return package.resolve_rels(refs, rels).select("doc_id", "rel_id", "target")
 
 
 @query("md_missing_inputs", "SELECT c_custkey AS path FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')")
@@ -332,12 +344,12 @@ def md_note_renumber(spark: SparkSession, d: str) -> DataFrame:
     return structure.renumber(read(spark, d, "lineitem"), ["l_suppkey"], ["l_partkey"], ["l_orderkey"])
 
 
-@query("md_bookmark_targets", "SELECT DISTINCT c_custkey FROM customer JOIN orders ON o_custkey = c_custkey WHERE c_mktsegment NOT LIKE 'M%' OR o_orderstatus = 'P'")
+@query("md_bookmark_targets", "SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P' AND o_custkey % 7 = o_orderkey % 7)")
 def md_bookmark_targets(spark: SparkSession, d: str) -> DataFrame:
-    o, c = read(spark, d, "orders"), read(spark, d, "customer")
-    plain = c.where(~F.col("c_mktsegment").like("M%")).join(o, c["c_custkey"] == o["o_custkey"], "left_semi")
-    machine = c.where(F.col("c_mktsegment").like("M%")).join(o.where("o_orderstatus = 'P'"), c["c_custkey"] == o["o_custkey"], "left_semi")
-    return plain.unionByName(machine).select("c_custkey")
+    """Customers are bookmarks of seven documents; an order of status P links to its customer's, if it is in the same document."""
+    marks = read(spark, d, "customer").select((F.col("c_custkey") % 7).alias("doc_id"), F.col("c_custkey").cast("string").alias("bookmark"), "c_custkey")
+    links = read(spark, d, "orders").select((F.col("o_orderkey") % 7).alias("doc_id"), F.concat(F.when(F.col("o_orderstatus") == "P", "#").otherwise("x#"), F.col("o_custkey").cast("string")).alias("dest"))
+    return structure.wanted_marks(marks, links, ["doc_id"]).select("c_custkey")
 
 
 # -- documents and runs ----------------------------------------------------------
@@ -352,17 +364,23 @@ def md_doc_assemble(spark: SparkSession, d: str) -> DataFrame:
     return structure.assemble(blocks, ["conv_id"], ["turn"])
 
 
-@query("md_stories_union", "SELECT story, count(*) AS blocks FROM (SELECT 'body' AS story FROM documents UNION ALL SELECT 'notes' FROM benchmark UNION ALL SELECT 'comments' FROM conversations) GROUP BY story")
+@query("md_stories_union", "SELECT n_nationkey AS doc_id, 'n' || n_nationkey AS part, 'body' AS story FROM nation UNION ALL SELECT s_nationkey, min('s' || s_suppkey), CASE s_suppkey % 3 WHEN 0 THEN 'footnotes' ELSE 'endnotes' END FROM supplier WHERE s_suppkey % 3 < 2 GROUP BY s_nationkey, s_suppkey % 3")
 def md_stories_union(spark: SparkSession, d: str) -> DataFrame:
-    story = lambda t, s: read(spark, d, t).select(F.lit(s).alias("story"))
-    return story("documents", "body").unionByName(story("benchmark", "notes")).unionByName(story("conversations", "comments")).groupBy("story").agg(F.count("*").alias("blocks"))
+    """Nations are documents; their suppliers are related parts, of which notes are stories."""
+    kind = F.element_at(F.array(*map(F.lit, ("footnotes", "endnotes", "styles"))), (F.col("s_suppkey") % 3 + 1).cast("int"))
+    rels = read(spark, d, "supplier").select(F.col("s_nationkey").alias("doc_id"), F.concat(F.lit("n"), "s_nationkey").alias("source_part"), kind.alias("rel_type"), F.concat(F.lit("s"), "s_suppkey").alias("target_part"))
+    return package.stories(rels, read(spark, d, "nation").select(F.col("n_nationkey").alias("doc_id"), F.concat(F.lit("n"), "n_nationkey").alias("main_part")))
 
 
-@query("md_heading_level", "SELECT p_partkey, CAST(least(CASE WHEN p_size % 11 BETWEEN 1 AND 9 THEN p_size % 11 ELSE p_size % 4 + 1 END, 6) AS INTEGER) AS level FROM part")
+@query("md_heading_level", "SELECT p_partkey, CAST(CASE p_size % 4 WHEN 0 THEN least(p_size % 9 + 1, 6) WHEN 1 THEN least(p_size % 9 + 1, 6) WHEN 2 THEN p_size % 2 + 1 ELSE least(p_size % 3 + 5, 6) END AS INTEGER) AS level FROM part")
 def md_heading_level(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.lit("Heading  "), (F.col("p_size") % 11).cast("string"))
-    found = F.nullif(F.regexp_extract(strings.normal_name(name), "^heading ?([1-9])$", 1), F.lit("")).cast("int")
-    return read(spark, d, "part").select("p_partkey", F.least(F.coalesce(found, F.col("p_size") % 4 + 1), F.lit(6)).cast("int").alias("level"))
+    """Levels by a style's name, by its id, by title and subtitle, and by outline level."""
+    n, size = F.col("p_size") % 4, F.col("p_size")
+    number = lambda x: x.cast("int").cast("string")
+    name = F.when(n == 0, F.concat(F.lit("Heading_20_ "), number(size % 9 + 1))).when((n == 2) & (size % 2 == 0), F.lit("Title")).when(n == 2, F.lit("Subtitle")).otherwise(F.lit("Überschrift"))
+    id_ = F.when(n == 1, F.concat(F.when(size % 5 == 0, "Heading").otherwise("berschrift"), number(size % 9 + 1))).otherwise(F.lit("a"))
+    chain = F.array(F.struct(strings.normal_name(name).alias("name"), id_.alias("id")), F.struct(F.lit("normal").alias("name"), F.lit("Normal").alias("id")))
+    return read(spark, d, "part").select("p_partkey", styles.heading_level(chain, F.when(n == 3, (size % 3 + 4).cast("int"))).cast("int").alias("level"))
 
 
 @query("md_autolink", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN '<' || url || '>' ELSE '[page](' || " + _sql_dest("url") + " || ')' END AS md FROM pages")
@@ -400,6 +418,119 @@ def docx_round_trip(spark: SparkSession, d: str) -> DataFrame:
     return convert_files(files).documents.select("doc_id", "status", "markdown")
 
 
+# Customers of a nation are the blocks of its document.
+_NAME = "'name ' || c_custkey"
+
+
+def nations(spark: SparkSession, d: str, block: Column, notes: Column | None = None) -> DataFrame:
+    """One package per nation, with a block of XML for each of its customers in order, converted."""
+    rows = read(spark, d, "customer").select(F.col("c_nationkey").cast("string").alias("key"), "c_custkey", block.alias("xml"), (F.lit("") if notes is None else notes).alias("note"))
+    made = convert_files(samples.packages_of(rows, "key", "c_custkey", "xml", "note")).documents
+    return made.select(F.col("doc_id").cast("long").alias("c_nationkey"), "status", "markdown")
+
+
+def nation_sql(md: str, rows: str = "customer", glue: str = "chr(10) || chr(10)") -> str:
+    return f"SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(0 AS INTEGER) AS status, string_agg({md}, {glue} ORDER BY c_custkey) || chr(10) AS markdown FROM {rows} GROUP BY c_nationkey"
+
+
+def _xml(*parts: Column | str) -> Column:
+    return F.concat(*[F.lit(x) if isinstance(x, str) else x for x in parts])
+
+
+def _run(text: Column, props: str = "") -> Column:
+    return _xml(f"<w:r><w:rPr>{props}</w:rPr><w:t>", text, "</w:t></w:r>")
+
+
+def _para(*inner: Column | str, props: str = "") -> Column:
+    return _xml(f"<w:p><w:pPr>{props}</w:pPr>", *inner, "</w:p>")
+
+
+def _turn(cases: list[Column]) -> Column:
+    return F.element_at(F.array(*cases), (F.col("c_custkey") % len(cases) + 1).cast("int"))
+
+
+def _customer() -> Column:
+    return F.concat(F.lit("name "), F.col("c_custkey").cast("string"))
+
+
+# Quotes that follow each other are one block.
+_QUOTED = "(SELECT *, CASE WHEN lag(c_custkey) OVER w IS NULL THEN '' WHEN lag(c_custkey % 6) OVER w = 4 AND c_custkey % 6 = 4 THEN chr(10) || '>' || chr(10) ELSE chr(10) || chr(10) END AS glue FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey))"
+
+
+@query("docx_styles", nation_sql(f"glue || CASE c_custkey % 6 WHEN 0 THEN '## ' || {_NAME} WHEN 1 THEN '**' || {_NAME} || '**' WHEN 2 THEN {_NAME} WHEN 3 THEN '*~~' || {_NAME} || '~~*' WHEN 4 THEN '> ' || {_NAME} ELSE '`' || {_NAME} || '`' || 'A<sup>2</sup>' END", _QUOTED, "''"))
+def docx_styles(spark: SparkSession, d: str) -> DataFrame:
+    """Headings, toggles that styles inherit and cancel, direct formatting, quotes, code and hidden runs."""
+    style = "<w:pStyle w:val='{}'/>".format
+    return nations(spark, d, _turn([
+        _para(_run(_customer()), props=style("Heading2")), _para(_run(_customer()), props=style("Child")), _para(_run(_customer(), "<w:rStyle w:val='Strong'/>"), props=style("BoldPara")),
+        _para(_run(_customer(), "<w:i/><w:strike/>")), _para(_run(_customer()), props=style("Quote")), _para(_run(_customer(), "<w:rFonts w:ascii='Consolas'/>"), _run(F.lit("gone"), "<w:vanish/>"), _run(F.lit("a"), "<w:caps/>"), _run(F.lit("2"), "<w:vertAlign w:val='superscript'/>")),
+    ]))
+
+
+_TREE = "SELECT c_nationkey, c_custkey, c_custkey % 3 AS ilvl FROM customer"
+_TREE_SEGMENTS = "CASE ilvl " + " ".join(f"WHEN {k} THEN sum(CASE WHEN ilvl < {k} THEN 1 ELSE 0 END) OVER w" for k in range(3)) + " END"
+_TREE_COUNTED = f"SELECT *, CASE ilvl WHEN 1 THEN '- ' ELSE row_number() OVER (PARTITION BY c_nationkey, ilvl, segment ORDER BY c_custkey) || '. ' END AS marker FROM (SELECT *, {_TREE_SEGMENTS} AS segment FROM ({_TREE}) WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING))"
+_TREE_INDENT = " + ".join(f"CASE WHEN ilvl > {k} AND last_value(CASE WHEN ilvl <= {k} THEN ilvl END IGNORE NULLS) OVER w = {k} THEN last_value(CASE WHEN ilvl <= {k} THEN greatest(len(marker), 2) END IGNORE NULLS) OVER w ELSE 0 END" for k in range(3))
+
+
+@query("docx_lists", nation_sql(f"repeat(' ', CAST(indent AS INTEGER)) || marker || {_NAME}", f"(SELECT *, {_TREE_INDENT} AS indent FROM ({_TREE_COUNTED}) WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_custkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))", "chr(10)"))
+def docx_lists(spark: SparkSession, d: str) -> DataFrame:
+    """One list of three levels, numbers, bullets and numbers again, by two instances of one definition."""
+    number = _xml("<w:numPr><w:ilvl w:val='", (F.col("c_custkey") % 3).cast("string"), "'/><w:numId w:val='", (F.col("c_custkey") % 2 + 1).cast("string"), "'/></w:numPr>")
+    return nations(spark, d, _xml("<w:p><w:pPr>", number, "</w:pPr>", _run(_customer()), "</w:p>"))
+
+
+@query("docx_tables", "SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(0 AS INTEGER) AS status, '| key | name | sum |' || chr(10) || '| --- | --- | ---: |' || chr(10) || string_agg(CASE c_custkey % 3 WHEN 0 THEN '| ' || c_custkey || ' | a\\|b<br>' || c_custkey || ' | x |' WHEN 1 THEN '| ' || c_custkey || ' |  | x |' ELSE '| ' || c_custkey || ' |  |  |' END, chr(10) ORDER BY c_custkey) || chr(10) AS markdown FROM customer GROUP BY c_nationkey")
+def docx_tables(spark: SparkSession, d: str) -> DataFrame:
+    """One table: a header, pipes and line ends in cells, spans, short rows, alignment."""
+    first = F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
+    last = F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy(F.desc("c_custkey"))) == 1
+    key = F.col("c_custkey").cast("string")
+    cell = lambda text, props="", jc="": _xml(f"<w:tc><w:tcPr>{props}</w:tcPr>", _para(_run(text), props=jc), "</w:tc>")
+    right = "<w:jc w:val='right'/>"
+    head = _xml("<w:tbl><w:tblGrid><w:gridCol/><w:gridCol/><w:gridCol/></w:tblGrid><w:tr>", cell(F.lit("key")), cell(F.lit("name")), cell(F.lit("sum"), jc=right), "</w:tr>")
+    two = _xml("<w:tc>", _para(_run(F.lit("a|b"))), _para(_run(key)), "</w:tc>")
+    row = _xml("<w:tr>", _turn([_xml(cell(key), two, cell(F.lit("x"))), _xml(cell(key, "<w:gridSpan w:val='2'/>"), cell(F.lit("x"))), cell(key)]), "</w:tr>")
+    return nations(spark, d, _xml(F.when(first, head).otherwise(F.lit("")), row, F.when(last, F.lit("</w:tbl>")).otherwise(F.lit(""))))
+
+
+@query("docx_links", nation_sql(f"CASE WHEN n = 1 THEN '# Name ' || c_custkey || '!' WHEN c_custkey % 3 = 0 THEN '[' || {_NAME} || '](https://e.org/%28x%29)' WHEN c_custkey % 3 = 1 THEN '[**' || {_NAME} || '**](https://x.y/' || c_custkey || ')' ELSE 'see [' || {_NAME} || '](#name-' || first || ')' END", "(SELECT *, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) AS n, min(c_custkey) OVER (PARTITION BY c_nationkey) AS first FROM customer)"))
+def docx_links(spark: SparkSession, d: str) -> DataFrame:
+    """Links by relationship, by field, and to a bookmark at a heading."""
+    first = F.row_number().over(W.Window.partitionBy("c_nationkey").orderBy("c_custkey")) == 1
+    head = _para("<w:bookmarkStart w:id='0' w:name='top'/>", _run(_xml("Name ", F.col("c_custkey").cast("string"), "!")), props="<w:pStyle w:val='Heading1'/>")
+    mark = "<w:r><w:fldChar w:fldCharType='{}'/></w:r>".format
+    field = _para(mark("begin"), "<w:r><w:instrText> HYPERLINK \"https://x.y/", F.col("c_custkey").cast("string"), "\" </w:instrText></w:r>", mark("separate"), _run(_customer(), "<w:b/>"), mark("end"))
+    link = lambda to: _xml(f"<w:hyperlink {to}>", _run(_customer(), "<w:rStyle w:val='Hyperlink'/>"), "</w:hyperlink>")
+    return nations(spark, d, F.when(first, head).otherwise(_turn([_para(link("r:id='rIdL'")), field, _para("<w:r><w:t xml:space='preserve'>see </w:t></w:r>", link("w:anchor='top'"))])))
+
+
+@query("docx_fields", nation_sql(f"CASE c_custkey % 4 WHEN 0 THEN '' || c_custkey WHEN 2 THEN 'on ' || {_NAME} ELSE 'in ' || {_NAME} END", "(SELECT * FROM customer WHERE c_custkey % 4 <> 1)"))
+def docx_fields(spark: SparkSession, d: str) -> DataFrame:
+    """Results of simple and of nested fields, a contents field that goes, insertions and deletions, alternate content, controls."""
+    mark = "<w:r><w:fldChar w:fldCharType='{}'/></w:r>".format
+    instr = "<w:r><w:instrText>{}</w:instrText></w:r>".format
+    page = _para("<w:fldSimple w:instr=' PAGE '>", _run(F.col("c_custkey").cast("string")), "</w:fldSimple>")
+    toc = _para(mark("begin"), instr(" TOC \\o "), mark("separate"), _run(F.lit("stale")), mark("begin"), instr("PAGEREF x"), mark("separate"), _run(F.lit("7")), mark("end"), mark("end"))
+    date = _para("<w:r><w:t xml:space='preserve'>on </w:t></w:r>", mark("begin"), instr("DATE "), mark("begin"), instr("X"), mark("end"), mark("separate"), _run(_customer()), mark("end"))
+    changed = _xml("<w:sdt><w:sdtContent>", _para("<w:ins w:id='1'><w:r><w:t xml:space='preserve'>in </w:t></w:r></w:ins><w:del w:id='2'><w:r><w:delText>out</w:delText></w:r></w:del>", "<w:r><mc:AlternateContent><mc:Choice Requires='unknown'><w:t>no</w:t></mc:Choice><mc:Fallback><w:t>", _customer(), "</w:t></mc:Fallback></mc:AlternateContent></w:r>"), "</w:sdtContent></w:sdt>")
+    return nations(spark, d, _turn([page, toc, date, changed]))
+
+
+@query("docx_notes", f"""
+WITH c AS (SELECT *, sum(CASE WHEN c_custkey % 3 = 0 THEN 1 ELSE 0 END) OVER (PARTITION BY c_nationkey ORDER BY c_custkey ROWS UNBOUNDED PRECEDING) AS n FROM customer)
+SELECT CAST(c_nationkey AS BIGINT) AS c_nationkey, CAST(0 AS INTEGER) AS status,
+       string_agg({_NAME} || CASE WHEN c_custkey % 3 = 0 THEN '[^' || CAST(n AS INTEGER) || ']' ELSE '' END, chr(10) || chr(10) ORDER BY c_custkey)
+       || coalesce(chr(10) || chr(10) || string_agg('[^' || CAST(n AS INTEGER) || ']: note ' || c_custkey || chr(10) || chr(10) || '    more', chr(10) || chr(10) ORDER BY c_custkey) FILTER (c_custkey % 3 = 0), '') || chr(10) AS markdown
+FROM c GROUP BY c_nationkey""")
+def docx_notes(spark: SparkSession, d: str) -> DataFrame:
+    """Footnotes of two paragraphs, numbered by first reference; notes that nothing refers to go."""
+    key = F.col("c_custkey").cast("string")
+    reference = F.when(F.col("c_custkey") % 3 == 0, _xml("<w:r><w:footnoteReference w:id='", key, "'/></w:r>")).otherwise(F.lit(""))
+    note = _xml("<w:footnote w:id='", key, "'>", _para("<w:r><w:footnoteRef/></w:r>", _run(F.concat(F.lit("note "), key))), _para(_run(F.lit("more"))), "</w:footnote>")
+    return nations(spark, d, _para(_run(_customer()), reference), note)
+
+
 # -- vectors and bits ---------------------------------------------------------------
 @query("vec_lane_max", "SELECT vec_id, list_max(embedding) AS largest, list_max(embedding[1:3]) AS largest3 FROM embeddings")
 def vec_lane_max(spark: SparkSession, d: str) -> DataFrame:
@@ -412,11 +543,12 @@ def vec_scale3(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select("vec_id", v.alias("v")).select("vec_id", *[F.get("v", F.lit(i)).alias(n) for i, n in enumerate("xyzw")])
 
 
-@query("vec_fused", "SELECT vec_id, e[1] * e[2] + e[3] AS madd, e[1] * e[2] - e[3] AS msub, e[3] - e[1] * e[2] AS nmadd, abs(e[1]) AS magnitude FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings)")
+@query("vec_fused", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS lane, e[i] * e[len(e) + 1 - i] + e[i] AS madd, e[i] * e[len(e) + 1 - i] - e[i] AS msub, e[i] - e[i] * e[len(e) + 1 - i] AS nmadd, abs(e[i]) AS magnitude FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings))")
 def vec_fused(spark: SparkSession, d: str) -> DataFrame:
     e = F.col("embedding").cast("array<double>")
-    a, b, c = (F.slice(e, i, 1) for i in (1, 2, 3))
-    return read(spark, d, "embeddings").select("vec_id", *[F.get(vectors.fused(a, b, c, k), F.lit(0)).alias(n) for k, n in (("fmadd", "madd"), ("fmsub", "msub"), ("fnmadd", "nmadd"))], F.get(vectors.absolute(e), F.lit(0)).alias("magnitude"))
+    lanes = [vectors.fused(e, F.reverse(e), e, k).alias(n) for k, n in (("fmadd", "madd"), ("fmsub", "msub"), ("fnmadd", "nmadd"))]
+    whole = read(spark, d, "embeddings").select("vec_id", *lanes, vectors.absolute(e).alias("magnitude"))
+    return whole.select("vec_id", F.posexplode(F.arrays_zip("madd", "msub", "nmadd", "magnitude")).alias("lane", "x")).select("vec_id", "lane", "x.*")
 
 
 @query("num_min_max", "SELECT o_orderkey, CASE WHEN o_totalprice < o_custkey * 100 THEN o_totalprice ELSE o_custkey * 100 END AS low, CASE WHEN o_totalprice > o_custkey * 100 THEN o_totalprice ELSE o_custkey * 100 END AS high FROM orders")

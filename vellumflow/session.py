@@ -25,6 +25,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that every executor sees (``spark.checkpoint.dir``); a local default only where none is set."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")

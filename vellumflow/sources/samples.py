@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 from vellumflow.session import prepare
 
+_DOC = "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+_SPACES = 'xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main" xmlns:r="http://schemas.openxmlformats.org/officeDocument/2006/relationships" xmlns:mc="http://schemas.openxmlformats.org/markup-compatibility/2006"'
 _W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
 _TYPES = '<Types xmlns="http://schemas.openxmlformats.org/package/2006/content-types"><Default Extension="rels" ContentType="application/vnd.openxmlformats-package.relationships+xml"/><Override PartName="/word/document.xml" ContentType="application/vnd.openxmlformats-officedocument.wordprocessingml.document.main+xml"/></Types>'
 _RELS = '<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships"><Relationship Id="rId1" Type="http://schemas.openxmlformats.org/officeDocument/2006/relationships/officeDocument" Target="word/document.xml"/></Relationships>'
@@ -32,6 +34,53 @@ def package_of(paragraphs: list[str]) -> bytes:
     return out.getvalue()
 
 
+def _style(name: str, kind: str = "paragraph", based: str = "", props: str = "") -> str:
+    on = f'<w:basedOn w:val="{based}"/>' if based else ""
+    return f'<w:style w:type="{kind}" w:styleId="{name.replace(" ", "")}"><w:name w:val="{name}"/>{on}<w:rPr>{props}</w:rPr></w:style>'
+
+
+def _fixed_parts() -> dict[str, str]:
+    """Styles, a numbering definition with two instances, and the main part's relationships."""
+    styles = [_style("Heading 1"), _style("Heading 2", based="Heading1"), _style("Quote"), _style("BoldPara", props="<w:b/>"), _style("Child", based="BoldPara"), _style("Strong", "character", props="<w:b/>"), _style("Hyperlink", "character", props="<w:u w:val='single'/>")]
+    levels = "".join(f'<w:lvl w:ilvl="{k}"><w:start w:val="1"/><w:numFmt w:val="{f}"/></w:lvl>' for k, f in enumerate(("decimal", "bullet", "lowerRoman")))
+    nums = "".join(f'<w:num w:numId="{k}"><w:abstractNumId w:val="0"/></w:num>' for k in (1, 2))
+    own = "".join(f'<Relationship Id="rId_{x}" Type="{_DOC}/{x}" Target="{x}.xml"/>' for x in ("styles", "numbering", "footnotes"))
+    own += f'<Relationship Id="rIdL" Type="{_DOC}/hyperlink" Target="https://e.org/(x)" TargetMode="External"/>'
+    return {
+        "word/styles.xml": f"<w:styles {_SPACES}>{''.join(styles)}</w:styles>",
+        "word/numbering.xml": f'<w:numbering {_SPACES}><w:abstractNum w:abstractNumId="0">{levels}</w:abstractNum>{nums}</w:numbering>',
+        "word/_rels/document.xml.rels": f'<Relationships xmlns="http://schemas.openxmlformats.org/package/2006/relationships">{own}</Relationships>',
+    }
+
+
+def package_with(blocks: list[str], notes: list[str]) -> bytes:
+    """A package of blocks and footnotes given as XML, with styles, numbering and links to use."""
+    out = io.BytesIO()
+    types = _TYPES.replace("<Override", '<Default Extension="xml" ContentType="application/xml"/><Override', 1)
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        z.writestr("[Content_Types].xml", types)
+        z.writestr("_rels/.rels", _RELS)
+        z.writestr("word/document.xml", f"<w:document {_SPACES}><w:body>{''.join(blocks)}</w:body></w:document>")
+        z.writestr("word/footnotes.xml", f"<w:footnotes {_SPACES}>{''.join(notes)}</w:footnotes>")
+        for name, text in _fixed_parts().items():
+            z.writestr(name, text)
+    return out.getvalue()
+
+
+def packages_of(rows: DataFrame, key: str, order: str, xml: str, note: str) -> DataFrame:
+    """``path, content``: one package per key with its rows' blocks and footnotes, both XML, in order."""
+    prepare(rows.sparkSession)
+    listed = F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(xml).alias("x"), F.col(note).alias("n"))))
+    grouped = rows.groupBy(F.col(key).alias("path")).agg(listed.alias("all")).select("path", F.transform("all", lambda r: r["x"]).alias("blocks"), F.transform("all", lambda r: r["n"]).alias("notes"))
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [package_with(x, n) for x, n in zip(b.column("blocks").to_pylist(), b.column("notes").to_pylist(), strict=True)]
+            yield pa.RecordBatch.from_arrays([b.column("path"), pa.array(made, pa.binary())], ["path", "content"])
+
+    return grouped.mapInArrow(run, "path string, content binary")
+
+
 def packages(rows: DataFrame, key: str, order: str, text: str) -> DataFrame:
     """``path, content``: one package per key with its rows as paragraphs in order."""
     prepare(rows.sparkSession)

@@ -16,11 +16,17 @@ def stem(path: str) -> str:
     return posixpath.splitext(posixpath.basename(path.replace("\\", "/")))[0] or "document"
 
 
-def output_path(doc_id: str, output: str | None, several: bool) -> str:
-    """``output`` is the file for one input and the folder for several; without it, beside the input."""
-    if output is None:
-        return posixpath.join(posixpath.dirname(doc_id), stem(doc_id) + ".md")
-    return posixpath.join(output, stem(doc_id) + ".md") if several else output
+def names_of(paths: list[str], together: bool) -> dict[str, str]:
+    """Each input's name: its stem, with ``-1``, ``-2`` ... where inputs that share a folder (or go to one, ``together``) share it."""
+    taken: set[tuple[str, str]] = set()
+    out: dict[str, str] = {}
+    for p in dict.fromkeys(paths):
+        folder, name, n = "" if together else posixpath.dirname(p), stem(p), 0
+        while (folder, (found := f"{name}-{n}" if n else name).lower()) in taken:
+            n += 1
+        taken.add((folder, found.lower()))
+        out[p] = found
+    return out
 
 
 def _local(path: str) -> str:
@@ -44,21 +50,26 @@ def write_files(rows: DataFrame, path: str, content: str) -> None:
     rows.select(path, content).foreachPartition(write)
 
 
-def write_markdown(documents: DataFrame, output: str | None, several: bool, crlf: bool = False, bom: bool = False) -> DataFrame:
-    """Write converted documents; returns doc_id and out_path."""
+def write_markdown(documents: DataFrame, output: str | None, several: bool, names: dict[str, str], crlf: bool = False, bom: bool = False) -> DataFrame:
+    """Write converted documents; ``output`` is the file for one input and the folder for several, without it they go beside their inputs.
+
+    Returns doc_id and out_path.
+    """
     text = F.replace(F.col("markdown"), F.lit("\n"), F.lit("\r\n")) if crlf else F.col("markdown")
-    text = F.concat(F.lit("﻿"), text) if bom else text
-    name = F.regexp_replace(F.regexp_extract(F.replace("doc_id", F.lit("\\"), F.lit("/")), r"([^/]*)$", 1), r"\.[^.]*$", "")
+    text = F.concat(F.lit("\ufeff"), text) if bom else text
+    named = documents.where("status = 0").join(F.broadcast(documents.sparkSession.createDataFrame(list(names.items()), "doc_id string, name string")), "doc_id")  # one row for each argument
     folder = F.regexp_replace("doc_id", r"[^/]*$", "") if output is None else F.lit(output.rstrip("/") + "/")
-    at = F.concat(folder, name, F.lit(".md")) if several or output is None else F.lit(output)
-    ready = documents.where("status = 0").select("doc_id", at.alias("out_path"), text.alias("content"))
+    at = F.concat(folder, "name", F.lit(".md")) if several or output is None else F.lit(output)
+    ready = named.select("doc_id", at.alias("out_path"), text.alias("content"))
     write_files(ready, "out_path", "content")
     return ready.select("doc_id", "out_path")
 
 
-def write_media(media: DataFrame, folder: str) -> None:
-    """Write media under generated names only."""
-    write_files(media.select(F.concat(F.lit(folder.rstrip("/") + "/"), "out_name").alias("at"), "content"), "at", "content")
+def write_media(media: DataFrame, base: str | None) -> None:
+    """Write media under generated names only, in their documents' folders under ``base`` or beside the inputs."""
+    under = F.regexp_replace("doc_id", r"[^/]*$", "") if base is None else F.lit(f"{base.rstrip('/')}/" if base else "")
+    folder = F.when(F.startswith("folder", F.lit("/")), F.col("folder")).otherwise(F.concat(under, "folder"))
+    write_files(media.select(F.concat(folder, F.lit("/"), "out_name").alias("at"), "content"), "at", "content")
 
 
 def exit_code(documents: DataFrame) -> int:
