@@ -22,7 +22,8 @@ def prepare(spark: SparkSession, batch_rows: int = 1000) -> SparkSession:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
     if root not in sys.path:
         sys.path.append(root)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch_rows))
+    # The setting is read when a plan runs, which may be after later calls: none may make batches of whole texts large.
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(min(batch_rows, 1000)))
     return spark
 
 
@@ -47,6 +48,8 @@ def shared_dir(spark: SparkSession) -> str:
     if not found:
         found = spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         found = f"/tmp/checkpoints/{uuid.uuid4().hex}"
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
