@@ -37,6 +37,8 @@ def mt(text):
 
 FIELD = '<w:r><w:fldChar w:fldCharType="{}"/></w:r>'
 INSTR = "<w:r><w:instrText>{}</w:instrText></w:r>"
+RUBY = "<w:r><w:ruby><w:rubyPr/><w:rt>" + run("ru") + run("by") + "</w:rt><w:rubyBase>" + run("base") + "</w:rubyBase></w:ruby></w:r>"
+INDENTED = """<w:abstractNum w:abstractNumId="0"><w:lvl w:ilvl="0"><w:numFmt w:val="decimal"/><w:pPr><w:ind w:left="720" w:hanging="360"/></w:pPr></w:lvl><w:lvl w:ilvl="1"><w:numFmt w:val="none"/></w:lvl></w:abstractNum><w:num w:numId="5"><w:abstractNumId w:val="0"/></w:num>"""
 PNG = b"\x89PNG fake"
 BLIP = '<w:drawing><wp:inline><wp:docPr id="1" name="Picture 1" descr="a [nice] view"/><a:graphic><a:graphicData uri="x/picture"><pic:pic><pic:blipFill><a:blip r:embed="rIdI"/></pic:blipFill></pic:pic></a:graphicData></a:graphic></wp:inline></w:drawing>'
 
@@ -73,6 +75,9 @@ CASES = {
     "long math": (package(document(para("<m:oMath><m:f><m:num>" + mt("a") + "</m:num><m:den>" + mt("b") + mt("+") + mt("c") + "</m:den></m:f>" + mt("=") + "<m:sSup><m:e>" + mt("x") + "</m:e><m:sup>" + mt("i") + mt("j") + "</m:sup></m:sSup></m:oMath>"))), "a/(b+c)=x^{ij}\n"),
     "drawn rule": (package(document(para(run("a")), para("<w:r><w:pict><v:rect o:hr='t'/></w:pict></w:r>"), para(run("b"))).replace("<w:document ", "<w:document xmlns:o='urn:schemas-microsoft-com:office:office' ")), "a\n\n---\n\nb\n"),
     "picture field": (package(document(para(FIELD.format("begin"), INSTR.format(' INCLUDEPICTURE "https://x.y/p.png" '), FIELD.format("separate"), run("stale"), FIELD.format("end"), run(" seen")))), "![](https://x.y/p.png) seen\n"),
+    "ignorable": (package(document(para(run("a"), "<x:extra>" + run("gone") + "</x:extra>", "<y:extra>" + run("b") + "</y:extra>", "<x:kept>" + run("c") + "</x:kept>")).replace("<w:document ", "<w:document xmlns:x='urn:x' xmlns:y='urn:y' mc:Ignorable='w14 x' mc:ProcessContent='x:kept' ")), "abc\n"),
+    "ruby": (package(document(para(run("see "), RUBY, run(" there")))), "see base there\n"),
+    "continued": (package(document(item("a", 5), para(run("more"), props="<w:ind w:left='720'/>"), item("none", 5, 1), item("b", 5), para(run("other"), props="<w:ind w:left='360'/>"), para(run("apart"), props="<w:ind w:left='720'/>"), item("c", 5)), numbering=INDENTED), "1. a\n\n   more\n\n   none\n2. b\n\nother\n\napart\n\n3. c\n"),
     "empty": (package(document()), ""),
 }
 
@@ -139,3 +144,8 @@ def test_flat_tables_and_no_break_spaces(spark):
     files = spark.createDataFrame([("o", bytearray(package(document(deep(3), para(run("a\u00a0b"))))))], "path string, content binary")
     got = convert_files(files, Options(tables="flat", no_break="entity")).documents.first()["markdown"]
     assert got == "| t0<br>t1<br>t2 |\n| --- |\n\na&nbsp;b\n"
+
+
+def test_ruby_in_brackets(spark):
+    files = spark.createDataFrame([("o", bytearray(package(document(para(run("see "), RUBY, run(" there"))))))], "path string, content binary")
+    assert convert_files(files, Options(ruby="paren")).documents.first()["markdown"] == "see base(ruby) there\n"

@@ -84,6 +84,18 @@ def low24(x: Column) -> Column:
     return F.concat(F.substr(be, F.lit(3), F.lit(1)), F.substr(be, F.lit(2), F.lit(1)), F.substr(be, F.lit(1), F.lit(1)))
 
 
+def splat(value: Column, lanes: Column | int) -> Column:
+    """A vector with the value in every lane."""
+    return F.array_repeat(value, lanes)
+
+
+def filled(value: Column, *dims: Column | int) -> Column:
+    """An array of the given dimensions, outermost first, that holds the value everywhere."""
+    for n in reversed(dims):
+        value = F.array_repeat(value, n)
+    return value
+
+
 def swapped(a: str, b: str) -> list[Column]:
     """A projection that exchanges two columns."""
     return [F.col(b).alias(a), F.col(a).alias(b)]

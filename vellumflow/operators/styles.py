@@ -130,7 +130,7 @@ def doc_defaults(nodes: DataFrame) -> DataFrame:
 
 
 def numbering(nodes: DataFrame, style_numbers: DataFrame) -> DataFrame:
-    """``doc_id, num_id, abstract_id, ilvl, num_fmt, start, lvl_restart, start_override`` with overrides applied.
+    """``doc_id, num_id, abstract_id, ilvl, num_fmt, start, lvl_restart, lvl_left, start_override`` with overrides applied.
 
     ``style_numbers`` (doc_id, style_id, num_id) lets an abstract definition that delegates to a style be followed, once
     for each link up to a small cap; loops leave it without levels.
@@ -138,7 +138,7 @@ def numbering(nodes: DataFrame, style_numbers: DataFrame) -> DataFrame:
     w = nodes.where(F.col("ns") == "w")
     keys = ["doc_id", "part"]
     levels = w.where((F.col("name") == "lvl")).select(*keys, "seq", F.col("near")["abstractNum"].alias("a_seq"), F.col("near")["num"].alias("n_seq"), attr("w:ilvl").cast("int").alias("ilvl"))
-    inner = w.where(F.col("near")["lvl"].isNotNull() & (F.col("parent") == F.col("near")["lvl"])).groupBy(*keys, F.col("near")["lvl"].alias("seq")).agg(F.max(F.when(F.col("name") == "numFmt", attr("w:val"))).alias("num_fmt"), F.max(F.when(F.col("name") == "start", attr("w:val"))).cast("int").alias("start"), F.max(F.when(F.col("name") == "lvlRestart", attr("w:val"))).cast("int").alias("lvl_restart"))
+    inner = w.where(F.col("near")["lvl"].isNotNull() & ((F.col("parent") == F.col("near")["lvl"]) | (F.col("name") == "ind") & F.col("near")["pPr"].isNotNull())).groupBy(*keys, F.col("near")["lvl"].alias("seq")).agg(F.max(F.when(F.col("name") == "numFmt", attr("w:val"))).alias("num_fmt"), F.max(F.when(F.col("name") == "start", attr("w:val"))).cast("int").alias("start"), F.max(F.when(F.col("name") == "lvlRestart", attr("w:val"))).cast("int").alias("lvl_restart"), F.max(F.when(F.col("name") == "ind", F.coalesce(attr("w:left"), attr("w:start")))).cast("int").alias("lvl_left"))
     filled = levels.join(inner, [*keys, "seq"], "left")
     abstract = w.where(F.col("name") == "abstractNum").select(*keys, F.col("seq").alias("a_seq"), attr("w:abstractNumId").alias("abstract_id"))
     links = w.where(F.col("name").isin("numStyleLink", "styleLink") & F.col("near")["abstractNum"].isNotNull()).groupBy(*keys, F.col("near")["abstractNum"].alias("a_seq")).agg(F.max(F.when(F.col("name") == "numStyleLink", attr("w:val"))).alias("delegates"))
@@ -152,10 +152,10 @@ def numbering(nodes: DataFrame, style_numbers: DataFrame) -> DataFrame:
     onward = style_numbers.where("num_id is not null").select("doc_id", F.col("style_id").alias("delegates"), F.col("num_id").alias("_num")).join(nums.select("doc_id", F.col("num_id").alias("_num"), F.col("abstract_id").alias("next_home")), ["doc_id", "_num"]).drop("_num")
     for _ in range(3):
         hops = hops.join(to_style, ["doc_id", "home"], "left").join(onward, ["doc_id", "delegates"], "left").select("doc_id", "num_id", F.coalesce("next_home", "home").alias("home"))
-    base = filled.where("n_seq is null").join(abstract.select(*keys, "a_seq", "abstract_id"), [*keys, "a_seq"]).select("doc_id", F.col("abstract_id").alias("home"), "ilvl", "num_fmt", "start", "lvl_restart")
-    replaced = filled.where("n_seq is not null").join(nums.select(*keys, "n_seq", "num_id"), [*keys, "n_seq"]).select("doc_id", "num_id", "ilvl", F.col("num_fmt").alias("r_fmt"), F.col("start").alias("r_start"), F.col("lvl_restart").alias("r_restart"))
+    base = filled.where("n_seq is null").join(abstract.select(*keys, "a_seq", "abstract_id"), [*keys, "a_seq"]).select("doc_id", F.col("abstract_id").alias("home"), "ilvl", "num_fmt", "start", "lvl_restart", "lvl_left")
+    replaced = filled.where("n_seq is not null").join(nums.select(*keys, "n_seq", "num_id"), [*keys, "n_seq"]).select("doc_id", "num_id", "ilvl", F.col("num_fmt").alias("r_fmt"), F.col("start").alias("r_start"), F.col("lvl_restart").alias("r_restart"), F.col("lvl_left").alias("r_left"))
     over = w.where((F.col("name") == "startOverride") & F.col("near")["lvlOverride"].isNotNull())
     over = over.alias("o").join(w.where(F.col("name") == "lvlOverride").select(*keys, F.col("seq").alias("p_seq"), attr("w:ilvl").cast("int").alias("ilvl")).alias("p"), (F.col("o.doc_id") == F.col("p.doc_id")) & (F.col("o.part") == F.col("p.part")) & (F.col("o.parent") == F.col("p_seq")))
     over = over.select(F.col("o.doc_id").alias("doc_id"), F.col("o.part").alias("part"), F.col("o.near")["num"].alias("n_seq"), "ilvl", F.col("o.attrs")["w:val"].cast("int").alias("start_override")).join(nums.select(*keys, "n_seq", "num_id"), [*keys, "n_seq"]).select("doc_id", "num_id", "ilvl", "start_override")
     out = hops.join(base, ["doc_id", "home"]).join(replaced, ["doc_id", "num_id", "ilvl"], "left").join(over, ["doc_id", "num_id", "ilvl"], "left")
-    return out.select("doc_id", "num_id", F.col("home").alias("abstract_id"), "ilvl", F.coalesce("r_fmt", "num_fmt", F.lit("decimal")).alias("num_fmt"), F.coalesce("r_start", "start", F.lit(1)).alias("start"), F.coalesce("r_restart", "lvl_restart").alias("lvl_restart"), "start_override").dropDuplicates(["doc_id", "num_id", "ilvl"])
+    return out.select("doc_id", "num_id", F.col("home").alias("abstract_id"), "ilvl", F.coalesce("r_fmt", "num_fmt", F.lit("decimal")).alias("num_fmt"), F.coalesce("r_start", "start", F.lit(1)).alias("start"), F.coalesce("r_restart", "lvl_restart").alias("lvl_restart"), F.coalesce("r_left", "lvl_left").alias("lvl_left"), "start_override").dropDuplicates(["doc_id", "num_id", "ilvl"])

@@ -25,6 +25,7 @@ USAGE = """Usage: vellumflow [options] <input.docx> ...
   --header-row=<first|empty>       table headers (default first)
   --toc=<skip|keep>                tables of contents (default skip)
   --comments=<drop|html>           comments (default drop)
+  --ruby=<base|paren>              ruby text: left out, or in brackets after its base (default base)
   --no-break=<keep|entity>         no-break spaces (default keep)
   --ascii-punct                    quotes, dashes and ellipses in ASCII
   --autolink                       <url> where the text is the target
@@ -53,7 +54,7 @@ class CommandLine:
 
 
 #: Policies with their values, and such that are on or off; they are fields of ``Options``.
-CHOICES = {"--hard-break": ("backslash", "spaces"), "--underline": ("drop", "u"), "--highlight": ("drop", "mark"), "--tables": ("gfm", "html-on-merge", "flat"), "--header-row": ("first", "empty"), "--toc": ("skip", "keep"), "--comments": ("drop", "html"), "--no-break": ("keep", "entity")}
+CHOICES = {"--hard-break": ("backslash", "spaces"), "--underline": ("drop", "u"), "--highlight": ("drop", "mark"), "--tables": ("gfm", "html-on-merge", "flat"), "--header-row": ("first", "empty"), "--toc": ("skip", "keep"), "--comments": ("drop", "html"), "--ruby": ("base", "paren"), "--no-break": ("keep", "entity")}
 SWITCHES = ("--ascii-punct", "--autolink", "--image-size")
 
 

@@ -21,8 +21,6 @@ from vellumflow.sources import docx
 
 # Subtrees that accepting all changes, or reading current properties, leaves out.
 GONE = ["del", "moveFrom", "rPrChange", "pPrChange", "sectPrChange", "tblPrChange", "tcPrChange", "trPrChange", "cellDel"]
-# Extension prefixes whose alternate content is understood.
-UNDERSTOOD = ["wps", "wpg", "wpc", "wp14", "w14", "w15", "a14"]
 # Code points of two symbol fonts and the characters that they show.
 SYMBOLS = {"symbol": {0xB7: "•", 0xD7: "⋅", 0xB1: "±", 0xB3: "≥", 0xA3: "≤", 0xB9: "≠", 0xAE: "→", 0xAC: "←", 0xA5: "∞", 0x61: "α", 0x62: "β", 0x67: "γ", 0x64: "δ", 0x6D: "μ", 0x70: "π", 0x53: "Σ", 0x57: "Ω"}, "wingdings": {0xA7: "▪", 0xFC: "✓", 0xFB: "✗", 0xFE: "☑", 0xA8: "☐", 0xE0: "→", 0x4A: "☺", 0x6C: "●", 0x6E: "■"}}
 # Signs of linear mathematics by group: before it, and around several pieces.
@@ -48,6 +46,7 @@ class Options:
     header_row: str = "first"
     tables: str = "gfm"
     comments: str = "drop"
+    ruby: str = "base"
     caps: docx.Caps = field(default_factory=docx.Caps)
 
 
@@ -68,7 +67,7 @@ def live(nodes: DataFrame) -> DataFrame:
     """Nodes of accepted content: no deletions or old properties, one branch of alternate content."""
     kept = nodes.where(~F.coalesce(F.col("name").isin(GONE), F.lit(False)) & ~F.exists(F.map_keys("near"), lambda k: k.isin(GONE)))
     branches = kept.where((F.col("ns") == "mc") & F.col("name").isin("Choice", "Fallback"))
-    rank = F.when((F.col("name") == "Choice") & F.forall(F.split(F.trim(F.coalesce(attr("Requires"), F.lit("?"))), r"\s+"), lambda x: x.isin(UNDERSTOOD)), 0).when(F.col("name") == "Fallback", 1).otherwise(2)
+    rank = F.when((F.col("name") == "Choice") & F.forall(F.split(F.trim(F.coalesce(attr("Requires"), F.lit("?"))), r"\s+"), lambda x: x.isin(docx.UNDERSTOOD)), 0).when(F.col("name") == "Fallback", 1).otherwise(2)
     order = W.Window.partitionBy("doc_id", "part", "parent").orderBy(rank, "seq")
     refused = branches.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) | (rank == 2)).select("doc_id", "part", F.col("seq").alias("branch"), F.col("end_seq").alias("branch_end"))
     return outside(kept, refused, "branch", "branch_end")
@@ -131,8 +130,8 @@ def _symbol() -> Column:
     return F.coalesce(out, F.when(code.between(0xE000, 0xF8FF), F.when(low.between(32, 126), F.char(low)).otherwise(F.lit("�"))).otherwise(F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
 
 
-def tokens(nodes: DataFrame) -> DataFrame:
-    """Content in paragraphs, in order: ``kind`` text, note, image or nothing but a place (bookmarks)."""
+def tokens(nodes: DataFrame, ruby: str = "base") -> DataFrame:
+    """Content in paragraphs, in order: ``kind`` text, note, image or nothing but a place (bookmarks); ``ruby`` text goes or stands in brackets after its base."""
     w, name = F.col("ns") == "w", F.col("name")
     in_run = near("r").isNotNull() & near("rPr").isNull() & near("pPr").isNull()
     wrap = F.coalesce(attr("w:type"), F.lit("textWrapping")) == "textWrapping"
@@ -148,12 +147,27 @@ def tokens(nodes: DataFrame) -> DataFrame:
     note = F.when(w & (name == "footnoteReference"), F.lit("footnotes")).when(w & (name == "endnoteReference"), F.lit("endnotes"))
     embed = F.when((F.col("ns") == "a") & (name == "blip"), F.coalesce(attr("r:embed"), attr("r:link"))).when((F.col("ns") == "v") & (name == "imagedata"), attr("r:id"))
     kind = F.when(text.isNotNull(), F.lit("text")).when(note.isNotNull(), F.lit("note")).when(embed.isNotNull(), F.lit("image")).when(w & (name == "commentReference"), F.lit("comment"))
-    rows = nodes.where(near("p").isNotNull()).withColumn("kind", kind).where(F.col("kind").isNotNull() & near("rt").isNull())
+    rows = nodes.where(near("p").isNotNull()).withColumn("kind", kind).where(F.col("kind").isNotNull())
     rows = rows.withColumn("said", text).join(math_signs(nodes), ["doc_id", "part", "seq"], "left")
+    rows = rows.where(near("rt").isNull()) if ruby == "base" else ruby_in_brackets(rows)
     text = F.when(F.col("kind") == "text", F.concat(F.coalesce("sign", F.lit("")), "said", F.coalesce("close", F.lit(""))))
     return rows.select("doc_id", "part", "seq", near("p").alias("p"), near("r").alias("run"), "kind", text.alias("text"), note.alias("note_story"), F.when(note.isNotNull() | (name == "commentReference"), attr("w:id")).alias("note_id"), embed.alias("rel_id"), F.coalesce(F.when(name == "imagedata", attr("o:title")), F.lit(None)).alias("title"), near("hyperlink").alias("hyperlink"), near("fldSimple").alias("simple"), near("drawing").alias("drawing"))
 
 
+def ruby_in_brackets(rows: DataFrame) -> DataFrame:
+    """Ruby text after its base, in brackets: both exchange their places, the places themselves stay."""
+    inside = rows.where(near("ruby").isNotNull())
+    each = W.Window.partitionBy("doc_id", "part", near("ruby"))
+    above = near("rt").isNotNull()
+    turn = F.row_number().over(each.orderBy(above, "seq"))
+    first, last = F.min(F.when(above, F.col("seq"))).over(each), F.max(F.when(above, F.col("seq"))).over(each)
+    inside = inside.withColumns({"_slots": F.sort_array(F.collect_list("seq").over(each)), "_turn": turn, "_first": first, "_last": last})
+    opened = F.when(F.col("seq") == F.col("_first"), F.concat(F.lit("("), F.coalesce("sign", F.lit("")))).otherwise(F.col("sign"))
+    closed = F.when(F.col("seq") == F.col("_last"), F.concat(F.coalesce("close", F.lit("")), F.lit(")"))).otherwise(F.col("close"))
+    inside = inside.withColumns({"sign": opened, "close": closed, "seq": F.element_at("_slots", F.col("_turn"))}).drop("_slots", "_turn", "_first", "_last")
+    return rows.where(near("ruby").isNull()).unionByName(inside)
+
+
 def math_signs(nodes: DataFrame) -> DataFrame:
     """``doc_id, part, seq, sign, close``: what stands before and after a piece of linear mathematics.
 
@@ -213,7 +227,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
         silent = silent.unionByName(content.where((F.col("name") == "fldSimple") & (strings.field_keyword(attr("w:instr")) == "TOC")).select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to")))
     included = frames.where((strings.field_keyword(F.col("instr")) == "INCLUDEPICTURE") & (strings.field_argument(F.col("instr")) != "")).select("doc_id", "part", "b", F.col("last").alias("to"), strings.field_argument(F.col("instr")).alias("url"))
     silent = silent.unionByName(included.select("doc_id", "part", "b", "to"))
-    said = outside(tokens(content), silent, "b", "to")
+    said = outside(tokens(content, options.ruby), silent, "b", "to")
 
     # -- paragraphs ------------------------------------------------------
     paras = paragraphs(in_story.where(near("del").isNull() & near("moveFrom").isNull())).join(content.where("name = 'p'").select("doc_id", "part", F.col("seq").alias("p")), PARA, "left_semi")
@@ -324,7 +338,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     paras = staged(paras.join(inline, PARA, "left").join(plain, PARA, "left").withColumn("inline", F.coalesce("inline", F.lit(""))), "inline")
 
     # -- tables ----------------------------------------------------------
-    cells = table_blocks(content, paras, options.header_row, options.tables)
+    cells = staged(table_blocks(content, paras, options.header_row, options.tables), "cells")
 
     # -- blocks ----------------------------------------------------------
     is_rule = (F.trim("inline") == "") & F.col("ruled") | F.coalesce(F.col("plain"), F.lit("")).rlike(r"^\s*(-{3,}|\*{3,}|_{3,})\s*$")
@@ -332,17 +346,19 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     kind = F.when(is_rule, F.lit("rule")).when(F.col("heading").isNotNull(), F.lit("heading")).when(F.col("coded") | F.coalesce(F.col("all_code"), F.lit(False)), F.lit("code")).when(F.col("quoted"), F.lit("quote")).otherwise(F.lit("text"))
     body = body.withColumn("kind", kind).join(nums, ["doc_id", "num_id", "ilvl"], "left").withColumn("listed", F.col("abstract_id").isNotNull() & (F.col("kind") == "text"))
     items = list_items(body.where("listed"))
-    body = body.join(items, PARA, "left")
+    body = staged(body.join(items, PARA, "left").withColumn("list_id", F.when(F.col("listed"), F.concat("abstract_id", F.lit("/"), F.coalesce(F.col("restarted"), F.lit(0)).cast("string")))), "body")
+    body = body.join(continuations(body, cells), PARA, "left")
     line = F.trim(escape.lines(strings.hard_breaks(F.col("inline"), "backslash")) if options.hard_break == "backslash" else escape.lines(strings.hard_breaks(F.col("inline"), "spaces")))
     text = (
         F.when(F.col("kind") == "rule", F.lit("---"))
         .when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), F.col("heading")), F.lit(" "), F.trim(F.replace(F.col("inline"), F.lit("\n"), F.lit(" ")))))
         .when(F.col("kind") == "code", F.coalesce("plain", F.lit("")))
-        .when(F.col("listed"), F.concat(F.repeat(F.lit(" "), F.col("indent")), "marker", strings.indent_lines(line, F.col("indent") + F.col("width"))))
+        .when(F.col("inner").isNotNull(), F.concat(F.repeat(F.lit(" "), F.col("inner")), strings.indent_lines(line, F.col("inner"))))
+        .when(F.col("listed") & (F.col("num_fmt") != "none"), F.concat(F.repeat(F.lit(" "), F.col("indent")), "marker", strings.indent_lines(line, F.col("indent") + F.col("width"))))
         .otherwise(line)
     )
-    body = body.select("doc_id", "part", "p", "note", "kind", text.alias("md"), F.when(F.col("listed"), F.concat("abstract_id", F.lit("/"), F.coalesce(F.col("restarted"), F.lit(0)).cast("string"))).alias("list_id"))
-    blocks = body.unionByName(cells.select("doc_id", "part", "p", "note", F.lit("table").alias("kind"), "md", F.lit(None).cast("string").alias("list_id")))
+    body = body.select("doc_id", "part", "p", "note", "kind", text.alias("md"), F.when(F.col("inner").isNotNull(), F.col("home_list")).when(F.col("num_fmt") != "none", F.col("list_id")).alias("list_id"), F.col("inner").isNotNull().alias("inner"))
+    blocks = body.unionByName(cells.select("doc_id", "part", "p", "note", F.lit("table").alias("kind"), "md", F.lit(None).cast("string").alias("list_id"), F.lit(False).alias("inner")))
     blocks = staged(blocks, "blocks")
     return finish(blocks, story, numbers, content, parts, every, mains, files_out, files)
 
@@ -357,6 +373,27 @@ def list_items(listed: DataFrame) -> DataFrame:
     return lists.indents(marked, ["doc_id", "part", "abstract_id"], order).select(*PARA, "marker", "width", "indent", "restarted")
 
 
+def continuations(body: DataFrame, cells: DataFrame) -> DataFrame:
+    """Paragraphs that go on with the list item before them: PARA, inner (blanks before them), home_list.
+
+    Such a paragraph has no number but the item's indentation, or belongs to a level without
+    numbers, and nothing but others like it stands between.
+    """
+    none = F.col("listed") & (F.col("num_fmt") == "none")
+    item = F.col("listed") & ~none
+    left = F.when(F.col("listed"), F.coalesce("ind_left", "lvl_left")).otherwise(F.col("ind_left"))
+    rows = body.select(*PARA, "note", item.alias("item"), none.alias("none"), ((F.col("kind") == "text") & F.col("num_id").isNull()).alias("plainly"), left.alias("left"), (F.col("indent") + F.col("width")).alias("offset"), "list_id")
+    rows = rows.unionByName(cells.select(*PARA, "note", F.lit(False).alias("item"), F.lit(False).alias("none"), F.lit(False).alias("plainly")), allowMissingColumns=True)
+    so_far = W.Window.partitionBy("doc_id", "part", "note").orderBy("p").rowsBetween(W.Window.unboundedPreceding, 0)
+    home = F.last(F.when(F.col("item"), F.struct("left", "offset", "list_id")), ignorenulls=True).over(so_far)
+    rows = rows.withColumn("home", home)
+    fits = ~F.col("item") & F.col("home").isNotNull() & (F.col("none") | F.col("plainly") & F.coalesce((F.col("left") > 0) & (F.col("left") == F.col("home.left")), F.lit(False)))
+    rows = rows.withColumn("fits", fits)
+    rows = rows.withColumn("breaks", F.sum(F.when(F.col("item") | F.col("fits"), 0).otherwise(1)).over(so_far))
+    since = F.last(F.when(F.col("item"), F.col("breaks")), ignorenulls=True).over(so_far)
+    return rows.withColumn("since", since).where("fits and breaks = since").select(*PARA, F.col("home.offset").alias("inner"), F.col("home.list_id").alias("home_list"))
+
+
 def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first", form: str = "gfm") -> DataFrame:
     """One Markdown block per outermost table: ``doc_id, part, p`` (the table's place), ``note``, ``md``.
 
@@ -417,12 +454,12 @@ def finish(blocks: DataFrame, story: DataFrame, numbers: DataFrame, content: Dat
     grouped = runs.islands(blocks.withColumn("group", F.when(F.col("kind").isin("code", "quote"), F.col("kind")).otherwise(F.col("p").cast("string"))), flow, ["p"], ["group"])
     first = lambda c: F.min_by(c, F.col("p")).alias(c)
     parts_of = F.transform(F.array_sort(F.collect_list(F.struct("p", "md"))), lambda x: x["md"])
-    merged = grouped.groupBy(*flow, "story", "island").agg(F.min("p").alias("p"), first("kind"), first("list_id"), parts_of.alias("all"))
+    merged = grouped.groupBy(*flow, "story", "island").agg(F.min("p").alias("p"), first("kind"), first("list_id"), first("inner"), parts_of.alias("all"))
     merged = merged.withColumn("md", F.when(F.col("kind") == "code", escape.fence(F.array_join("all", "\n"))).when(F.col("kind") == "quote", strings.quote_lines(F.array_join("all", "\n\n"))).otherwise(F.element_at("all", 1)))
     w = W.Window.partitionBy(*flow).orderBy("p")
     parted = lists.separators(merged, flow, ["p"])
     same = F.col("list_id").eqNullSafe(F.lag("list_id").over(w)) & F.col("list_id").isNotNull()
-    glue = F.when(F.row_number().over(w) == 1, F.lit("")).when(same, F.lit("\n")).when(F.col("separate"), F.lit("\n\n<!-- -->\n\n")).otherwise(F.lit("\n\n"))
+    glue = F.when(F.row_number().over(w) == 1, F.lit("")).when(same & ~F.col("inner"), F.lit("\n")).when(F.col("separate"), F.lit("\n\n<!-- -->\n\n")).otherwise(F.lit("\n\n"))
     glued = parted.withColumn("md", F.concat(glue, "md"))
     flows = structure.assemble(glued, [*flow, "story"], ["p"], separator="", name="text")
     body = flows.where("story = 'body'").select("doc_id", F.lit(0).alias("no"), F.col("text").alias("md"))

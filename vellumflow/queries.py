@@ -551,6 +551,20 @@ def vec_fused(spark: SparkSession, d: str) -> DataFrame:
     return whole.select("vec_id", F.posexplode(F.arrays_zip("madd", "msub", "nmadd", "magnitude")).alias("lane", "x")).select("vec_id", "lane", "x.*")
 
 
+@query("vec_splat", "SELECT vec_id, CAST(i - 1 AS INTEGER) AS lane, e[i] * -1 + 1 AS complement FROM (SELECT vec_id, e, unnest(range(1, len(e) + 1)) AS i FROM (SELECT vec_id, list_transform(embedding, lambda v: CAST(v AS DOUBLE)) AS e FROM embeddings))")
+def vec_splat(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding").cast("array<double>")
+    lanes = vectors.fused(e, vectors.splat(F.lit(-1.0), F.size(e)), vectors.splat(F.lit(1.0), F.size(e)))
+    return read(spark, d, "embeddings").select("vec_id", F.posexplode(lanes).alias("lane", "complement"))
+
+
+@query("vec_filled", "SELECT p_partkey, CAST(r AS INTEGER) AS r, CAST(c AS INTEGER) AS c, p_size AS v FROM (SELECT p_partkey, p_size, r, unnest(range(0, 2)) AS c FROM (SELECT p_partkey, p_size, unnest(range(0, p_size % 3 + 1)) AS r FROM part))")
+def vec_filled(spark: SparkSession, d: str) -> DataFrame:
+    grid = vectors.filled(F.col("p_size"), (F.col("p_size") % 3 + 1).cast("int"), 2)
+    rows = read(spark, d, "part").select("p_partkey", F.posexplode(grid).alias("r", "row"))
+    return rows.select("p_partkey", "r", F.posexplode("row").alias("c", "v"))
+
+
 @query("num_min_max", "SELECT o_orderkey, CASE WHEN o_totalprice < o_custkey * 100 THEN o_totalprice ELSE o_custkey * 100 END AS low, CASE WHEN o_totalprice > o_custkey * 100 THEN o_totalprice ELSE o_custkey * 100 END AS high FROM orders")
 def num_min_max(spark: SparkSession, d: str) -> DataFrame:
     a, b = F.col("o_totalprice"), (F.col("o_custkey") * 100).cast("double")

@@ -48,6 +48,9 @@ NAMESPACES = {
     "http://schemas.microsoft.com/office/word/2010/wordprocessingShape": "wps",
 }
 XML = "http://www.w3.org/XML/1998/namespace"
+COMPATIBILITY = "http://schemas.openxmlformats.org/markup-compatibility/2006"
+# Extension prefixes whose content is understood.
+UNDERSTOOD = ["wps", "wpg", "wpc", "wp14", "w14", "w15", "a14"]
 
 
 @dataclass(frozen=True)
@@ -141,7 +144,9 @@ def tokenise(content: bytes, caps: Caps) -> list[tuple]:
 
     ``seq`` counts elements in document order; ``end_seq`` is the last seq
     inside; ``near`` holds, by local name, the closest enclosing elements.
-    Document types are refused, so no entity can expand.
+    Document types are refused, so no entity can expand.  Elements of namespaces
+    that an enclosing element declares ignorable, and that are not understood,
+    are left out with all they hold, unless their content is to be processed.
     """
     if content[:2] in (b"\xff\xfe", b"\xfe\xff"):
         content = content.decode("utf-16", "replace").encode()
@@ -152,15 +157,40 @@ def tokenise(content: bytes, caps: Caps) -> list[tuple]:
     parser.buffer_text = True
     nodes: list[list] = []
     stack: list[int] = []
+    prefixes: dict[str, list[str]] = {}
+    ignorable: list[set[tuple[str, str]]] = [set()]
+    processed: list[set[tuple[str, str]]] = [set()]
+    skipped = 0
+
+    def declared(prefix: str | None, uri: str | None) -> None:
+        prefixes.setdefault(prefix or "", []).append(uri or "")
+
+    def undeclared(prefix: str | None) -> None:
+        prefixes[prefix or ""].pop()
+
+    def named(attrs: dict[str, str], kind: str) -> set[tuple[str, str]]:
+        """Namespaces, or elements of them, that an attribute of the compatibility namespace lists."""
+        pairs = [x.rpartition(":")[::2] if kind == "ProcessContent" else (x, "*") for x in attrs.get(f"{COMPATIBILITY}\x01{kind}", "").split()]
+        return {(prefixes[p][-1], local) for p, local in pairs if prefixes.get(p) and (kind == "ProcessContent" or p not in UNDERSTOOD and prefixes[p][-1] not in NAMESPACES)}
 
     def split(name: str) -> tuple[str, str]:
         uri, _, local = name.rpartition("\x01")
         return ("xml" if uri == XML else NAMESPACES.get(uri, uri)), local
 
     def start(name: str, attrs: dict[str, str]) -> None:
-        if len(stack) >= caps.depth:
+        nonlocal skipped
+        if len(stack) + skipped >= caps.depth:
             raise _Refused("elements nest too deeply")
+        if skipped:
+            skipped += 1
+            return
         ns, local = split(name)
+        ignored, kept = ignorable[-1] | named(attrs, "Ignorable"), processed[-1] | named(attrs, "ProcessContent")
+        if (ns, "*") in ignored and not {(ns, local), (ns, "*")} & kept:
+            skipped = 1
+            return
+        ignorable.append(ignored)
+        processed.append(kept)
         near = {}
         if stack:
             above = nodes[stack[-1]]
@@ -170,15 +200,22 @@ def tokenise(content: bytes, caps: Caps) -> list[tuple]:
         stack.append(seq)
 
     def end(_: str) -> None:
+        nonlocal skipped
+        if skipped:
+            skipped -= 1
+            return
+        ignorable.pop()
+        processed.pop()
         nodes[stack.pop()][1] = len(nodes) - 1
 
     def data(text: str) -> None:
-        if stack:
+        if stack and not skipped:
             nodes[stack[-1]][7].append(text)
 
     def refuse(*_: object) -> None:
         raise _Refused("document type declarations are refused")
 
+    parser.StartNamespaceDeclHandler, parser.EndNamespaceDeclHandler = declared, undeclared
     parser.StartElementHandler, parser.EndElementHandler, parser.CharacterDataHandler, parser.StartDoctypeDeclHandler = start, end, data, refuse
     parser.Parse(content, True)
     return [(*n[:7], "".join(n[7]), n[8]) for n in nodes]
