@@ -146,6 +146,23 @@ def test_flat_tables_and_no_break_spaces(spark):
     assert got == "| t0<br>t1<br>t2 |\n| --- |\n\na&nbsp;b\n"
 
 
+def test_header_by_look(spark):
+    looks = ["<w:tblLook w:firstRow='0'/>", "<w:tblLook w:val='04A0'/>", "<w:tblLook w:val='0480'/>", "", "<w:tblLook w:firstRow='0' w:val='0020'/>"]
+    flag = "<w:trPr><w:tblHeader/></w:trPr>"
+    bodies = [f"<w:tbl><w:tblPr>{look}</w:tblPr><w:tblGrid><w:gridCol/></w:tblGrid><w:tr>{flag if k == 4 else ''}{cell('a')}</w:tr><w:tr>{cell('b')}</w:tr></w:tbl>" for k, look in enumerate(looks)]
+    files = spark.createDataFrame([(str(k), bytearray(package(document(b)))) for k, b in enumerate(bodies)], "path string, content binary")
+    got = [r["markdown"] for r in convert_files(files, Options(header_row="look")).documents.orderBy("doc_id").collect()]
+    first, blank = "| a |\n| --- |\n| b |\n", "|  |\n| --- |\n| a |\n| b |\n"
+    assert got == [blank, first, blank, first, first]
+
+
+def test_two_pictures_in_a_link(spark):
+    link = '<w:hyperlink r:id="rIdL">' + f"<w:r>{BLIP}</w:r><w:r>{BLIP}</w:r>" + "</w:hyperlink>"
+    files = spark.createDataFrame([("o", bytearray(package(document(para(link)), links=[("rIdI", "image", "media/pic.png"), ("rIdL", "hyperlink", "https://x.y/", "External")], extra={"word/media/pic.png": PNG})))], "path string, content binary")
+    one = r"![a \[nice\] view](media/image1.png)"
+    assert convert_files(files).documents.first()["markdown"] == f"[{one}{one}](https://x.y/)\n"
+
+
 def test_ruby_in_brackets(spark):
     files = spark.createDataFrame([("o", bytearray(package(document(para(run("see "), RUBY, run(" there"))))))], "path string, content binary")
     assert convert_files(files, Options(ruby="paren")).documents.first()["markdown"] == "see base(ruby) there\n"

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import window as W
 
+from vellumflow.operators.package import attr
+
 
 def grid_positions(cells: DataFrame, row_keys: list[str], order: list[str], span: str = "span") -> DataFrame:
     """Adds ``grid_col`` (from 1): one more than the spans of the row's earlier cells."""
@@ -26,6 +28,14 @@ def header_rows(rows: DataFrame, table_keys: list[str], flagged: str = "is_heade
     return rows.withColumn("header", F.row_number().over(w) == 1)
 
 
+def unlooked(content: DataFrame, rows: DataFrame, table_keys: list[str], flagged: str = "is_header") -> DataFrame:
+    """Keys of the tables whose look turns first-row formatting off (its own attribute, else bit 0x20 of the mask) and that flag no row."""
+    mask = F.conv(attr("w:val"), 16, 10).cast("long").bitwiseAND(F.lit(0x20))
+    on = F.coalesce(F.lower(attr("w:firstRow")).isin("1", "true", "on"), mask != 0)
+    off = content.where((F.col("ns") == "w") & (F.col("name") == "tblLook") & ~on).select("doc_id", "part", F.col("near")["tbl"].alias("tbl")).distinct()
+    return off.join(rows.where(flagged).select(*table_keys).distinct(), table_keys, "left_anti")
+
+
 def delimiter(jc):
     """The delimiter cell of a column's justification."""
     return F.when(jc == "center", F.lit(":---:")).when(jc.isin("right", "end"), F.lit("---:")).when(jc.isin("left", "start"), F.lit(":---")).otherwise(F.lit("---"))

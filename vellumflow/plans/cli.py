@@ -22,7 +22,7 @@ USAGE = """Usage: vellumflow [options] <input.docx> ...
   --underline=<drop|u>             underlined text (default drop)
   --highlight=<drop|mark>          highlighted text (default drop)
   --tables=<gfm|html-on-merge|flat>  tables that pipes cannot show (default gfm: HTML if they hold tables)
-  --header-row=<first|empty>       table headers (default first)
+  --header-row=<first|empty|look>  table headers (default first; look: blank where the table's look has no first row)
   --toc=<skip|keep>                tables of contents (default skip)
   --comments=<drop|html>           comments (default drop)
   --ruby=<base|paren>              ruby text: left out, or in brackets after its base (default base)
@@ -54,7 +54,7 @@ class CommandLine:
 
 
 #: Policies with their values, and such that are on or off; they are fields of ``Options``.
-CHOICES = {"--hard-break": ("backslash", "spaces"), "--underline": ("drop", "u"), "--highlight": ("drop", "mark"), "--tables": ("gfm", "html-on-merge", "flat"), "--header-row": ("first", "empty"), "--toc": ("skip", "keep"), "--comments": ("drop", "html"), "--ruby": ("base", "paren"), "--no-break": ("keep", "entity")}
+CHOICES = {"--hard-break": ("backslash", "spaces"), "--underline": ("drop", "u"), "--highlight": ("drop", "mark"), "--tables": ("gfm", "html-on-merge", "flat"), "--header-row": ("first", "empty", "look"), "--toc": ("skip", "keep"), "--comments": ("drop", "html"), "--ruby": ("base", "paren"), "--no-break": ("keep", "entity")}
 SWITCHES = ("--ascii-punct", "--autolink", "--image-size")
 
 

@@ -398,7 +398,8 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
     """One Markdown block per outermost table: ``doc_id, part, p`` (the table's place), ``note``, ``md``.
 
     Text of nested tables, however deep, stands in the outer cell.  With
-    ``header_row`` "empty" a blank header comes before all rows.  Tables that hold
+    ``header_row`` "empty" a blank header comes before all rows, with "look" where
+    the table's look has no first row and no row is flagged.  Tables that hold
     others become HTML, with ``form`` "html-on-merge" those with merged cells too,
     with "flat" none.
     """
@@ -431,9 +432,11 @@ def table_blocks(content: DataFrame, paras: DataFrame, header_row: str = "first"
     flagged = content.where(w & (F.col("name") == "tblHeader")).select("doc_id", "part", near("tr").alias("tr")).distinct().withColumn("is_header", F.lit(True))
     rows = cell.select(*keys, "tr", "row").distinct().join(flagged, ["doc_id", "part", "tr"], "left")
     headers = tables.header_rows(rows, keys).where("header")
-    if header_row == "empty":
-        blank = padded.select(*keys, F.lit(0).alias("row"), "grid_col", F.lit("").alias("text")).distinct()
-        padded, headers = padded.select(*keys, "row", "grid_col", "text").unionByName(blank), blank.select(*keys, "row").distinct()
+    if header_row != "first":
+        bare = padded.select(*keys).distinct() if header_row == "empty" else tables.unlooked(content, rows, keys)
+        blank = padded.join(bare, keys, "left_semi").select(*keys, F.lit(0).alias("row"), "grid_col", F.lit("").alias("text")).distinct()
+        padded = padded.select(*keys, "row", "grid_col", "text").unionByName(blank)
+        headers = headers.join(bare, keys, "left_anti").select(*keys, "row").unionByName(blank.select(*keys, "row").distinct())
     first_jc = cell.where("row = 1").select(*keys, "grid_col", "jc")
     aligns = padded.select(*keys, "grid_col").distinct().join(first_jc, [*keys, "grid_col"], "left")
     made = tables.pipe_tables(padded, keys, headers, aligns)
