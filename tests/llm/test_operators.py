@@ -698,6 +698,31 @@ def test_prefix_counts(texts):
             assert c.truncate(t, budget) == t[: max(i for i, n in enumerate(want) if n <= budget)]
 
 
+def test_token_counts_merge_each_token_once(texts, monkeypatch):
+    c, merged = token_prefix.PrefixCounter(cache_limit=30_000), []
+    plain = c._merge
+    monkeypatch.setattr(c, "_merge", lambda text, *seen: merged.append(text) or plain(text, *seen))
+    odd = ["", " ", "▁", "  a  b ", "▁▁x a▁", "日本語 ﬁ 😀\n\tx </s>", "a" * 64 + " " + "a" * 65 + " " + "ab" * 700, None, "x\u00a0\u2028y é̂ "]
+    for batch in [odd, *(list(texts.values())[k : k + 100] for k in range(0, len(texts), 100)), odd]:
+        assert c.count_all(batch) == [len(c.model.encode(t or "")) for t in batch]
+        assert max(map(len, c.cache)) <= 64
+    assert len(merged) <= len(set(merged)) <= len(c.rank) + len(set("".join(t or "" for t in [*odd, *texts.values()])))
+
+
+def test_token_pairs_fit_as_plain_merging_says():
+    c, rng = token_prefix.PrefixCounter(), np.random.default_rng(5)
+    pieces = list(c.rank)
+    ends = collections.defaultdict(list)
+    for p in pieces:
+        ends[p[0]].append(p)
+    found = collections.Counter()
+    for a in rng.choice(pieces, 4000).tolist():
+        for b in (str(rng.choice(pieces)), str(rng.choice(ends[a[-1]] or pieces)), a[-1], "ﬁ"):
+            found[c._fit(a, b)] += 1
+            assert c._fit(a, b) == (c._merge(a + b) == [a, b]), (a, b)
+    assert min(found[True], found[False]) > 1000
+
+
 def test_byte_ids_equal_the_library(texts):
     bpe = byte_bpe()
     assert bpe.fast is not None and bpe.proven()
