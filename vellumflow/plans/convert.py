@@ -476,7 +476,8 @@ def finish(blocks: DataFrame, story: DataFrame, numbers: DataFrame, content: Dat
     status = F.when(F.col("bad").isNotNull(), F.col("bad")).when(F.col("main_part").isNull(), docx.STATUS["not_a_package"]).when(F.col("xml_error").isNotNull(), docx.STATUS["not_a_package"]).otherwise(0)
     message = F.coalesce("why", F.when(F.col("main_part").isNull(), F.lit("no main document part")), "xml_error")
     documents = found.select("doc_id", status.cast("int").alias("status"), F.when(status == 0, F.coalesce("markdown", F.lit(""))).alias("markdown"), message.alias("message"))
-    media = files_out.join(parts.select("doc_id", F.col("part_key").alias("target_part"), "content"), ["doc_id", "target_part"], "left").select("doc_id", "target_part", "folder", "out_name", "content")
+    whole = F.coalesce("content", F.udf(docx.unpacked, "binary")("packed"))
+    media = files_out.join(parts.select("doc_id", F.col("part_key").alias("target_part"), whole.alias("content")), ["doc_id", "target_part"], "left").select("doc_id", "target_part", "folder", "out_name", "content")
     errors = documents.where("status <> 0").select("doc_id", F.lit("error").alias("level"), F.col("status").alias("code"), "message")
     parse = every.where("error is not null").select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("part", F.lit(": "), "error").alias("message"))
     vector = media.where(F.col("out_name").rlike(r"\.(emf|wmf)$")).select("doc_id", F.lit("warning").alias("level"), F.lit(0).alias("code"), F.concat("out_name", F.lit(": few viewers show this format")).alias("message"))
