@@ -4,8 +4,10 @@ import tracemalloc
 
 import pytest
 from packages import archive, document, package, para, rels, run
+from pyspark.sql import functions as F
 
-from vellumflow.plans.convert import convert_files
+from vellumflow.operators import structure
+from vellumflow.plans.convert import convert_files, field_frames
 from vellumflow.sources import docx, samples
 
 LONG = document(*[para(run(f"text {k}")) for k in range(20_000)])
@@ -53,3 +55,19 @@ def test_large_documents_are_converted_whole(spark):
     assert got["long"] == (0, "\n\n".join(f"text {k}" for k in range(20_000)) + "\n")
     assert got["cut"] == (docx.STATUS["not_a_package"], None)
     assert [bytes(r["content"]) for r in made.media.collect()] == [LONG.encode()]
+
+
+def test_innermost_equals_brute_force(spark):
+    """Nested, adjoining and unclosed intervals, and keys without any."""
+    intervals = [("a", 0, 9), ("a", 2, 7), ("a", 3, 4), ("a", 10, 12), ("a", 14, 99), ("a", 16, 99), ("b", 5, 6)]
+    points = [(k, i) for k in "abc" for i in range(20)]
+    want = {(k, i): max(b for d, b, e in intervals if d == k and b <= i <= e) for k, i in points if any(d == k and b <= i <= e for d, b, e in intervals)}
+    found = structure.innermost(spark.createDataFrame(points, "k string, i int"), spark.createDataFrame(intervals, "k string, b int, e int").withColumn("v", F.col("b")), ["k"], "i", "b", "e", "v")
+    assert {(r["k"], r["i"]): r["v"] for r in found.collect()} == want
+
+
+def test_fields_of_a_document_do_not_meet_in_pairs(spark):
+    """The instructions of a document's fields are found by position, not by a join of all with all."""
+    parts = spark.createDataFrame([("x", "word/document.xml", bytearray(LONG.encode()), None)], "doc_id string, part_key string, content binary, packed binary")
+    plan = field_frames(docx.parse_xml(parts))._jdf.queryExecution().optimizedPlan().toString()
+    assert [x for x in plan.splitlines() if "Join" in x and ("<=" in x or ">=" in x)] == []

@@ -31,6 +31,22 @@ def frames(marks: DataFrame, keys: list[str], order: str, kind: str = "kind") ->
     return numbered.groupBy(*keys, "depth", "frame").agg(pick("begin").alias("b"), pick("separate").alias("sep"), pick("end").alias("e")).where(F.col("b").isNotNull()).drop("frame")
 
 
+def innermost(points: DataFrame, intervals: DataFrame, keys: list[str], at: str, begin: str, end: str, value: str) -> DataFrame:
+    """Points inside some interval of their keys (ends count as inside), with the innermost one's ``value``.
+
+    Intervals nest or lie apart, and their columns are the keys, ``begin``, ``end`` and ``value``.  By running sums: the
+    number of open intervals at a point is the level of the innermost, which is the last that opened at that level.
+    """
+    edge = lambda c, order, v: intervals.select(*keys, F.col(c).cast("long").alias("_at"), F.lit(order).alias("_edge"), v.alias("_open"))
+    value_of = F.struct(F.col(value).alias("v"))
+    rows = points.join(intervals.select(*keys).distinct(), keys, "left_semi").withColumns({"_at": F.col(at).cast("long"), "_edge": F.lit(1)})
+    both = rows.unionByName(edge(begin, 0, value_of).unionByName(edge(end, 2, F.lit(None).cast(intervals.select(value_of.alias("x")).schema["x"].dataType))), allowMissingColumns=True)
+    deep = drop_depth(both, keys, ["_at", "_edge"], F.col("_edge") == 0, F.col("_edge") == 2, "_level")
+    level = W.Window.partitionBy(*keys, "_level").orderBy("_at", "_edge").rowsBetween(W.Window.unboundedPreceding, 0)
+    found = deep.withColumn("_open", F.last("_open", ignorenulls=True).over(level)).where((F.col("_edge") == 1) & (F.col("_level") > 0))
+    return found.select(*points.columns, F.col("_open.v").alias(value))
+
+
 def slugs(headings: DataFrame, keys: list[str], order: list[str], text: str = "text") -> DataFrame:
     """Adds ``slug``: repeated ones get ``-1``, ``-2`` ... in document order."""
     based = headings.withColumn("_base", strings.slug(F.col(text)))

@@ -63,14 +63,23 @@ def near(name: str) -> Column:
     return F.col("near")[name]
 
 
-def live(nodes: DataFrame) -> DataFrame:
-    """Nodes of accepted content: no deletions or old properties, one branch of alternate content."""
-    kept = nodes.where(~F.coalesce(F.col("name").isin(GONE), F.lit(False)) & ~F.exists(F.map_keys("near"), lambda k: k.isin(GONE)))
+def accepted(nodes: DataFrame) -> DataFrame:
+    """Nodes without deletions and old properties."""
+    return nodes.where(~F.coalesce(F.col("name").isin(GONE), F.lit(False)) & ~F.exists(F.map_keys("near"), lambda k: k.isin(GONE)))
+
+
+def refused_branches(kept: DataFrame) -> DataFrame:
+    """``doc_id, part, b, to`` of the branches of alternate content that are not taken."""
     branches = kept.where((F.col("ns") == "mc") & F.col("name").isin("Choice", "Fallback"))
     rank = F.when((F.col("name") == "Choice") & F.forall(F.split(F.trim(F.coalesce(attr("Requires"), F.lit("?"))), r"\s+"), lambda x: x.isin(docx.UNDERSTOOD)), 0).when(F.col("name") == "Fallback", 1).otherwise(2)
     order = W.Window.partitionBy("doc_id", "part", "parent").orderBy(rank, "seq")
-    refused = branches.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) | (rank == 2)).select("doc_id", "part", F.col("seq").alias("branch"), F.col("end_seq").alias("branch_end"))
-    return outside(kept, refused, "branch", "branch_end")
+    return branches.withColumn("n", F.row_number().over(order)).where((F.col("n") > 1) | (rank == 2)).select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to"))
+
+
+def live(nodes: DataFrame) -> DataFrame:
+    """Nodes of accepted content: no deletions or old properties, one branch of alternate content."""
+    kept = accepted(nodes)
+    return outside(kept, refused_branches(kept), "b", "to")
 
 
 def outside(rows: DataFrame, intervals: DataFrame, begin: str, end: str) -> DataFrame:
@@ -81,14 +90,19 @@ def outside(rows: DataFrame, intervals: DataFrame, begin: str, end: str) -> Data
     return deep.where((F.col("_edge") == 1) & (F.col("_depth") == 0)).drop("_edge", "_depth")
 
 
+def outside_any(rows: DataFrame, intervals: DataFrame, label: str) -> DataFrame:
+    """``outside`` of intervals (``b``, ``to``) that are staged first: where there are none, rows need no sorting."""
+    intervals = staged(intervals, label)
+    return rows if intervals.isEmpty() else outside(rows, intervals, "b", "to")
+
+
 def field_frames(nodes: DataFrame) -> DataFrame:
     """Complex fields: ``doc_id, part, depth, b, sep, e, instr`` (an unclosed one reaches to the end)."""
     marks = nodes.where((F.col("name") == "fldChar") & (F.col("ns") == "w")).select("doc_id", "part", "seq", attr("w:fldCharType").alias("kind"))
     found = structure.frames(marks, ["doc_id", "part"], "seq").withColumn("last", F.coalesce("e", F.lit(2**31 - 1)))
     parts = nodes.where(F.col("name").isin("instrText") & (F.col("ns") == "w")).select("doc_id", "part", F.col("seq").alias("i"), F.col("text").alias("it"))
     # An instruction belongs to the deepest field that is still in its instruction there.
-    inside = parts.join(found, ["doc_id", "part"]).where(F.col("i").between(F.col("b"), F.coalesce("sep", "last")))
-    deepest = inside.withColumn("n", F.row_number().over(W.Window.partitionBy("doc_id", "part", "i").orderBy(F.desc("depth")))).where("n = 1")
+    deepest = structure.innermost(parts, found.select("doc_id", "part", F.col("b").alias("from"), F.coalesce("sep", "last").alias("to"), "b"), ["doc_id", "part"], "i", "from", "to", "b")
     instr = deepest.groupBy("doc_id", "part", "b").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("i", "it"))), lambda x: x["it"]), "").alias("instr"))
     return found.join(instr, ["doc_id", "part", "b"], "left").withColumn("instr", F.coalesce("instr", F.lit("")))
 
@@ -212,14 +226,15 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     # -- content ---------------------------------------------------------
     story = staged(story, "story")
     in_story = nodes.join(story.select("doc_id", "part"), ["doc_id", "part"], "left_semi")
-    content = live(in_story)
-    separators = in_story.where(F.col("name").isin("footnote", "endnote") & attr("w:type").isNotNull() & (attr("w:type") != "normal")).select("doc_id", "part", "seq", "end_seq")
-    content = outside(content, separators.withColumnRenamed("seq", "b"), "b", "end_seq")
+    kept = accepted(in_story)
+    separators = in_story.where(F.col("name").isin("footnote", "endnote") & attr("w:type").isNotNull() & (attr("w:type") != "normal")).select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to"))
+    gone = refused_branches(kept).unionByName(separators)
     if options.toc == "skip":
-        gallery = content.where((F.col("name") == "docPartGallery") & (attr("w:val") == "Table of Contents")).select("doc_id", "part", near("sdt").alias("seq"))
-        toc = content.where("name = 'sdt'").select("doc_id", "part", "seq", "end_seq").join(gallery, ["doc_id", "part", "seq"])
-        content = outside(content, toc.withColumnRenamed("seq", "b"), "b", "end_seq")
-    content = staged(content, "content")
+        marks = outside(kept.where(F.col("name").isin("docPartGallery", "sdt")), gone, "b", "to")
+        gallery = marks.where((F.col("name") == "docPartGallery") & (attr("w:val") == "Table of Contents")).select("doc_id", "part", near("sdt").alias("seq"))
+        toc = marks.where("name = 'sdt'").select("doc_id", "part", "seq", "end_seq").join(gallery, ["doc_id", "part", "seq"])
+        gone = gone.unionByName(toc.select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to")))
+    content = staged(outside_any(kept, gone, "gone"), "content")
     frames = staged(field_frames(content), "frames")
     silent = frames.select("doc_id", "part", "b", F.coalesce("sep", "last").alias("to"))
     if options.toc == "skip":
@@ -227,7 +242,7 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
         silent = silent.unionByName(content.where((F.col("name") == "fldSimple") & (strings.field_keyword(attr("w:instr")) == "TOC")).select("doc_id", "part", F.col("seq").alias("b"), F.col("end_seq").alias("to")))
     included = frames.where((strings.field_keyword(F.col("instr")) == "INCLUDEPICTURE") & (strings.field_argument(F.col("instr")) != "")).select("doc_id", "part", "b", F.col("last").alias("to"), strings.field_argument(F.col("instr")).alias("url"))
     silent = silent.unionByName(included.select("doc_id", "part", "b", "to"))
-    said = outside(tokens(content, options.ruby), silent, "b", "to")
+    said = outside_any(tokens(content, options.ruby), silent, "silent")
 
     # -- paragraphs ------------------------------------------------------
     paras = paragraphs(in_story.where(near("del").isNull() & near("moveFrom").isNull())).join(content.where("name = 'p'").select("doc_id", "part", F.col("seq").alias("p")), PARA, "left_semi")
