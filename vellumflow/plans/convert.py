@@ -289,9 +289,9 @@ def convert_files(files: DataFrame, options: Options = Options()) -> Converted:
     hyper = content.where((F.col("name") == "hyperlink") & (F.col("ns") == "w")).select("doc_id", F.col("part").alias("source_part"), F.col("seq").alias("hyperlink"), attr("r:id").alias("rel_id"), attr("w:anchor").alias("anchor"))
     hyper = package.resolve_rels(hyper, rels).select("doc_id", F.col("source_part").alias("part"), "hyperlink", F.coalesce(F.concat("target", F.coalesce(F.concat(F.lit("#"), "anchor"), F.lit(""))), F.concat(F.lit("#"), "anchor")).alias("h_dest"))
     simple = content.where((F.col("name") == "fldSimple") & (F.col("ns") == "w")).select("doc_id", "part", F.col("seq").alias("simple"), field_link(attr("w:instr")).alias("s_dest"))
-    linked = frames.withColumn("f_dest", field_link(F.col("instr"))).where("f_dest is not null and sep is not null").select(F.col("doc_id").alias("_d"), F.col("part").alias("_p"), "b", "sep", "last", "f_dest")
+    linked = frames.withColumn("f_dest", field_link(F.col("instr"))).where("f_dest is not null and sep is not null").select("doc_id", "part", "sep", "last", F.struct("b", "f_dest").alias("f"))
     shown = shown.join(hyper, ["doc_id", "part", "hyperlink"], "left").join(simple, ["doc_id", "part", "simple"], "left")
-    ranged = shown.select("doc_id", "part", "seq").join(linked, (F.col("doc_id") == F.col("_d")) & (F.col("part") == F.col("_p")) & F.col("seq").between(F.col("sep"), F.col("last"))).groupBy("doc_id", "part", "seq").agg(F.max(F.struct("b", "f_dest")).alias("f"))
+    ranged = structure.innermost(shown.select("doc_id", "part", "seq"), linked, ["doc_id", "part"], "seq", "sep", "last", "f").groupBy("doc_id", "part", "seq").agg(F.max("f").alias("f"))
     shown = shown.join(ranged, ["doc_id", "part", "seq"], "left")
     shown = staged(shown.withColumn("dest", F.coalesce("h_dest", "s_dest", F.col("f.f_dest"))).withColumn("link", F.when(F.col("dest").isNotNull(), F.coalesce("hyperlink", "simple", "f.b"))).drop("f", "h_dest", "s_dest", "hyperlink", "simple"), "shown")
 
