@@ -71,3 +71,11 @@ def test_fields_of_a_document_do_not_meet_in_pairs(spark):
     parts = spark.createDataFrame([("x", "word/document.xml", bytearray(LONG.encode()), None)], "doc_id string, part_key string, content binary, packed binary")
     plan = field_frames(docx.parse_xml(parts))._jdf.queryExecution().optimizedPlan().toString()
     assert [x for x in plan.splitlines() if "Join" in x and ("<=" in x or ">=" in x)] == []
+
+
+def test_packages_are_made_once(spark):
+    """What reads the packages, or only their paths, reads what was made before."""
+    rows = spark.createDataFrame([(1, 2, "b"), (1, 1, "a"), (2, 1, None)], "k int, o int, t string")
+    files = samples.packages(rows, "k", "o", "t")
+    assert "MapInArrow" not in files.select("path")._jdf.queryExecution().toString()
+    assert {r["path"]: r["markdown"] for r in convert_files(files).documents.withColumnRenamed("doc_id", "path").collect()} == {"1": "a\n\nb\n", "2": ""}
